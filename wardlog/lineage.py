@@ -35,3 +35,12 @@ def sized(settled: DataFrame) -> DataFrame:
     if settled.count() <= BROADCAST_ROWS:
         return F.broadcast(settled)
     return settled.hint("shuffle_hash")
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Use every core for a scan that has fewer tasks than cores (one small file, one row group).
+
+    Only for a bare scan; large inputs already have enough splits and stay as they are.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame

@@ -17,14 +17,6 @@ ORDER_COLUMNS = ("category", "rule_seq", "phase")
 LINE_PHASE, WINDOW_PHASE, RARITY_PHASE = 0, 1, 2
 
 
-def evidence_values(fields: Column, records: DataFrame, names: Sequence[str]) -> Column:
-    """The record's values of the named fields, as text."""
-    if not names:
-        return F.array().cast("array<string>")
-    values = F.create_map(*[part for n in names for part in (F.lit(n), text_of(records, n))])
-    return F.transform(fields, lambda name: F.try_element_at(values, name))
-
-
 def record_columns(records: DataFrame) -> list[Column]:
     """The part of a finding that comes from the record."""
     return [value_of(records, source).alias(target) for source, target in FINDING_RECORD_COLUMNS.items()]
@@ -57,16 +49,18 @@ def scan(records: DataFrame, rules: Sequence[Rule], min_level: str = "low") -> D
         verdicts.append(verdict)
     fired = F.array_compact(F.array(*verdicts)) if verdicts else F.array().cast("array<int>")
 
-    evidence_names = sorted({n for _, branch in branches for n in branch.evidence})
+    names = sorted({n for _, branch in branches for n in branch.evidence})
+    texts = F.array(*[text_of(records, n) for n in names]) if names else F.array().cast("array<string>")
     hits = staged.select(*records.columns, F.explode(fired).alias("branch_no"))
     catalog = staged.sparkSession.createDataFrame(pa.Table.from_pylist(
-        [{"branch_no": i, "rule_seq": seq, "matched_fields": list(branch.evidence)}
+        [{"branch_no": i, "rule_seq": seq, "matched_fields": list(branch.evidence),
+          "positions": [names.index(n) for n in branch.evidence]}
          for i, (seq, branch) in enumerate(branches)],
         schema=pa.schema([("branch_no", pa.int32()), ("rule_seq", pa.int32()),
-                          ("matched_fields", pa.list_(pa.string()))])))
+                          ("matched_fields", pa.list_(pa.string())), ("positions", pa.list_(pa.int32()))])))
     matches = hits.join(F.broadcast(catalog), "branch_no").select(
         "rule_seq", "matched_fields",
-        evidence_values(F.col("matched_fields"), records, evidence_names).alias("matched_values"),
+        F.transform("positions", lambda position: F.get(texts, position)).alias("matched_values"),
         *record_columns(records))
     return as_findings(matches, rules, LINE_PHASE)
 

@@ -45,7 +45,8 @@ def write_timeline_csv(records: DataFrame, path: str) -> None:
 
 
 def _write_csv(frame: DataFrame, path: str) -> None:
-    frame.write.options(header=True, escape='"', emptyValue="").csv(path)
+    frame.write.options(header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
+                        ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_parquet(frame: DataFrame, path: str) -> None:
