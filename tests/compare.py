@@ -44,7 +44,7 @@ if __name__ == "__main__":
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     session = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
-               .config("spark.driver.memory", "8g").config("spark.sql.shuffle.partitions", "8")
+               .config("spark.driver.memory", "8g").config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.sql.shuffle.partitions", "8")
                .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     session.sparkContext.setLogLevel("OFF")
     oracle = contract.oracle_sql()

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DECODE_PASSES = 3  # fixed value
 
 
+def text_array(values: Iterable[str]) -> Column:
+    """Constant array of strings, handed to the JVM in one call and folded by the optimizer."""
+    return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
+
+
 def _decode_once(text: Column) -> Column:
     # A percent sign without two hex digits stays literal, so it is escaped before decoding.
     return F.try_url_decode(F.regexp_replace(text, "%(?![0-9a-fA-F]{2})", "%25"))

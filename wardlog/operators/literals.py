@@ -14,6 +14,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wardlog.functions.text import text_array
+
 # Characters from common to rare in request paths and queries (a tuning guess; results do not
 # depend on it). Whatever is not listed counts as rarest.
 COMMON_TO_RARE = "eaitsnorcldmpuhg0123456789/fby=.&w-vkx_jqz:,+"
@@ -122,4 +124,4 @@ def any_hit(hits: Column, wanted: Iterable[str], searched: Iterable[str]) -> Col
     """True when a wanted literal is among the hits."""
     wanted = tuple(wanted)
     proof = sorted({s for s in searched if s.startswith(wanted)})
-    return F.arrays_overlap(hits, F.array(*[F.lit(s) for s in proof]))
+    return F.arrays_overlap(hits, text_array(proof))

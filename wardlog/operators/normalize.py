@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.functions.clock import event_time, use_utc
-from wardlog.functions.text import file_extension, join_url, url_decode
+from wardlog.functions.text import file_extension, join_url, text_array, url_decode
 from wardlog.schema import DERIVED_COLUMNS, INTEGER_COLUMNS, PROVENANCE_COLUMNS, W3C_COLUMNS
 
 _KNOWN = sorted({*W3C_COLUMNS, *W3C_COLUMNS.values(), *DERIVED_COLUMNS, *PROVENANCE_COLUMNS})
@@ -29,7 +29,7 @@ def _field(raw: DataFrame, w3c_name: str, column: str) -> Column:
 def _extra(raw: DataFrame) -> Column:
     """Fields that are no record columns, under their raw names."""
     if "fields" in raw.columns:
-        unknown = F.map_filter("fields", lambda name, _: ~name.isin(_KNOWN))
+        unknown = F.map_filter("fields", lambda name, _: ~F.array_contains(text_array(_KNOWN), name))
         return F.transform_values(unknown, lambda _, value: _present(value))
     names = [n for n in raw.columns if n not in _KNOWN]
     if not names:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.functions.clock import iso_text
+from wardlog.functions.text import text_array
 from wardlog.operators.literals import any_hit, literal_hits
 from wardlog.operators.rules import Branch, FieldTest, Rule, Selection
 
@@ -64,9 +65,9 @@ def _direct(records: DataFrame, test: FieldTest, lowered: Column) -> Column:
         return reduce(Column.__or__, [text.rlike(java_pattern(p)) for p in test.operands])
     wanted = list(dict.fromkeys(v.lower() for v in test.operands))
     if test.kind == "equals":
-        return lowered.isin(*wanted) if wanted else F.lit(False)
+        return lowered == F.lit(wanted[0]) if len(wanted) == 1 else F.array_contains(text_array(wanted), lowered)
     if test.kind == "contains" and len(wanted) > 1:
-        return F.exists(F.array(*map(F.lit, wanted)), lambda literal: F.contains(lowered, literal))
+        return F.exists(text_array(wanted), lambda literal: F.contains(lowered, literal))
     matches = {"contains": lowered.contains, "startswith": lowered.startswith, "endswith": lowered.endswith}
     return reduce(Column.__or__, [matches[test.kind](v) for v in wanted])
 

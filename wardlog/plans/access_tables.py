@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlog.functions.clock import use_utc
+from wardlog.functions.text import text_array
 from wardlog.lineage import spread
 from wardlog.operators.normalize import normalize
 
@@ -108,7 +109,7 @@ PATTERNS = (
 
 
 def _pick(values: tuple, position: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (position + 1).cast("int"))
+    return F.element_at(text_array(values), (position + 1).cast("int"))
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

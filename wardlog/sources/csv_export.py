@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wardlog.functions.text import text_array
 from wardlog.lineage import settle, sized
 from wardlog.schema import W3C_COLUMNS
 from wardlog.sources.lines import (LogSource, earlier, from_files, line_at, numbered, path_text, split_table,
@@ -49,7 +50,8 @@ def canonical_name(name: Column) -> Column:
     """W3C name of a header cell; names that are not recognised stay as they are."""
     stripped = F.regexp_replace(F.regexp_replace(name, r"^\s+|\s+\z", ""), "^﻿+", "")
     key = F.regexp_replace(F.lower(stripped), "[_ ]", "-")
-    known = F.create_map(*[F.lit(x) for pair in header_names().items() for x in pair])
+    names = header_names()
+    known = F.map_from_arrays(text_array(names), text_array(names.values()))
     return F.coalesce(F.try_element_at(known, key), stripped)
 
 
