@@ -3,15 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlog.operators.normalize import normalize
 from wardlog.operators.rules import Rule, load_rules
 from wardlog.operators.scan import scan
 from wardlog.operators.summary import (REPORT_TOP_LIMIT, detail_rows, findings_by_severity, rule_hits,
                                        top_counts)
 from wardlog.operators.windows import detect_keyed
+from wardlog.sources.inputs import read_logs
+
+
+@dataclass(frozen=True)
+class LogHunt:
+    """Frames of one hunt over log files, and the rule documents that were rejected."""
+
+    records: DataFrame
+    rejects: DataFrame
+    findings: DataFrame
+    rule_problems: list[str]
 
 
 def hunt(records: DataFrame, rules: Sequence[Rule] | None = None, min_level: str = "low") -> DataFrame:
@@ -23,6 +36,25 @@ def hunt(records: DataFrame, rules: Sequence[Rule] | None = None, min_level: str
     return findings if keyed is None else findings.unionByName(keyed)
 
 
+def hunt_logs(spark: SparkSession, inputs: str | Sequence[str], rules_path: str | None = None, zone: str = "UTC",
+              min_level: str = "low", strict: bool = False, staging: str | None = None) -> LogHunt:
+    """Read log files, normalise them and hunt.
+
+    A hunt passes over the records several times. With ``staging`` (a folder that does not exist
+    yet) they are parsed once and kept there as Parquet, so later passes read only the columns
+    they need.
+    """
+    rules, problems = load_rules(rules_path) if rules_path else load_rules()
+    if not rules:
+        raise ValueError(f"no valid rules in {rules_path}")
+    source = read_logs(spark, inputs, strict)
+    records = normalize(source.rows, zone)
+    if staging:
+        records.write.parquet(staging)
+        records = spark.read.parquet(staging)
+    return LogHunt(records, source.rejects, hunt(records, rules, min_level), problems)
+
+
 def report_tables(findings: DataFrame) -> dict[str, DataFrame]:
     """The data of the analyst report, one frame per section."""
     detail = detail_rows(findings).select(
