@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A table is broadcast only when it was counted and has at most this many rows.
-BROADCAST_ROWS = 200_000
+# A table is broadcast only when it was measured and its rows, as JSON text, take at most this much.
+BROADCAST_BYTES = 256 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -32,7 +32,8 @@ def settle(frame: DataFrame) -> DataFrame:
 
 def sized(settled: DataFrame) -> DataFrame:
     """Mark a settled frame for broadcast if it is small, else for a shuffled hash join."""
-    if settled.count() <= BROADCAST_ROWS:
+    measured = settled.agg(F.sum(F.length(F.to_json(F.struct(*settled.columns))))).first()[0] or 0
+    if measured <= BROADCAST_BYTES:
         return F.broadcast(settled)
     return settled.hint("shuffle_hash")
 

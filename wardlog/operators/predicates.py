@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,7 +74,7 @@ def _direct(records: DataFrame, test: FieldTest, lowered: Column) -> Column:
 
 def direct_probe(records: DataFrame) -> Probe:
     """Tests straight on the record columns; right for a single rule."""
-    return lambda test: F.coalesce(_direct(records, test, F.lower(text_of(records, test.name))), F.lit(False))
+    return cache(lambda test: F.coalesce(_direct(records, test, F.lower(text_of(records, test.name))), F.lit(False)))
 
 
 def staged_probe(records: DataFrame, tests: Iterable[FieldTest]) -> tuple[DataFrame, Probe]:
@@ -92,6 +92,7 @@ def staged_probe(records: DataFrame, tests: Iterable[FieldTest]) -> tuple[DataFr
     staged = staged.withColumns({f"_hit_{n}": literal_hits(F.col(f"`_low_{n}`"), literals)
                                  for n, literals in sorted(searched.items()) if literals})
 
+    @cache  # rules share many tests
     def probe(test: FieldTest) -> Column:
         if test.kind == "contains" and all(test.operands):
             found = any_hit(F.col(f"`_hit_{test.name}`"), [v.lower() for v in test.operands], searched[test.name])

@@ -55,21 +55,26 @@ def canonical_name(name: Column) -> Column:
     return F.coalesce(F.try_element_at(known, key), stripped)
 
 
-def cells_of(record: Column) -> Column:
-    """Cells of one CSV record, quotes resolved."""
-    def unquoted(cell: Column) -> Column:
-        closed = F.regexp_extract(cell, r'(?s)^"([^"]*+(?:""[^"]*+)*+)"', 1)
-        after = F.regexp_extract(cell, r'(?s)^"[^"]*+(?:""[^"]*+)*+"(.*)\z', 1)
-        open_end = F.substring(cell, 2, 1 << 30)
-        inner = F.when(cell.rlike(r'(?s)^"[^"]*+(?:""[^"]*+)*+"'), F.concat(F.replace(closed, F.lit('""'), F.lit('"')), after)) \
-            .otherwise(F.replace(open_end, F.lit('""'), F.lit('"')))
-        return F.when(cell.startswith('"'), inner).otherwise(cell)
+def _raw_cells(record: Column) -> Column:
+    return F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(_CELL), F.lit(1))
+
+
+def _unquoted(cell: Column) -> Column:
+    closed = F.regexp_extract(cell, r'(?s)^"([^"]*+(?:""[^"]*+)*+)"', 1)
+    after = F.regexp_extract(cell, r'(?s)^"[^"]*+(?:""[^"]*+)*+"(.*)\z', 1)
+    inner = F.when(cell.rlike(r'^"[^"]*+(?:""[^"]*+)*+"'),
+                   F.concat(F.replace(closed, F.lit('""'), F.lit('"')), after)) \
+        .otherwise(F.replace(F.substring(cell, 2, 1 << 30), F.lit('""'), F.lit('"')))
+    return F.when(cell.startswith('"'), inner).otherwise(cell)
 
-    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(_CELL), F.lit(1)), unquoted)
+
+def cells_of(record: Column) -> Column:
+    """Cells of one CSV record, quotes resolved; records without a quote are only split."""
+    return F.when(record.contains('"'), F.transform(_raw_cells(record), _unquoted)).otherwise(F.split(record, ",", -1))
 
 
-def _blank(cells: Column) -> Column:
-    return F.forall(cells, lambda c: c.rlike(r"^\s*\z"))
+def cell_count(record: Column) -> Column:
+    return F.when(record.contains('"'), F.size(_raw_cells(record))).otherwise(F.size(F.split(record, ",", -1)))
 
 
 def _odd_quotes(value: Column) -> Column:
@@ -157,16 +162,15 @@ def read_csv(spark: SparkSession, paths: Sequence[str], name_glob: str | None =
         joined = _joined(numbered_lines.where("joins"))
         records = records.unionByName(joined.join(sized(settle(files)), "file_path"))
 
-    width, given = F.size("all_names"), F.size("cells")
+    width, given = F.size("all_names"), cell_count(F.col("value"))
     parsed = (records.where(F.col("header_line").isNotNull() & (F.col("line_number") > F.col("header_line")))
-              .withColumn("cells", cells_of(F.col("value")))
-              .where(F.col("value").isNull() | ~_blank(F.col("cells")))
+              .where(F.coalesce(~F.col("value").rlike(_BLANK_LINE), F.lit(True)))
               .withColumn("reason", F.when(F.col("value").isNull(), F.lit("record too long"))
                           .when(given != width, F.concat(F.lit("expected "), width, F.lit(" columns, got "), given))))
     filled = F.transform("cells", lambda c: F.when(c.rlike(r"^\s*\z"), F.lit("-")).otherwise(c))
     picked = F.when(F.size("names") == width, filled).otherwise(F.transform("positions", lambda p: F.get(filled, p)))
     log_file = path_text(F.col("file_path")).alias("log_file")
-    rows = parsed.where(F.col("reason").isNull()).select(
+    rows = parsed.where(F.col("reason").isNull()).withColumn("cells", cells_of(F.col("value"))).select(
         log_file, "line_number", F.array_join("cells", ",").alias("raw_line"),
         F.map_from_arrays("names", picked).alias("fields"))
     rejects = (parsed.where(F.col("reason").isNotNull()).select(log_file, "line_number", "reason")

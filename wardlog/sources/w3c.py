@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardlog.lineage import settle
+from wardlog.lineage import settle, sized
 from wardlog.sources.lines import LogSource, line_at, numbered, path_text, split_order, split_table, text_lines
 
 FIELDS_MARK = "#Fields:"  # fixed value
@@ -48,6 +48,22 @@ def _with_layouts(splits: DataFrame) -> DataFrame:
             .drop("headers", "carried", "first_data_id"))
 
 
+def _layout_id(names: Column) -> Column:
+    return F.xxhash64(F.array_join(names, " "))
+
+
+def _by_id(splits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Splits with layouts as (at, width, id), and the few different layouts by id: a split's row
+    stays small however many fields the logs have."""
+    forms = settle(splits.select(F.explode("layouts").alias("layout")).select("layout.names", "layout.positions").distinct()
+                   .withColumn("layout_id", _layout_id(F.col("names"))))
+    counts = forms.agg(F.count(F.lit(1)).alias("forms"), F.countDistinct("layout_id").alias("ids")).first()
+    if counts.forms != counts.ids:
+        raise ValueError("two field layouts share one hash")
+    return splits.withColumn("layouts", F.transform("layouts", lambda layout: F.struct(
+        layout["at"].alias("at"), layout["width"].alias("width"), _layout_id(layout["names"]).alias("layout_id")))), forms
+
+
 def _in_force() -> Column:
     """Layout of the line, or NULL: the last one above it, if that names any field."""
     above = F.when(F.size("layouts") == 1, F.get("layouts", F.lit(0))).otherwise(
@@ -79,7 +95,8 @@ def read_w3c(spark: SparkSession, paths: Sequence[str], name_glob: str | None =
         lines,
         headers=F.collect_list(F.when(value.startswith(FIELDS_MARK), F.struct("id", "value"))),
         first_data_id=F.min(F.when(_is_data(value), F.col("id"))))
-    splits = _cut_below_empty_headers(lines, settle(_with_layouts(splits)))
+    splits, forms = _by_id(settle(_with_layouts(splits)))
+    splits = _cut_below_empty_headers(lines, settle(splits))
 
     width, given = F.col("layout.width"), F.size("cells")
     problem = (F.when(~_is_data(value), F.when(value.rlike(rf"^{FIELDS_MARK}\s*\z"), F.lit("empty #Fields: header")))
@@ -91,9 +108,10 @@ def read_w3c(spark: SparkSession, paths: Sequence[str], name_glob: str | None =
               .withColumn("layout", _in_force())
               .withColumn("cells", F.split(value, " ", -1))
               .withColumn("reason", problem))
-    cells = F.when(F.size("layout.names") == width, F.col("cells")).otherwise(
-        F.transform("layout.positions", lambda p: F.get("cells", p)))
+    cells = F.when(F.size("names") == width, F.col("cells")).otherwise(
+        F.transform("positions", lambda p: F.get("cells", p)))
     where = [path_text(F.col("file_path")).alias("log_file"), F.col("line_number")]
-    rows = parsed.where(F.col("reason").isNull() & _is_data(value)).select(
-        *where, value.alias("raw_line"), F.map_from_arrays("layout.names", cells).alias("fields"))
+    rows = (parsed.where(F.col("reason").isNull() & _is_data(value)).withColumn("layout_id", F.col("layout.layout_id"))
+            .join(sized(forms), "layout_id")
+            .select(*where, value.alias("raw_line"), F.map_from_arrays("names", cells).alias("fields")))
     return LogSource(rows, parsed.where(F.col("reason").isNotNull()).select(*where, "reason"))
