@@ -35,6 +35,8 @@ HEADER_SPELLINGS = {
 OTHER_W3C_NAMES = ("s-computername", "s-port", "cs-version")
 # A record joined from several lines may hold this many characters; longer ones are rejected.
 MAX_JOINED_CHARS = 8 << 20
+# Ranges of joined lines are looked up by blocks of this many lines.
+LINE_BLOCK = 4096
 
 _CELL = r',("[^"]*+(?:""[^"]*+)*+"[^,]*|"[^"]*+(?:""[^"]*+)*+\z|[^,]*)'
 _BLANK_LINE = r'^(\s*|"\s*")(,(\s*|"\s*"))*\z'
@@ -94,13 +96,16 @@ def _joined(lines: DataFrame) -> DataFrame:
         F.min("line_number").alias("first_line"), F.count(F.lit(1)).alias("ends"),
         F.max("line_number").alias("last_line"), F.first("file_lines").alias("file_lines"))
         .withColumn("last_line", F.when(F.col("ends") == 2, F.col("last_line")).otherwise(F.col("file_lines"))))
-    members = settle(ranges.select("file_path", "first_line", "last_line",
-                                   F.explode(F.sequence("first_line", "last_line")).alias("line_number")))
-    placed = lines.join(sized(members), ["file_path", "line_number"], "left")
+    block = F.floor(F.col("line_number") / LINE_BLOCK)
+    spans = ranges.select(
+        F.col("file_path").alias("in_file"), "first_line", "last_line",
+        F.explode(F.sequence(F.floor(F.col("first_line") / LINE_BLOCK), F.floor(F.col("last_line") / LINE_BLOCK))).alias("block"))
+    placed = lines.join(sized(settle(spans)), (F.col("file_path") == F.col("in_file")) & (block == F.col("block"))
+                        & F.col("line_number").between(F.col("first_line"), F.col("last_line")), "left")
     single = placed.where(F.col("first_line").isNull()).select("file_path", "line_number", "value")
     pieces = placed.where(F.col("first_line").isNotNull())
     key = ["file_path", "first_line", "last_line"]
-    sizes = pieces.groupBy(*key).agg(F.sum(F.length("value")).alias("chars"))
+    sizes = pieces.groupBy(*key).agg(F.sum(F.length("value") + 1).alias("chars"))
     too_long = sizes.where(F.col("chars") > MAX_JOINED_CHARS)
     whole = (pieces.join(too_long, key, "left_anti").groupBy(*key)
              .agg(F.array_sort(F.collect_list(F.struct("line_number", "value"))).alias("parts"))
