@@ -102,8 +102,13 @@ def _reaching_seconds(marks: DataFrame, parameters: DataFrame, common: int) -> D
                   F.when(F.col("sec") >= (F.col("home") + 1) * F.col("slot") - F.col("back"),
                          F.array("home", F.col("home") + 1)).otherwise(F.array("home"))))
               .withColumn("at", (F.col("sec") - F.col("in_slot") * F.col("slot") + F.col("back")) * F.col("unit")))
-    before = Window.partitionBy(*GROUP, "in_slot").orderBy("at").rangeBetween(-common, -1)
-    return (placed.withColumn("prior", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    in_time = Window.partitionBy(*GROUP, "in_slot").orderBy("at")
+
+    def counted_until(offset: int) -> Column:
+        # A frame that only grows costs one step per row; a sliding one is summed anew for every row.
+        return F.coalesce(F.sum("n").over(in_time.rangeBetween(Window.unboundedPreceding, offset)), F.lit(0))
+
+    return (placed.withColumn("prior", counted_until(-1) - counted_until(-common - 1))
             .where((F.col("in_slot") == F.col("home")) & (F.col("prior") + F.col("n") >= F.col("need"))
                    & F.when(F.col("sequence"), F.col("follow_ups") > 0).otherwise(F.col("n") > 0))
             .select(*SECOND, "prior", "need", "pause", "sequence"))
