@@ -235,8 +235,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows without id stand for themselves and stay.
     """
-    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
-    alone = docs.where(F.col(id_col).isNull())
-    once = Window.partitionBy(id_col).orderBy(text_col)
-    chosen = docs.join(kept, F.col(id_col) == F.col("_id"), "left_semi").withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth")
-    return chosen.unionByName(alone)
+    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
+    # columns of the documents stay inside `_row`, so no name of theirs can clash
+    packed = docs.select(F.col(id_col).cast("bigint").alias("_key"), F.struct(*docs.columns).alias("_row"))
+    once = Window.partitionBy("_key").orderBy(F.col("_row").getField(text_col))
+    chosen = packed.join(kept, F.col("_key") == F.col("_kept"), "left_semi").withColumn("_nth", F.row_number().over(once)).where("_nth = 1")
+    return chosen.select("_row.*").unionByName(docs.where(F.col(id_col).isNull()))

@@ -77,22 +77,19 @@ class Viterbi:
         return best[n][1]
 
     def tokens(self, text: str | None) -> int:
-        """Number of tokens of a text; a blank is put before it. None for null and empty texts."""
+        """Number of tokens of a text; a blank is put before it unless it begins with one. None for null and empty texts."""
         if not text:
             return 0
         total, memo = 0, self.memo
-        parts = text.split(" ")
-        for k, part in enumerate(parts):
-            if k == 0 and part.startswith(BLANK):
-                part = part[1:]
-            word = BLANK + part
-            known = memo.get(word)
+        marked = text.replace(" ", BLANK)
+        for part in marked.removeprefix(BLANK).split(BLANK):
+            known = memo.get(part)
             if known is None:
-                known = sum(self.count(BLANK + p) for p in part.split(BLANK)) if BLANK in part else self.count(word)
-                if len(word) <= MEMO_CHARS:
+                known = self.count(BLANK + part)
+                if len(part) <= MEMO_CHARS:
                     if len(memo) > MEMO_WORDS:
                         memo.clear()
-                    memo[word] = known
+                    memo[part] = known
             total += known
         return total
 
