@@ -1,7 +1,9 @@
 """Toxicity: a weighted finite-state grammar over clauses, with an insult lexicon learned from labelled documents.
 
 Words are tagged by lexicons (insult, threat, target, negation, report). Insult stems with their weights come from labelled
-rows: the log-odds of a stem (a word beginning or a whole word) between toxic and clean documents. A chain of small
+rows: the log-odds of a stem (a word beginning or a whole word) between toxic and clean documents. Stems are chosen one after
+the other, each for the toxic documents that those before do not explain; so the words of a toxic text of which there are
+many copies do not become insults. A chain of small
 transducers reads each clause from left to right: negation and reported speech open a scope that scales down the weights
 read inside it, a target next to an insult or a threat scales them up, and only clauses that end in an accepting state give
 a weight. A document's score is a logistic function of its clause weights, calibrated on other labelled rows.
@@ -12,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,13 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlog.lineage import settle
 from wardlog.llm.common import SLICE_ROWS, keep_rows, map_slices, rows_out
 
 #: Labelled rows that the fit reads at most, about; of larger label tables an even share by a hash of the id.
 FIT_ROWS = 40_000
-#: Stems that the grammar holds at most, the strongest first.
-MAX_STEMS = 4_000
+#: Candidate stems, and so stems of the grammar, at most; the strongest first.
+MAX_STEMS = 8_000
 MIN_SUPPORT = 3
+#: A feature's likelihood ratio must exceed twice the logarithm of the number of features by this.
+CHANCE = 4.0
+#: Rows that the odds of a stem are worth against those of a longer form of it.
+DRAW = 4.0
 STEM_CHARS = (4, 5, 6, 7)
 #: Lexicons of the grammar (fixed values); insults are added to by the fit.
 INSULTS = frozenset("idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting clown clowns imbecile "
@@ -137,8 +144,14 @@ def fold_of(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """(feature, toxic, clean): documents with the feature, summed per slice; a feature is a word or a stem with `*`."""
+def word_features(text: str | None) -> set[str]:
+    """Words of three letters and more, and their beginnings marked with `*`."""
+    words = set(re.findall(r"[^\W\d_]{3,}", text.lower())) if text else set()
+    return words | {w[:n] + "*" for w in words for n in STEM_CHARS if len(w) >= n}
+
+
+def _feature_counts(docs: DataFrame) -> DataFrame:
+    """(feature, toxic, clean): documents with the feature, pre-summed per batch."""
     arrow = pa.schema([("feature", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +160,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 piece = batch.slice(at, SLICE_ROWS)
                 for text, label in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                    words = set(re.findall(r"[^\W\d_]{3,}", text.lower())) if text else set()
-                    counts[0 if label else 1].update(words | {w[:n] + "*" for w in words for n in STEM_CHARS if len(w) >= n})
+                    counts[0 if label else 1].update(word_features(text))
             names = list(counts[0].keys() | counts[1].keys())
             yield rows_out(arrow, [names, [counts[0][n] for n in names], [counts[1][n] for n in names]])
 
@@ -156,6 +168,57 @@ def _word_counts(docs: DataFrame) -> DataFrame:
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _incidence(docs: DataFrame, names: list[str]) -> list[tuple[int, np.ndarray]]:
+    """(label, numbers of the candidate features present) of every row of the bounded sample."""
+    number = {n: k for k, n in enumerate(names)}
+    arrow = pa.schema([("toxic", pa.int32()), ("present", pa.binary())])
+
+    def run(piece: pa.RecordBatch) -> list:
+        present = [np.array(sorted(number[f] for f in word_features(t) if f in number), np.int32).tobytes() for t in piece.column(0).to_pylist()]
+        return [piece.column(1).to_pylist(), present]
+
+    return [(r["toxic"], np.frombuffer(bytes(r["present"]), np.int32)) for r in map_slices(docs.select("text", "toxic"), run, "toxic int, present binary", arrow).collect()]
+
+
+def likelihood_ratio(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: int) -> np.ndarray:
+    """Twice the log likelihood ratio of the feature's toxic share against the share of all rows."""
+    share, both = all_toxic / max(1, all_toxic + all_clean), np.maximum(toxic + clean, 1)
+    part = lambda n, p: np.where(n > 0, n * np.log(np.maximum(n, 1) / (both * max(p, 1e-12))), 0.0)
+    return 2 * (part(toxic, share) + part(clean, 1 - share))
+
+
+def choose_stems(names: list[str], rows: list[tuple[int, np.ndarray]], bound: float) -> dict[str, float]:
+    """Features with their log-odds: each explains toxic rows beyond chance that none before it explains; then refinements of them."""
+    toxic = [present for label, present in rows if label]
+    clean = [present for label, present in rows if not label]
+    total = np.bincount(np.concatenate(toxic or [np.zeros(0, np.int32)]), minlength=len(names)).astype(float)
+    benign = np.bincount(np.concatenate(clean or [np.zeros(0, np.int32)]), minlength=len(names)).astype(float)
+    odds = np.log((total + 0.5) / (len(toxic) + 1.0)) - np.log((benign + 0.5) / (len(clean) + 1.0))
+    where: dict[int, list[int]] = defaultdict(list)
+    for row, present in enumerate(toxic):
+        for f in present.tolist():
+            where[f].append(row)
+    left, open_rows, chosen = total.copy(), set(range(len(toxic))), {}
+    while open_rows:
+        ratio = np.where((left >= MIN_SUPPORT) & (odds > 1.0), likelihood_ratio(left, benign, len(toxic), len(clean)), 0.0)
+        # of equally good features the first by name
+        best = int(ratio.argmax()) if len(ratio) else 0
+        if not len(ratio) or ratio[best] <= bound:
+            break
+        chosen[names[best]] = float(odds[best])
+        for row in open_rows.intersection(where[best]):
+            left[toxic[row]] -= 1
+            open_rows.discard(row)
+    # longer beginnings and whole words of a chosen stem, drawn towards its odds
+    scale = (len(toxic) + 1.0) / (len(clean) + 1.0)
+    for stem in [n for n in chosen if n.endswith("*")]:
+        pull = 1 / (1 + math.exp(-chosen[stem]))
+        for k, name in enumerate(names):
+            if name not in chosen and name.startswith(stem[:-1]):
+                chosen[name] = math.log((total[k] + DRAW * pull) / (benign[k] * scale + DRAW * (1 - pull)))
+    return {n: min(w, 7.0) for n, w in chosen.items()}
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text",
                   label_col: str = "toxic") -> DataFrame:
     """(text, toxic, fold 1..4) of labelled documents outside the held-out fold, about `fit_rows` at most; null labels are left out."""
@@ -171,21 +234,24 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, ma
     """Learn stems on folds 1 to 3 and the calibration on fold 4; the defaults stay where there are too few labels."""
     rows = training_rows(docs, labels, fit_rows, **columns)
     learn = rows.where("fold <> 4")
-    counts = _word_counts(learn.where("fold <> 4"))
     sizes = learn.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     toxic, clean = sizes["toxic"], sizes["n"] - sizes["toxic"]
     grammar = Grammar()
     if toxic >= 5 and clean >= 5:
-        odds = (F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0)))
-        # a feature counts if its toxic share is far above chance, also by the lower end of its standard error
-        sure = odds - 1.6 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-        strong = (counts.where(F.col("toxic") >= MIN_SUPPORT).select("feature", "toxic", "clean", odds.alias("weight"), sure.alias("sure"))
-                  .where("sure > 1.0").orderBy(F.desc("sure"), "feature").limit(max_stems).collect())
-        for row in strong:
-            if row["feature"].endswith("*"):
-                grammar.stems[row["feature"][:-1]] = min(row["weight"], 7.0)
+        # features whose likelihood ratio is beyond chance for as many as are tried
+        share, both = toxic / (toxic + clean), F.col("toxic") + F.col("clean")
+        ratio = 2 * (F.col("toxic") * F.log(F.col("toxic") / (both * share))
+                     + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - share)))).otherwise(0.0))
+        tried = settle(_feature_counts(learn).where(F.col("toxic") >= MIN_SUPPORT).select(
+            "feature", (F.col("toxic") / both > share).alias("raised"), ratio.alias("ratio")))
+        bound = 2 * math.log(max(1, tried.count())) + CHANCE
+        strong = tried.where((F.col("ratio") > bound) & F.col("raised")).orderBy(F.desc("ratio"), "feature").limit(max_stems).collect()
+        names = sorted(r["feature"] for r in strong)
+        for name, weight in choose_stems(names, _incidence(learn, names), bound).items():
+            if name.endswith("*"):
+                grammar.stems[name[:-1]] = weight
             else:
-                grammar.words[row["feature"]] = min(row["weight"], 7.0)
+                grammar.words[name] = weight
     points = _clause_points(rows.where("fold = 4"), grammar)
     grammar.coefficients = _calibrate(points) or grammar.coefficients
     return grammar
