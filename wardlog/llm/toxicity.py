@@ -227,7 +227,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     share = min(1.0, fit_rows / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(known, F.col("_doc") == F.col("_id")).select("text", "toxic", "fold")
+    # the share above bounds the broadcast side; the sample is kept, so that the documents are read once
+    return settle(texts.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("text", "toxic", "fold"))
 
 
 def fit_grammar(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_stems: int = MAX_STEMS, **columns: str) -> Grammar:
