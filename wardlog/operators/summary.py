@@ -72,7 +72,7 @@ def _group_order(by: str) -> Column:
 
 
 def grouped_review(findings: DataFrame, by: str = "category", rows: int = REVIEW_ROWS) -> DataFrame:
-    """The first rows of every group of findings, with the group's size and how many are hidden.
+    """The first rows of every group of findings (all of them with ``rows`` 0), with the group's size and how many are hidden.
 
     Sizes come from a separate aggregation, so no group is gathered to count it; the row limit is
     taken before the shuffle as well.
@@ -84,9 +84,12 @@ def grouped_review(findings: DataFrame, by: str = "category", rows: int = REVIEW
     order = Window.partitionBy("review_group").orderBy(
         review_rank(F.col("level")), F.coalesce("timestamp", F.lit("")),
         "phase", "log_file", "line_number", "rule_seq", F.array_join("matched_values", ","))
-    shown = grouped.withColumn("row_in_group", F.row_number().over(order)).where(F.col("row_in_group") <= rows)
+    shown = grouped.withColumn("row_in_group", F.row_number().over(order))
+    if rows:
+        shown = shown.where(F.col("row_in_group") <= rows)
+    hidden = F.greatest(F.col("group_size") - F.lit(rows), F.lit(0)) if rows else F.lit(0).cast("bigint")
     return (shown.join(sizes, "review_group")
-            .withColumn("hidden", F.greatest(F.col("group_size") - F.lit(rows), F.lit(0)))
+            .withColumn("hidden", hidden)
             .withColumn("event_count", event_count())
             .orderBy(_group_order(by), "review_group", "row_in_group"))
 
@@ -114,9 +117,9 @@ def run_statistics(records: DataFrame, rejects: DataFrame, findings: DataFrame)
         F.coalesce(F.sum("skips"), F.lit(0)).alias("skipped"))
     hits = findings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("findings"), F.count(F.lit(1)).alias("rules_hit"))
-    # Both sides are one row.
-    one = F.lit(1).alias("one")
-    return files.select("*", one).join(hits.select("*", one), "one").drop("one")
+    # one row each; brought together by aggregation, not by a join without a key
+    shape = ("files_parsed", "lines_parsed", "skipped", "findings", "rules_hit")
+    return files.unionByName(hits, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in shape])
 
 
 def rule_listing(spark, rules: Sequence[Rule]) -> DataFrame:

@@ -17,7 +17,7 @@ from wardlog.operators.normalize import normalize
 from wardlog.operators.predicates import matching
 from wardlog.operators.rules import Rule, load_rules, rule_catalog, rule_from
 from wardlog.operators.scan import scan
-from wardlog.operators.summary import (REPORT_TOP_LIMIT, detail_rows, event_count, findings_by_severity,
+from wardlog.operators.summary import (REPORT_TOP_LIMIT, REVIEW_ROWS, detail_rows, event_count, findings_by_severity,
                                        grouped_review, highest_severity, rule_hits, run_statistics, timeline,
                                        top_counts, top_values)
 from wardlog.operators.windows import detect_keyed
@@ -217,12 +217,12 @@ def scan_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_findings(scan(access_records(spark, sf_dir), PACK, "high"), include_raw=True)
+    return flat_findings(scan(access_records(spark, sf_dir), PACK), include_raw=True)
 
 
 def findings_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "findings")
-    findings = scan(access_records(spark, sf_dir), PACK, "critical")
+    findings = scan(access_records(spark, sf_dir), PACK)
     write_findings_json(findings, folder)
     shape = findings.select(*[c for c in FINDING_COLUMNS if c != "raw_line"]).schema
     return spark.read.schema(shape).json(folder).select(
@@ -296,8 +296,8 @@ def rule_catalog_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.join(hits, "rule_id", "left").orderBy("rule_id")
 
 
-def _review(by: str) -> Query:
-    return lambda spark, sf_dir: grouped_review(_line_findings(spark, sf_dir), by, 25).select(
+def _review(by: str, rows: int = REVIEW_ROWS) -> Query:
+    return lambda spark, sf_dir: grouped_review(_line_findings(spark, sf_dir), by, rows).select(
         "review_group", "group_size", "hidden", "row_in_group", "rule_id", "level", "timestamp", "line_number")
 
 
@@ -308,7 +308,7 @@ def most_severe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = _w3c_source(spark, sf_dir)
     records = normalize(source.rows)
-    return run_statistics(records, source.rejects, scan(records, PACK, "medium"))
+    return run_statistics(records, source.rejects, scan(records, PACK))
 
 
 def report_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,8 +336,7 @@ def _stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings = _run_stream(spark, scan(_stream_records(spark, sf_dir), PACK, "critical").select("rule_id", "line_number"))
-    return findings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.sum("line_number").alias("line_sum"))
+    return _run_stream(spark, scan(_stream_records(spark, sf_dir), PACK).select("rule_id", "line_number"))
 
 
 def _stream_keyed(*rules: Rule) -> Query:
@@ -389,6 +388,7 @@ def all_queries() -> dict[str, Query]:
         "category_summary": category_summary,
         "rule_catalog_hits": rule_catalog_hits,
         **{f"grouped_review_{by}": _review(by) for by in REVIEW_GROUPS},
+        "review_without_limit": _review("level", 0),
         "highest_severity": most_severe,
         "run_stats": run_stats,
         "report_detail": report_detail,

@@ -1,8 +1,9 @@
 """CSV exports of access logs: header names in common spellings, quoted commas and line breaks.
 
-Lines are records unless a quoted cell holds a line break. Only files with a line that leaves a
-quote open (an odd number of quotes) take the path that joins lines; there, such lines open and
-close in turn.
+Lines are records unless a quoted cell holds a line break. Only files with a line that would leave a
+quoted cell open take the path that joins lines. There every line is a function on two states (outside
+or inside a quoted cell); the functions are composed along the splits of a file, so the state before
+each line is known without reading a file in one task, and a stray quote inside a cell stays text.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from wardlog.functions.text import text_array
 from wardlog.lineage import settle, sized
 from wardlog.schema import W3C_COLUMNS
-from wardlog.sources.lines import (LogSource, earlier, from_files, line_at, numbered, path_text, split_table,
+from wardlog.sources.lines import (LogSource, from_files, line_at, numbered, path_text, split_table,
                                    text_lines)
 
 # Header spellings (lower case, blanks and underscores as hyphens) -> W3C names.
@@ -33,8 +34,6 @@ HEADER_SPELLINGS = {
     "referrer": "cs(Referer)",
 }
 OTHER_W3C_NAMES = ("s-computername", "s-port", "cs-version")
-# A record joined from several lines may hold this many characters; longer ones are rejected.
-MAX_JOINED_CHARS = 8 << 20
 # Ranges of joined lines are looked up by blocks of this many lines.
 LINE_BLOCK = 4096
 
@@ -79,20 +78,59 @@ def cell_count(record: Column) -> Column:
     return F.when(record.contains('"'), F.size(_raw_cells(record))).otherwise(F.size(F.split(record, ",", -1)))
 
 
-def _odd_quotes(value: Column) -> Column:
-    return (F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))) % 2 == 1
+def left_open(record: Column) -> Column:
+    """Whether a record, read from its start, ends inside a quoted cell."""
+    last = F.element_at(_raw_cells(record), -1)
+    # doubled quotes are text; any other quote after the first closes the cell
+    closes = F.replace(F.substring(last, 2, 1 << 30), F.lit('""'), F.lit("")).contains('"')
+    return record.contains('"') & last.startswith('"') & ~closes
+
+
+def _turning_lines(lines: DataFrame) -> DataFrame:
+    """Lines at which a quoted cell stays open or is closed at last, numbered through the file (`turn`).
+
+    A line maps the state before it to the state after it: it keeps or flips it, or sets it. The state before a line
+    is what the last setting line set, flipped as often as lines since then flip; first within the split, then over splits.
+    """
+    value = F.col("value")
+    in_split = Window.partitionBy("file_path", "split_start").orderBy("line_number")
+    so_far = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    effects = (lines.where(value.contains('"'))
+               .select("file_path", "split_start", "line_number", "file_lines",
+                       left_open(value).cast("int").alias("from_out"), left_open(F.concat(F.lit('"'), value)).cast("int").alias("from_in"))
+               .withColumn("sets", F.when(F.col("from_out") == F.col("from_in"), F.col("from_out")))
+               .withColumn("flips", ((F.col("from_out") == 1) & (F.col("from_in") == 0)).cast("int")))
+    effects = settle(effects.withColumn("flipped", F.sum("flips").over(so_far))
+                     .withColumn("setting", F.when(F.col("sets").isNotNull(), F.struct("sets", "flipped"))))
+    by_split = effects.groupBy("file_path", "split_start").agg(
+        F.max_by("setting", F.when(F.col("setting").isNotNull(), F.col("line_number"))).alias("set_at"), F.sum("flips").alias("all_flips"))
+    before_split = Window.partitionBy("file_path").orderBy("split_start")
+    running = before_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier_splits = before_split.rowsBetween(Window.unboundedPreceding, -1)
+    starts = (by_split.withColumn("after", F.when(F.col("set_at").isNotNull(), (F.col("set_at.sets") + F.col("all_flips") - F.col("set_at.flipped")) % 2))
+              .withColumn("total", F.sum("all_flips").over(running))
+              .withColumn("fixed", F.when(F.col("after").isNotNull(), F.struct("after", "total")))
+              .withColumn("known", F.last("fixed", ignorenulls=True).over(earlier_splits))
+              .select("file_path", "split_start", ((F.coalesce("known.after", F.lit(0)) + F.col("total") - F.col("all_flips") - F.coalesce("known.total", F.lit(0))) % 2).alias("start_state")))
+    known = F.last("setting", ignorenulls=True).over(in_split.rowsBetween(Window.unboundedPreceding, -1))
+    state = (F.coalesce("known.sets", "start_state") + F.col("flipped") - F.col("flips") - F.coalesce("known.flipped", F.lit(0))) % 2
+    turning = settle(effects.join(sized(settle(starts)), ["file_path", "split_start"]).withColumn("known", known).withColumn("state", state)
+                     .where(F.col("state") != F.when(F.col("state") == 1, F.col("from_in")).otherwise(F.col("from_out")))
+                     .select("file_path", "split_start", "line_number", "file_lines"))
+    counts = turning.groupBy("file_path", "split_start").agg(F.count(F.lit(1)).alias("here"))
+    offsets = counts.select("file_path", "split_start", F.coalesce(F.sum("here").over(earlier_splits), F.lit(0)).alias("turns_before"))
+    return (turning.join(sized(settle(offsets)), ["file_path", "split_start"])
+            .withColumn("turn", F.col("turns_before") + F.row_number().over(in_split) - 1))
 
 
 def _joined(lines: DataFrame) -> DataFrame:
     """Records of files in which cells hold line breaks; a record's number is its last line.
 
     Opening and closing lines are numbered through the splits of a file, so each range is found
-    from two rows; a range left open runs to the end of its file.
+    from two rows; a range left open runs to the end of its file. Cells are counted per line, so a
+    record of a wrong width is refused (without text) before any lines are brought together.
     """
-    in_split = Window.partitionBy("file_path", "split_start").orderBy("line_number")
-    borders = (lines.where(_odd_quotes(F.col("value")))
-               .withColumn("turn", F.col("odd_before") + F.row_number().over(in_split) - 1))
-    ranges = settle(borders.groupBy("file_path", F.floor(F.col("turn") / 2).alias("pair")).agg(
+    ranges = settle(_turning_lines(lines).groupBy("file_path", F.floor(F.col("turn") / 2).alias("pair")).agg(
         F.min("line_number").alias("first_line"), F.count(F.lit(1)).alias("ends"),
         F.max("line_number").alias("last_line"), F.first("file_lines").alias("file_lines"))
         .withColumn("last_line", F.when(F.col("ends") == 2, F.col("last_line")).otherwise(F.col("file_lines"))))
@@ -102,16 +140,20 @@ def _joined(lines: DataFrame) -> DataFrame:
         F.explode(F.sequence(F.floor(F.col("first_line") / LINE_BLOCK), F.floor(F.col("last_line") / LINE_BLOCK))).alias("block"))
     placed = lines.join(sized(settle(spans)), (F.col("file_path") == F.col("in_file")) & (block == F.col("block"))
                         & F.col("line_number").between(F.col("first_line"), F.col("last_line")), "left")
-    single = placed.where(F.col("first_line").isNull()).select("file_path", "line_number", "value")
-    pieces = placed.where(F.col("first_line").isNotNull())
+    single = placed.where(F.col("first_line").isNull()).select("file_path", "line_number", "value", cell_count(F.col("value")).alias("given"))
+    # a line that begins inside a cell, read as a record of its own
+    alone = F.when(F.col("line_number") == F.col("first_line"), F.col("value")).otherwise(F.concat(F.lit('"'), "value"))
+    pieces = (placed.where(F.col("first_line").isNotNull()).withColumn("cells_here", cell_count(alone))
+              .withColumn("has_text", F.exists(cells_of(alone), lambda c: ~c.rlike(r"^\s*\z"))))
     key = ["file_path", "first_line", "last_line"]
-    sizes = pieces.groupBy(*key).agg(F.sum(F.length("value") + 1).alias("chars"))
-    too_long = sizes.where(F.col("chars") > MAX_JOINED_CHARS)
-    whole = (pieces.join(too_long, key, "left_anti").groupBy(*key)
+    widths = pieces.groupBy(*key).agg((F.sum("cells_here") - F.count(F.lit(1)) + 1).cast("int").alias("given"),
+                                      F.max(F.size("all_names")).alias("wanted"), F.max("has_text").alias("has_text"))
+    whole = (pieces.join(widths.where("given = wanted"), key).groupBy(*key, "given")
              .agg(F.array_sort(F.collect_list(F.struct("line_number", "value"))).alias("parts"))
              .select("file_path", F.col("last_line").alias("line_number"),
-                     F.array_join("parts.value", "\n").alias("value")))
-    refused = too_long.select("file_path", F.col("last_line").alias("line_number"), F.lit(None).cast("string").alias("value"))
+                     F.array_join("parts.value", "\n").alias("value"), "given"))
+    refused = widths.where("has_text and (given <> wanted or wanted is null)").select(
+        "file_path", F.col("last_line").alias("line_number"), F.lit(None).cast("string").alias("value"), "given")
     return single.unionByName(whole).unionByName(refused)
 
 
@@ -122,7 +164,7 @@ def _empty_files(spark: SparkSession, paths: Sequence[str], name_glob: str | Non
     seen = files.select(path_text(F.col("file_path")).alias("log_file"))
     return (listed.select(path_text(F.col("file")).alias("log_file")).join(seen, "log_file", "left_anti")
             .select("log_file", F.lit(0).cast("bigint").alias("line_number"),
-                    F.lit("no CSV header row found").alias("reason")))
+                    F.lit("file without a header record").alias("reason")))
 
 
 def read_csv(spark: SparkSession, paths: Sequence[str], name_glob: str | None = None) -> LogSource:
@@ -138,7 +180,7 @@ def read_csv(spark: SparkSession, paths: Sequence[str], name_glob: str | None =
     splits = split_table(
         lines,
         header=F.min_by(F.struct("id", "value"), F.when(heads, F.col("id"))),
-        odd=F.count(F.when(_odd_quotes(value), 1)),
+        opens=F.count(F.when(left_open(value), 1)),
         # Keeps the aggregation hash-based although the header is text.
         sample=F.collect_list(F.lit(None).cast("int")))
     whole_file = Window.partitionBy("file_path")
@@ -150,8 +192,7 @@ def read_csv(spark: SparkSession, paths: Sequence[str], name_glob: str | None =
                                                 F.struct(line_at(F.col("header.id")).alias("at"), "header.value")))
         .withColumn("header", header)
         .withColumn("header_line", F.col("header.at")).withColumn("header_text", F.col("header.value"))
-        .withColumn("odd_before", earlier("odd"))
-        .withColumn("joins", F.sum("odd").over(whole_file) > 0)
+        .withColumn("joins", F.sum("opens").over(whole_file) > 0)
         .withColumn("file_lines", F.sum("lines").over(whole_file))
         .withColumn("all_names", names)
         .withColumn("names", F.array_distinct("all_names"))
@@ -162,16 +203,15 @@ def read_csv(spark: SparkSession, paths: Sequence[str], name_glob: str | None =
                                               ("header_line", "all_names", "names", "positions")])
     numbered_lines = numbered(lines, splits)
     layout = ["header_line", "all_names", "names", "positions"]
-    records = numbered_lines.where("not joins").select("file_path", "line_number", "value", *layout)
+    records = numbered_lines.where("not joins").select("file_path", "line_number", "value", cell_count(value).alias("given"), *layout)
     if not splits.where("joins").isEmpty():
         joined = _joined(numbered_lines.where("joins"))
         records = records.unionByName(joined.join(sized(settle(files)), "file_path"))
 
-    width, given = F.size("all_names"), cell_count(F.col("value"))
+    width, given = F.size("all_names"), F.col("given")
     parsed = (records.where(F.col("header_line").isNotNull() & (F.col("line_number") > F.col("header_line")))
               .where(F.coalesce(~F.col("value").rlike(_BLANK_LINE), F.lit(True)))
-              .withColumn("reason", F.when(F.col("value").isNull(), F.lit("record too long"))
-                          .when(given != width, F.concat(F.lit("expected "), width, F.lit(" columns, got "), given))))
+              .withColumn("reason", F.when(given != width, F.concat(given, F.lit(" cells under "), width, F.lit(" column names")))))
     filled = F.transform("cells", lambda c: F.when(c.rlike(r"^\s*\z"), F.lit("-")).otherwise(c))
     picked = F.when(F.size("names") == width, filled).otherwise(F.transform("positions", lambda p: F.get(filled, p)))
     log_file = path_text(F.col("file_path")).alias("log_file")
@@ -181,9 +221,9 @@ def read_csv(spark: SparkSession, paths: Sequence[str], name_glob: str | None =
     rejects = (parsed.where(F.col("reason").isNotNull()).select(log_file, "line_number", "reason")
                .unionByName(files.where(F.size("names") < F.size("all_names")).select(
                    log_file, F.col("header_line").alias("line_number"),
-                   F.lit("duplicate column names in CSV header").alias("reason")))
+                   F.lit("header repeats a column name").alias("reason")))
                .unionByName(files.where(F.col("header_line").isNull()).select(
                    log_file, F.lit(0).cast("bigint").alias("line_number"),
-                   F.lit("no CSV header row found").alias("reason")))
+                   F.lit("file without a header record").alias("reason")))
                .unionByName(_empty_files(spark, paths, name_glob, files)))
     return LogSource(rows, rejects)

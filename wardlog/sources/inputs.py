@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
@@ -11,50 +12,104 @@ from wardlog.sources.lines import LogSource
 from wardlog.sources.w3c import read_w3c
 
 
+def _system(spark: SparkSession, spec: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(spec)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _below(spark: SparkSession, folder: str) -> list[str]:
+    """All files under a folder."""
+    path, system = _system(spark, folder)
+    found, files = [], system.listFiles(path, True)
+    while files.hasNext():
+        found.append(files.next().getPath().toString())
+    return sorted(found)
+
+
+def _pattern(glob: str) -> str:
+    """Regular expression of a glob in which ``**/`` stands for any folders, none included."""
+    out = ""
+    for token in re.findall(r"\*\*/|\*\*|\*|\?|\[!?[^\]]+\]|.", glob):
+        out += {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(
+            token, token.replace("[!", "[^") if token.startswith("[") and len(token) > 1 else re.escape(token))
+    return out
+
+
 def _glob_files(spark: SparkSession, pattern: str) -> list[str]:
-    """Files (not folders) that match, from the file system of the path."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    statuses = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(s.getPath().toString() for s in statuses or () if s.isFile())
+    """Files (not folders) that match, from the file system of the path; ``**`` goes down into folders."""
+    if "**" in pattern:
+        base = pattern[: re.search(r"[*?\[{]", pattern).start()].rpartition("/")[0] or ("/" if pattern.startswith("/") else ".")
+        path, system = _system(spark, base)
+        if not system.exists(path):
+            return []
+        root = system.getFileStatus(path).getPath().toString().rstrip("/")
+        inner = re.compile(_pattern(pattern[len(base):].lstrip("/")) + r"\Z")
+        return [f for f in _below(spark, base) if inner.match(f[len(root) + 1:])]
+    path, system = _system(spark, pattern)
+    return sorted(s.getPath().toString() for s in system.globStatus(path) or () if s.isFile())
 
 
-def _is_folder(spark: SparkSession, spec: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(spec)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return system.exists(path) and system.getFileStatus(path).isDirectory()
+def _kind(spark: SparkSession, spec: str) -> str:
+    """What a path names as it stands, whatever characters its name has: ``folder``, ``file`` or nothing."""
+    path, system = _system(spark, spec)
+    if not system.exists(path):
+        return ""
+    return "folder" if system.getFileStatus(path).isDirectory() else "file"
+
+
+def _literal(path: str) -> str:
+    """A path for the readers, which take ``[``, ``{``, ``*`` and ``?`` for patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def _hidden(path: str) -> bool:
+    """Names that the file sources of Spark pass over."""
+    return path.rsplit("/", 1)[-1].startswith(("_", "."))
 
 
 def read_logs(spark: SparkSession, spec: str | Sequence[str], strict: bool = False) -> LogSource:
     """Raw rows of log files.
 
-    A folder is searched recursively for ``*.log`` and ``*.csv``; a glob takes every file it
-    matches. Names ending in ``.csv`` are CSV exports, all others W3C logs. Without any match this
+    A path that exists is taken as it is; a folder is searched recursively for ``*.log`` and ``*.csv``; anything
+    else is a glob that takes every file it matches, ``**`` in any folder below. Files whose name begins with
+    ``_`` or ``.`` are not readable by Spark and become rejects. Names ending in ``.csv`` are CSV exports, all others W3C logs. Without any match this
     raises ``FileNotFoundError``; in a list of several inputs a missing one becomes a reject.
     """
     specs = [spec] if isinstance(spec, str) else list(spec)
     parts: list[LogSource] = []
     files: list[str] = []
     missing: list[str] = []
+    hidden: list[str] = []
     for one in specs:
-        if _is_folder(spark, one):
-            parts += [read_w3c(spark, [one], "*.log"), read_csv(spark, [one], "*.csv")]
+        kind = _kind(spark, one)
+        if kind == "folder":
+            folder = _literal(one)
+            parts += [read_w3c(spark, [folder], "*.log"), read_csv(spark, [folder], "*.csv")]
+            hidden += [f for f in _below(spark, one) if _hidden(f) and f.endswith((".log", ".csv"))]
         else:
-            found = _glob_files(spark, one)
+            found = [one] if kind else _glob_files(spark, one)
+            hidden += [f for f in found if _hidden(f)]
+            named = len(found)
+            found = [_literal(f) for f in found if not _hidden(f)]
             files += found
-            if not found:
+            if not named:
                 missing.append(one)
     if missing and len(missing) == len(specs):
-        raise FileNotFoundError(f"No log files found for input: {spec!r}")
+        raise FileNotFoundError(f"nothing to read at {spec!r}")
     exports = [f for f in files if f.lower().endswith(".csv")]
     logs = [f for f in files if not f.lower().endswith(".csv")]
     if logs:
         parts.append(read_w3c(spark, logs))
     if exports:
         parts.append(read_csv(spark, exports))
+    if not parts:
+        parts.append(LogSource(spark.createDataFrame([], "log_file string, line_number bigint, raw_line string, fields map<string,string>"),
+                               spark.createDataFrame([], "log_file string, line_number bigint, reason string")))
     source = parts[0]
     for part in parts[1:]:
         source = source.union(part)
-    if missing:
-        gone = spark.createDataFrame([(m, 0, f"Cannot read {m}") for m in missing], source.rejects.schema)
+    if missing or hidden:
+        unread = [(m, 0, "not found") for m in missing] + [(re.sub("^file:(//)?(?=/)", "", h), 0, "hidden file name, not read") for h in hidden]
+        gone = spark.createDataFrame(unread, source.rejects.schema)
         source = LogSource(source.rows, source.rejects.unionByName(gone))
     return source.strict() if strict else source

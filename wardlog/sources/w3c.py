@@ -101,7 +101,7 @@ def read_w3c(spark: SparkSession, paths: Sequence[str], name_glob: str | None =
     width, given = F.col("layout.width"), F.size("cells")
     problem = (F.when(~_is_data(value), F.when(value.rlike(rf"^{FIELDS_MARK}\s*\z"), F.lit("empty #Fields: header")))
                .when(F.col("layout").isNull(), F.lit("data before any #Fields: header; skipping remainder of file"))
-               .when(width != given, F.concat(F.lit("expected "), width, F.lit(" fields, got "), given)))
+               .when(width != given, F.concat(given, F.lit(" values under "), width, F.lit(" field names"))))
     parsed = (numbered(lines, splits)
               .where(F.coalesce(F.col("line_number") <= F.col("cut"), F.lit(True)))
               .where(_is_data(value) | value.startswith(FIELDS_MARK))
