@@ -207,3 +207,59 @@ def test_cut_repeats(spark, unit, monkeypatch):
     assert substrings.cut_repeats(odd_frame(spark)).count() == len(ODD) + 3
     assert substrings.cut_repeats(empty_frame(spark), spans=False).columns == [c.split()[0] for c in SCHEMA.split(", ")]
     assert rows([]) == []
+
+
+def copy_families(rng):
+    """Families of texts whose members change few words, and texts that share no more than a common opening."""
+    texts, family = [], []
+    for number in range(6):
+        base = prose(rng, 14).split()
+        for _ in range(5):
+            words = list(base)
+            for _ in range(2):
+                words[rng.randrange(len(words))] = "changed%d" % rng.randrange(10**6)
+            texts.append(" ".join(words))
+            family.append(number)
+    opening = prose(rng, 2)
+    return texts + [opening + " " + prose(rng, 14) for _ in range(12)], family + list(range(100, 112))
+
+
+@pytest.mark.parametrize("hot,piece", [(4096, 1 << 16), (2, 1 << 16), (4096, 8)])
+def test_near_copies(spark, monkeypatch, hot, piece):
+    """Against Jaccard similarity of five-word shingles by brute force: every pair at 0.85 or more, none below 0.6."""
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    texts, family = copy_families(random.Random(11))
+    texts += [texts[0].upper(), "  " + texts[5].replace(" ", "\n")]
+    family += [family[0], family[5]]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame(spark, texts).repartition(3), hot=hot).collect()}
+    shingles = [{tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    for a in range(len(texts)):
+        for b in range(a):
+            alike = len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+            if alike >= 0.85:
+                assert got[a] == got[b]
+            if family[a] != family[b]:
+                assert alike < 0.6 and got[a] != got[b]
+    kept = simhash.keep_one(frame(spark, texts), groups=simhash.near_copies(frame(spark, texts), hot=hot))
+    assert kept.count() == len(set(got.values()))
+
+
+def test_near_copies_of_odd_rows(spark):
+    odd = simhash.near_copies(odd_frame(spark)).collect()
+    assert len(odd) == len(ODD) + 1  # rows without id are not grouped
+    by_id = {r["doc_id"]: r["component_id"] for r in odd}
+    assert by_id[0] == by_id[1] == by_id[2] == by_id[3] == 0 and by_id[16] == by_id[15] == 15
+    assert simhash.near_copies(empty_frame(spark)).count() == 0
+
+
+def test_classes_of_a_large_group():
+    """Thousands of members of one family and some others in one group: the classes of brute force."""
+    rng = np.random.default_rng(5)
+    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, 3).astype(np.uint64)) for _ in range(3000)])
+    values = np.unique(np.concatenate([np.uint64(0x0123456789ABCDEF) ^ flips, rng.integers(0, 1 << 63, 50, dtype=np.uint64)]))
+    values = values[np.argsort(simhash.gray_rank(values))]
+    label = simhash.GrayIndex(np.zeros(len(values), np.int64), values).classes(6, lambda i, j: np.ones(len(i), bool))
+    far = np.bitwise_count(values[:, None] ^ values[None, :]) > 6
+    plain = np.arange(len(values))
+    left, right = np.nonzero(~far)
+    assert (label == simhash.joined(plain, left, right)).all()
