@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -263,3 +264,19 @@ def test_classes_of_a_large_group():
     plain = np.arange(len(values))
     left, right = np.nonzero(~far)
     assert (label == simhash.joined(plain, left, right)).all()
+
+
+@pytest.mark.parametrize("piece", [1 << 16, 64])
+def test_links_carry_the_names_of_their_members(piece):
+    """Names in no order of the prints: every link joins two members of one family."""
+    rng = np.random.default_rng(9)
+    family = rng.integers(0, 40, 400)
+    centers = rng.integers(0, 1 << 63, (40, simhash.WIDE), dtype=np.uint64)
+    wide = centers[family] ^ (np.uint64(1) << rng.integers(0, 64, (400, simhash.WIDE)).astype(np.uint64))
+    key = np.sort(rng.integers(0, 3, 400))
+    name = rng.permutation(400)
+    of = dict(zip(name.tolist(), family.tolist()))
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(400, -1)), pa.array(name), pa.array([w.tobytes() for w in wide])], names=["key", "sub", "name", "wide"])
+    links = [(a, b) for out in simhash._near_links_in_partition(0.8, piece)(iter([batch.slice(k, 32) for k in range(0, 400, 32)])) for a, b in zip(out[0].to_pylist(), out[1].to_pylist())]
+    groups = len(set(zip(key.tolist(), family.tolist())))
+    assert all(of[a] == of[b] for a, b in links) and len({a for a, _ in links}) == 400 - groups

@@ -310,11 +310,11 @@ def _near_links_in_partition(similarity: float, piece: int):
 
     def solved(group: np.ndarray, name: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((gray_rank(wide[:, 0]), group))
-        wide, name = wide[order], name[order]
+        wide = wide[order]
         label = GrayIndex(group[order], np.ascontiguousarray(wide[:, 0])).classes(first, lambda i, j: np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= radius)
         back = np.empty(len(order), np.int64)
         back[order] = order[label]
-        return name[order], name[order][label], back
+        return name, name[back], back
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
