@@ -140,3 +140,12 @@ def test_windows_without_a_common_range_run_apart(spark, monkeypatch):
     rules = [keyed_rule(f"r{m}", count_gte=2, window_minutes=m) for m in (7, 11, 13)]
     assert len(windows._window_batches(rules)) > 1
     assert sorted(r.rule_id for r in detect_keyed(probe(spark, 0, 500, 1200), rules).collect()) == ["r11", "r13"]
+
+
+def test_rarity_counts_without_payload(spark):
+    rule = rule_from({"id": "rare", "title": "R", "level": "low", "type": "aggregation", "aggregation": {
+        "group_by": ["uri_path"], "count_lte": 2, "window_minutes": 1}})
+    rows = records(spark, [(T0 + i, "1.1.1.1", 200, f"/p{i % 7}", "t.log", i) for i in range(15)])
+    found = detect_keyed(rows, [rule])
+    assert sorted(r.line_number for r in found.collect()) == [1, 2, 3, 4, 5, 6]
+    assert "SortAggregate" not in found._jdf.queryExecution().toString()

@@ -194,16 +194,19 @@ def windowed(records: DataFrame, rules: Sequence[Rule], active: Sequence[Rule])
 
 def rare(records: DataFrame, rules: Sequence[Rule], active: Sequence[Rule]) -> DataFrame:
     """Findings of rarity rules: keys seen at most n times in the whole input, shown by their first
-    row. The window of such a rule has no effect."""
-    row = F.struct(*record_columns(records)).alias("row")
+    row. The window of such a rule has no effect.
+
+    Keys are counted without any payload; only rows of the keys within the bound are looked up again.
+    """
     bounds = records.sparkSession.createDataFrame(pa.Table.from_pylist(
         [{"rule_seq": rules.index(r), "at_most": r.grouping.at_most} for r in active],
         schema=pa.schema([("rule_seq", pa.int32()), ("at_most", pa.int64())])))
-    counted = mark_rows(records, rules, active, [row]).groupBy(*GROUP).agg(
-        F.count(F.lit(1)).alias("event_count"),
-        F.min_by("row", F.struct("row.log_file", "row.line_number")).alias("row"))
-    few = counted.join(F.broadcast(bounds), "rule_seq").where("event_count <= at_most")
-    return _keyed_findings(few.select("rule_seq", "key", "event_count", "row.*"), rules, RARITY_PHASE)
+    counted = mark_rows(records, rules, active, []).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("event_count"))
+    few = sized(settle(counted.join(F.broadcast(bounds), "rule_seq").where("event_count <= at_most").drop("at_most")))
+    in_key = Window.partitionBy(*GROUP).orderBy("log_file", "line_number")
+    first = (mark_rows(records, rules, active, record_columns(records)).join(few, GROUP)
+             .withColumn("nth", F.row_number().over(in_key)).where("nth = 1"))
+    return _keyed_findings(first.select("rule_seq", "key", "event_count", *FINDING_RECORD_COLUMNS.values()), rules, RARITY_PHASE)
 
 
 def _keyed_findings(matches: DataFrame, rules: Sequence[Rule], phase: int) -> DataFrame:

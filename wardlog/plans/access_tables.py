@@ -20,6 +20,11 @@ ERROR_STATUS = (401, 403, 404, 500)
 USERNAMES = ("o'brien;--", "union", "jdoe", "or+1=1")
 PERIOD = 151  # requests between two uses of the same pattern
 
+# The same requests packed into a burst: so many a second from this time on, from so many clients, most for one path, and
+# once in ONCE_IN a file that nothing else asks for.
+BURST_START, BURST_RATE, BURST_CLIENTS, BURST_PATH, ONCE_IN = 1_735_700_400, 40, 3, "/portal/home", 997
+ONCE_PATHS = ("/archive/%d.zip", "/once/%d.aspx")
+
 # (path, query) of requests with a pattern; "-" is an absent query.
 PATTERNS = (
     ("/upload/test.aspx", "cmd=whoami"),
@@ -170,3 +175,15 @@ def raw_requests(spark: SparkSession, sf_dir: str, events: DataFrame | None = No
 def access_records(spark: SparkSession, sf_dir: str, zone: str = "UTC", events: DataFrame | None = None) -> DataFrame:
     """Normalised records of all events."""
     return normalize(raw_requests(spark, sf_dir, events), zone)
+
+
+def burst_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised records of all events, packed so densely that every keyed rule of the bundled pack has something to find."""
+    raw = raw_requests(spark, sf_dir)
+    event = F.col("line_number") - 1
+    at = F.timestamp_seconds(F.lit(BURST_START) + F.floor(event / BURST_RATE))
+    once = F.when(event % ONCE_IN == 0, F.format_string(ONCE_PATHS[0], event)).when(event % ONCE_IN == 1, F.format_string(ONCE_PATHS[1], event))
+    return normalize(raw.withColumns({
+        "date": F.date_format(at, "yyyy-MM-dd"), "time": F.date_format(at, "HH:mm:ss"),
+        "c-ip": F.concat(F.lit("10.9.0."), (event % BURST_CLIENTS).cast("string")),
+        "cs-uri-stem": F.coalesce(once, F.when(event % 4 != 0, F.lit(BURST_PATH)), F.col("cs-uri-stem"))}))

@@ -11,7 +11,8 @@ from math import ceil, floor
 from wardlog.functions.clock import offset_seconds
 from wardlog.functions.severity import LEVELS, REVIEW_LEVELS, at_least
 from wardlog.operators.rules import FieldTest, Rule, Selection
-from wardlog.plans.access_tables import AGENTS, ERROR_STATUS, PATTERNS, PERIOD, USERNAMES
+from wardlog.plans.access_tables import (AGENTS, BURST_CLIENTS, BURST_PATH, BURST_RATE, BURST_START, ERROR_STATUS, ONCE_IN,
+                                        ONCE_PATHS, PATTERNS, PERIOD, USERNAMES)
 from wardlog.plans.queries import CSV_FIELDS, KEYED, LINES_PER_FILE, PACK, PREDICATES, W3C_ORDERS, ZONE
 from wardlog.schema import FINDING_COLUMNS, INTEGER_COLUMNS, REVIEW_GROUPS, TIMELINE_COLUMNS, TOP_FIELDS
 
@@ -80,6 +81,17 @@ rec AS MATERIALIZED (
 
 WITH_REC = f"WITH RECURSIVE {REQ},{REC}"
 
+BURST = f"""
+burst AS (
+  SELECT * REPLACE (
+    strftime(make_timestamp(({BURST_START} + event_id // {BURST_RATE}) * 1000000), '%Y-%m-%d') AS "date",
+    strftime(make_timestamp(({BURST_START} + event_id // {BURST_RATE}) * 1000000), '%H:%M:%S') AS "time",
+    '10.9.0.' || (event_id % {BURST_CLIENTS}) AS "c-ip",
+    CASE WHEN event_id % {ONCE_IN} = 0 THEN replace({text(ONCE_PATHS[0])}, '%d', CAST(event_id AS VARCHAR))
+         WHEN event_id % {ONCE_IN} = 1 THEN replace({text(ONCE_PATHS[1])}, '%d', CAST(event_id AS VARCHAR))
+         WHEN event_id % 4 <> 0 THEN {text(BURST_PATH)} ELSE "cs-uri-stem" END AS "cs-uri-stem") FROM req)"""
+WITH_BURST = f"WITH RECURSIVE {REQ},{BURST},{REC.replace('FROM req)', 'FROM burst)')}"
+
 
 def test_sql(test: FieldTest) -> str:
     column = f'"{test.name}"'
@@ -175,9 +187,9 @@ def keyed_arm(rule: Rule, name: str) -> tuple[str, str]:
     return ctes, f"SELECT {out} k || ';' || n AS matched_values FROM {name}_d JOIN {name}_f USING (k, sec)"
 
 
-def keyed_sql(*rules: Rule) -> str:
+def keyed_sql(*rules: Rule, source: str = WITH_REC) -> str:
     arms = [keyed_arm(rule, f"a{i}") for i, rule in enumerate(rules)]
-    return f"{WITH_REC},\n" + ",\n".join(c for c, _ in arms) + "\n" + "\nUNION ALL ".join(s for _, s in arms)
+    return f"{source},\n" + ",\n".join(c for c, _ in arms) + "\n" + "\nUNION ALL ".join(s for _, s in arms)
 
 
 PLACE = f"event_id % {LINES_PER_FILE}"
@@ -252,6 +264,7 @@ def all_oracles() -> dict[str, str]:
                      + ", every AS (SELECT rule_id FROM hit JOIN catalog USING (rule_seq) "
                      + " ".join(f"UNION ALL SELECT rule_id FROM ({s})" for _, s in keyed_pack_arms)
                      + ") SELECT rule_id, rule_title, level, count(*) AS hits FROM every JOIN catalog USING (rule_id) GROUP BY ALL",
+        "pack_keyed": keyed_sql(*keyed_pack, source=WITH_BURST),
         **{f"top_{field}": f"{WITH_REC} {top_sql('rec', field, 20)}" for field in TOP_FIELDS},
         "timeline": f"{WITH_REC} SELECT {timeline_columns} FROM rec",
         "timeline_csv_roundtrip": f"""{WITH_REC} SELECT "timestamp", src_ip, method, uri_path, uri_query, username, status,

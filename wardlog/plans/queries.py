@@ -21,7 +21,7 @@ from wardlog.operators.summary import (REPORT_TOP_LIMIT, REVIEW_ROWS, detail_row
                                        grouped_review, highest_severity, rule_hits, run_statistics, timeline,
                                        top_counts, top_values)
 from wardlog.operators.windows import detect_keyed
-from wardlog.plans.access_tables import access_records, event_stream, request_fields
+from wardlog.plans.access_tables import access_records, burst_records, event_stream, request_fields
 from wardlog.plans.hunt import hunt
 from wardlog.schema import FINDING_COLUMNS, REVIEW_GROUPS, TOP_FIELDS
 from wardlog.sinks.writers import flat_findings, timeline_rows, write_findings_json, write_timeline_csv
@@ -249,6 +249,11 @@ def pack_hunt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_hits(hunt(access_records(spark, sf_dir), PACK))
 
 
+def pack_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyed rules of the bundled pack over bursts of requests."""
+    return _keyed_shape(detect_keyed(burst_records(spark, sf_dir), PACK))
+
+
 # --- summaries ---------------------------------------------------------------------------------
 
 def _top(field: str) -> Query:
@@ -377,6 +382,7 @@ def all_queries() -> dict[str, Query]:
         **{name: _keyed(rule) for name, rule in KEYED.items()},
         "multi_agg": _keyed(*KEYED.values()),
         "pack_hunt": pack_hunt,
+        "pack_keyed": pack_keyed,
         **{f"top_{field}": _top(field) for field in TOP_FIELDS},
         "timeline": timeline_rows_query,
         "timeline_csv_roundtrip": timeline_csv_roundtrip,
