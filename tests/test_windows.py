@@ -149,3 +149,24 @@ def test_rarity_counts_without_payload(spark):
     found = detect_keyed(rows, [rule])
     assert sorted(r.line_number for r in found.collect()) == [1, 2, 3, 4, 5, 6]
     assert "SortAggregate" not in found._jdf.queryExecution().toString()
+
+
+def test_cool_down_over_slots(spark):
+    """Fires of the slots are those of a walk along each key; one key holds most rows, times go back before 1970."""
+    rng = random.Random(3)
+    rows, expected = [], []
+    for seq, (pause, slot) in enumerate(((7, 60), (60, 60), (200, 60), (1, 5), (61, 1000))):
+        for key, many in (("hot", 20000), ("warm", 300), ("cold", 3)):
+            free_at = None
+            for sec in sorted(rng.sample(range(-15000, 15000), many)):
+                rows.append((seq, [key], sec, pause, sec // slot, slot))
+                if free_at is None or sec >= free_at:
+                    expected.append((seq, key, sec))
+                    free_at = sec + pause
+    rng.shuffle(rows)
+    reaching = spark.createDataFrame(rows, "rule_seq int, key array<string>, sec bigint, pause bigint, home bigint, slot bigint").selectExpr(
+        "*", "0L AS prior", "1L AS need", "false AS sequence")
+    got = [(r.rule_seq, r.key[0], r.sec) for r in windows.firing_seconds(reaching).collect()]
+    assert sorted(got) == sorted(expected)
+    none = windows.firing_seconds(reaching.where("sec > 99999"))
+    assert none.count() == 0

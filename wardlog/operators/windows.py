@@ -3,8 +3,8 @@
 All threshold and sequence rules run together: one pass marks the rows each rule counts, rows are
 pre-aggregated to (rule, key, second), and a range window over the seconds gives the sliding
 counts. Time slots with a look-back margin split every key, so a hot key is neither one task nor
-one group. Only seconds that reach a bound go on to the cool-down, and only seconds that fire are
-looked up in the records again.
+one group. Only seconds that reach a bound go on to the cool-down, which works slot by slot as well, and
+only seconds that fire are looked up in the records again.
 
 Order is event time, then log file and line. Counts cover the closed interval [t - window, t].
 """
@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 from math import ceil, floor, lcm
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -111,7 +112,7 @@ def _reaching_seconds(marks: DataFrame, parameters: DataFrame, common: int) -> D
     return (placed.withColumn("prior", counted_until(-1) - counted_until(-common - 1))
             .where((F.col("in_slot") == F.col("home")) & (F.col("prior") + F.col("n") >= F.col("need"))
                    & F.when(F.col("sequence"), F.col("follow_ups") > 0).otherwise(F.col("n") > 0))
-            .select(*SECOND, "prior", "need", "pause", "sequence"))
+            .select(*SECOND, "prior", "need", "pause", "sequence", "home", "slot"))
 
 
 def _in_second() -> Window:
@@ -147,28 +148,94 @@ def _settle_order(reaching: DataFrame, positions: DataFrame) -> DataFrame:
     return reaching.where(~crossing).unionByName(undecided.join(confirmed, SECOND, "left_semi"))
 
 
-def _cool_down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keep a second if the key's last kept one is at least the pause away.
-
-    Input is sorted by rule, key and second; state is one group and one time.
-    """
+def _whole_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Input sorted by slot name and second, in frames that never split a slot."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        frame = pd.concat([*held, batch], ignore_index=True)
+        if frame.empty:
+            continue
+        still_open = frame["slot_name"] == frame["slot_name"].iloc[-1]
+        if not still_open.all():
+            yield frame[~still_open]
+        held = [frame[still_open]]
+    if held:
+        yield held[0]
+
+
+def _next_fires(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Slot number of every row, and the row that fires after it in its slot (itself if none does)."""
+    names = frame["slot_name"].to_numpy()
+    slot = np.cumsum(np.concatenate(([False], names[1:] != names[:-1])))
+    sec, pause = frame["sec"].to_numpy() - frame["sec"].min(), frame["pause"].to_numpy()
+    place = slot * (sec.max() + pause.max() + 1) + sec
+    after = np.minimum(np.searchsorted(place, place + pause), len(place) - 1)
+    inside = (slot[after] == slot) & (place[after] >= place + pause)
+    return slot, np.where(inside, after, np.arange(len(place)))
+
+
+def _slot_outcomes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per slot: every second that can be its first fire, and the last fire that follows from it."""
+    for frame in _whole_slots(batches):
+        slot, last = _next_fires(frame)
+        while (last[last] != last).any():
+            last = last[last]
+        sec = frame["sec"].to_numpy()
+        opens = np.concatenate(([True], slot[1:] != slot[:-1]))
+        # a fire before the slot blocks less than one pause of it
+        blocked = (frame["home"] * frame["slot"] + frame["pause"]).to_numpy()
+        first = np.flatnonzero(opens | (np.concatenate(([0], sec[:-1])) < blocked))
+        cuts = np.flatnonzero(np.diff(slot[first])) + 1
+        yield frame.loc[opens, ["rule_seq", "key", "home", "pause", "slot_name"]].assign(
+            firsts=np.split(sec[first], cuts), lasts=np.split(sec[last[first]], cuts))
+
+
+def _chain_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first fire of every slot that has one. Input is sorted by rule, key and slot; state is one group and one time."""
     group, free_at = None, 0
     for batch in batches:
-        keep = []
-        for rule_seq, key, sec, pause in zip(batch["rule_seq"], batch["key"], batch["sec"], batch["pause"]):
+        entries, fired = [], []
+        for rule_seq, key, pause, firsts, lasts in zip(*(batch[c] for c in ("rule_seq", "key", "pause", "firsts", "lasts"))):
             here = (rule_seq, *key)
-            if here != group or sec >= free_at:
-                group, free_at = here, sec + pause
-                keep.append(True)
-            else:
-                keep.append(False)
-        yield batch[keep]
+            at = int(np.searchsorted(firsts, free_at)) if here == group else 0
+            fired.append(at < len(firsts))
+            if fired[-1]:
+                group, free_at = here, int(lasts[at]) + pause
+                entries.append(int(firsts[at]))
+        yield batch.loc[fired, ["slot_name"]].assign(entry=pd.Series(entries, dtype="int64").to_numpy())
+
+
+def _fill_slots(columns: list[str]):
+    """Rows of a slot that fire, given its first fire."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _whole_slots(batches):
+            _, onward = _next_fires(frame)
+            fires = np.zeros(len(frame), bool)
+            now = np.flatnonzero((frame["sec"] == frame["entry"]).to_numpy())
+            while now.size:
+                fires[now] = True
+                now = onward[now][onward[now] != now]
+            yield frame.loc[fires, columns]
+    return run
 
 
 def firing_seconds(reaching: DataFrame) -> DataFrame:
-    """At most one second per key and window."""
-    ordered = reaching.repartition(*GROUP).sortWithinPartitions(*SECOND)
-    return ordered.mapInPandas(_cool_down, ordered.schema)
+    """At most one second per key and window: a second fires if the key's last fire is at least the pause away.
+
+    Keys are cut into time slots, so a key that reaches its bound all the time is worked on in many tasks: every slot
+    works out, for each second that can be its first fire, the last one; only one row per slot is chained along a key.
+    """
+    columns = [*SECOND, "prior", "need", "pause", "sequence"]
+    named = settle(reaching.withColumn("slot_name", F.to_json(F.struct(*GROUP, "home"))))
+
+    def in_slots(frame: DataFrame) -> DataFrame:
+        return frame.repartition("slot_name").sortWithinPartitions("slot_name", "sec")
+
+    outcomes = in_slots(named.select(*SECOND, "home", "slot", "pause", "slot_name")).mapInPandas(
+        _slot_outcomes, "rule_seq int, key array<string>, home bigint, pause bigint, slot_name string, "
+                        "firsts array<bigint>, lasts array<bigint>")
+    entries = outcomes.repartition(*GROUP).sortWithinPartitions(*GROUP, "home").mapInPandas(_chain_slots, "slot_name string, entry bigint")
+    return in_slots(named.join(sized(settle(entries)), "slot_name")).mapInPandas(_fill_slots(columns), named.select(*columns).schema)
 
 
 def windowed(records: DataFrame, rules: Sequence[Rule], active: Sequence[Rule]) -> DataFrame:
