@@ -280,3 +280,34 @@ def test_links_carry_the_names_of_their_members(piece):
     links = [(a, b) for out in simhash._near_links_in_partition(0.8, piece)(iter([batch.slice(k, 32) for k in range(0, 400, 32)])) for a, b in zip(out[0].to_pylist(), out[1].to_pylist())]
     groups = len(set(zip(key.tolist(), family.tolist())))
     assert all(of[a] == of[b] for a, b in links) and len({a for a, _ in links}) == 400 - groups
+
+
+def near_the_bound(rng, pairs):
+    """Pairs of texts whose last words differ, with Jaccard similarities from about 0.7 to 0.9, many of them next to 0.8."""
+    texts = []
+    for k in range(pairs):
+        words = ["w%d" % rng.randrange(10**6) for _ in range(94)]
+        changed = 10 + (k % 3 - 1) * (1 if k % 2 else rng.randint(1, 5))
+        texts += [" ".join(words), " ".join(words[:94 - changed] + ["x%d" % rng.randrange(10**6) for _ in range(changed)])]
+    return texts
+
+
+def plain_copies(texts, num=4, den=5):
+    """Smallest id reachable over pairs with a Jaccard similarity of num / den or more, and the number of pairs just below and at it."""
+    sets = [{tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    label, links = np.arange(len(texts)), []
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            shared = len(sets[a] & sets[b])
+            if shared * den >= num * (len(sets[a]) + len(sets[b]) - shared):
+                links.append((a, b))
+    left, right = np.array(links, int).reshape(-1, 2).T
+    return simhash.joined(label, left, right).tolist()
+
+
+def test_near_copies_at_the_bound(spark):
+    """0.8 links, anything less does not."""
+    texts = near_the_bound(random.Random(21), 60)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame(spark, texts).repartition(3)).collect()}
+    want = plain_copies(texts)
+    assert len(set(want)) not in (60, 120) and [got[k] for k in range(len(texts))] == want

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlog.lineage import settle, sized
-from wardlog.llm.common import LOWER, map_slices, utf8
+from wardlog.llm.common import LOWER, map_slices, slices, utf8
 
 SHINGLE = 3
 RADIUS = 2
@@ -271,21 +272,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return printed.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-#: Near copies: words of a shingle, likeness, words of a wide fingerprint, tables and bits of a table's key; a key that gathers
+#: Near copies: words of a shingle, likeness, words of a wide fingerprint, tables and bits of a table's key (quick search); a key that gathers
 #: more than HOT members is dealt out by SUB_BITS more bits, SUB_TABLES times.
 COPY_SHINGLE, SIMILARITY = 5, 0.8
 WIDE, TABLES, KEY_BITS, SUB_TABLES, SUB_BITS = 8, 40, 18, 16, 12
+#: Shingles known as frequent at most, and texts in which they are counted, about.
+COMMON, COMMON_ROWS = 1 << 18, 30_000
 MIX = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
+def shingle_hashes(words: list[bytes], shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """Distinct hashes of the shingles of a word sequence, in no order; a shorter text is one shingle. None without words."""
+    size = min(shingle, len(words))
+    hashed = xxhash.xxh64_intdigest
+    return np.array(list({hashed(b" ".join(words[k : k + size]), 42) for k in range(len(words) - size + 1)} if words else ()), np.uint64)
+
+
 def wide_fingerprint(words: list[bytes], shingle: int = COPY_SHINGLE) -> np.ndarray:
     """SimHash of WIDE * 64 bits, as bits, over the distinct shingles of a word sequence; zero without words."""
     total = np.zeros(WIDE * 64, np.int64)
     if not words:
         return total.astype(np.uint8)
-    size = min(shingle, len(words))
-    hashed = xxhash.xxh64_intdigest
-    hashes = np.array(list({hashed(b" ".join(words[k : k + size]), 42) for k in range(len(words) - size + 1)}), np.uint64)
+    hashes = shingle_hashes(words, shingle)
     for k in range(0, len(hashes), 255):  # sums of 255 rows fit a byte
         z = hashes[k : k + 255, None] + MIX
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -344,15 +352,142 @@ def _near_links_in_partition(similarity: float, piece: int):
     return run
 
 
+def _ranked(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The hashes in an order that is the same for all texts: those outside `common` first, then by count; by hash among equals."""
+    if not common.size:
+        return np.sort(hashes)
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    return hashes[np.lexsort((hashes, np.where(common[at] == hashes, counts[at], 0)))]
+
+
+def _common_shingles(texts: DataFrame, rows: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of at most COMMON frequent shingles with their counts in about COMMON_ROWS of `rows` texts (id, text).
+
+    They only order the shingles of a text, rare ones first; any order gives the same links.
+    """
+    share = min(1.0, COMMON_ROWS / max(1, rows))
+    some = texts.where(F.pmod(F.xxhash64(texts.columns[0]), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches):
+            found = [shingle_hashes(utf8(t).translate(LOWER).split(), shingle) for t in piece.column(1).to_pylist()]
+            values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["gram", "n"])
+
+    counted = some.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 2")
+    table = counted.orderBy(F.desc("n"), "gram").limit(COMMON).toArrow()
+    grams, counts = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    order = np.argsort(grams)
+    return grams[order], counts[order]
+
+
+def _meetings(num: int, den: int):
+    """Pairs of names that share a key of their prefixes, have different labels, and may reach num / den by size and position."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs_of(key, label, name, size, rank) -> Iterator[pa.RecordBatch]:
+        edge = np.concatenate(([True], key[1:] != key[:-1]))
+        ends = np.concatenate((np.flatnonzero(edge)[1:], [len(key)]))
+        last = ends[np.cumsum(edge) - 1]
+        edge[1:] |= label[1:] != label[:-1]
+        ends = np.concatenate((np.flatnonzero(edge)[1:], [len(key)]))
+        begin = ends[np.cumsum(edge) - 1]
+        width = last - begin  # members of the same key behind all those with the same label
+        total, start = np.cumsum(width), 0
+        while start < len(key):
+            done = total[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(total, done + MEETS, "right")))
+            w = width[start:stop]
+            i = np.repeat(np.arange(start, stop), w)
+            j = np.arange(len(i)) + np.repeat(begin[start:stop] - (np.cumsum(w) - w), w)
+            # at the first shingle in order that both have, what can be shared is that one and what follows it in the shorter rest
+            rest = np.minimum(size[i] - rank[i], size[j] - rank[j])
+            keep = rest * (num + den) >= num * (size[i] + size[j])
+            if keep.any():
+                both = np.unique(np.sort(np.stack([name[i[keep]], name[j[keep]]], axis=1), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=schema)
+            start = stop
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
+        for batch in batches:
+            held.append([batch.column(k).to_numpy() for k in range(5)])
+            rows += batch.num_rows
+            if rows >= PIECE:
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                stop = int(np.searchsorted(columns[0], columns[0][-1]))
+                if stop:
+                    yield from pairs_of(*(c[:stop] for c in columns))
+                held, rows = [[c[stop:] for c in columns]], len(columns[0]) - stop
+        if rows:
+            yield from pairs_of(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return run
+
+
+def meetings(texts: DataFrame, labels: DataFrame, similarity: Fraction, shingle: int) -> DataFrame:
+    """Pairs (a, b) of names that hold every pair with this Jaccard similarity or more whose labels differ.
+
+    Of n shingles in an order common to all texts, two such sets share one within the first n - ceil(similarity * n) + 1 of both.
+    """
+    num, den = similarity.numerator, similarity.denominator
+    id_col, text_col = texts.columns
+    context = texts.sparkSession.sparkContext
+    common = context.broadcast(_common_shingles(texts, labels.count(), shingle))
+    own = texts.join(sized(labels), F.col(id_col) == F.col("name")).select("name", "label", text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, counts = common.value
+        for piece in slices(batches):
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+            for name, label, text in zip(*(piece.column(k).to_pylist() for k in range(3)), strict=True):
+                first = _ranked(shingle_hashes(utf8(text).translate(LOWER).split(), shingle), frequent, counts)
+                size = len(first)
+                first = first[: size + 1 - -(-size * num // den)] if size else first
+                for column, value in zip(out, (first.view(np.int64), *(np.full(len(first), v) for v in (label, name, size)), np.arange(len(first))), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["key", "label", "name", "size", "rank"])
+
+    keyed = own.mapInArrow(run, "key bigint, label bigint, name bigint, size bigint, rank bigint")
+    return keyed.repartition("key").sortWithinPartitions("key", "label").mapInArrow(_meetings(num, den), "a bigint, b bigint").distinct()
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, similarity: Fraction, shingle: int) -> DataFrame:
+    """The settled pairs (a, b) of names whose texts have this Jaccard similarity of their distinct shingles or more."""
+    num, den = similarity.numerator, similarity.denominator
+    id_col, text_col = texts.columns
+    wanted = settle(pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct())
+
+    def hashed(piece: pa.RecordBatch) -> list:
+        return [piece.column(0).to_pylist(), [np.sort(shingle_hashes(utf8(t).translate(LOWER).split(), shingle)).tobytes() for t in piece.column(1).to_pylist()]]
+
+    arrow = pa.schema([("name", pa.int64()), ("grams", pa.binary())])
+    known = settle(map_slices(texts.join(sized(wanted), id_col), hashed, "name bigint, grams binary", arrow))
+    left, right = (known.select(F.col("name").alias(n), F.col("grams").alias(f"_{n}")) for n in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches):
+            alike = []
+            for a, b in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(shared * den >= num * (len(x) + len(y) - shared))
+            yield piece.select(["a", "b"]).filter(pa.array(alike, type=pa.bool_()))
+
+    return settle(both.mapInArrow(run, "a bigint, b bigint"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
     """One row per document with an id: id, component_id (smallest id of the documents it is a near copy of, over links).
 
-    Texts link when they have the same words, or when their wide fingerprints over distinct shingles differ in no more bits than
-    `similarity` allows (`copy_radius`). Candidates share KEY_BITS sampled bits in one of TABLES tables; a hot key is dealt out by
-    more bits; the Gray-order index compares inside a group. At a Jaccard similarity of 0.8 about 88 of 100 links are candidates, at
-    0.9 all but one in 300. A group of more than PIECE rows goes through in pieces, with one member of each class going on to the
-    next, so that memory is bounded. Null and empty texts are copies of each other. The id is an integer column; other columns are
-    not read.
+    Texts link when they have the same words, or when the Jaccard similarity of their distinct shingles is `similarity` or more;
+    every such pair ends in one component. Two searches give candidates, and each candidate is confirmed by its shingles. The
+    first is quick and joins most of a large family: wide fingerprints that share KEY_BITS sampled bits in one of TABLES tables and
+    differ in no more bits than `copy_radius`; what it misses is left to the second. The second is complete: texts of different
+    components that share one of their rarest shingles (`meetings`). Null and empty texts are copies of each other. The id is an
+    integer column; other columns are not read.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias("_text"))
     draw = np.random.default_rng(7)
@@ -385,7 +520,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seated = dealt.join(busy, "key", "left").select("key", F.explode(seats).alias("sub"), "name", "wide")
     links = (seated.repartition("key", "sub").sortWithinPartitions("key", "sub")
              .mapInArrow(_near_links_in_partition(similarity, PIECE), "a bigint, b bigint"))
-    found = components(links).withColumnRenamed("node", "name")
+    least, source = Fraction(str(similarity)), texts.where(F.col("_text").isNotNull())
+    sure = confirmed(settle(links.distinct()), source, least, shingle)
+    labels = settle(apart.select("name").distinct().join(components(sure).withColumnRenamed("node", "name"), "name", "left")
+                    .select("name", F.coalesce("label", "name").alias("label")))
+    sure = sure.union(confirmed(settle(meetings(source, labels, least, shingle)), source, least, shingle))
+    found = components(sure).withColumnRenamed("node", "name")
     return printed.select(id_col, "digest").join(named, "digest").join(found, "name", "left").select(id_col, F.coalesce("label", "name").alias("component_id"))
 
 
