@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -311,3 +312,18 @@ def test_near_copies_at_the_bound(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame(spark, texts).repartition(3)).collect()}
     want = plain_copies(texts)
     assert len(set(want)) not in (60, 120) and [got[k] for k in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("hot", [2, 4096])
+def test_hot_keys_lose_no_pair(spark, monkeypatch, hot):
+    """Keys far over `hot` and groups far over PIECE: every pair at 0.8 or more meets, whatever the size."""
+    monkeypatch.setattr(simhash, "PIECE", 8)
+    texts = copy_families(random.Random(22))[0][:20] + near_the_bound(random.Random(23), 10)
+    labels = simhash.settle(spark.createDataFrame([(k, k) for k in range(len(texts))], "name long, label long"))
+    table = frame(spark, texts).select("doc_id", F.col("text").alias("_text"))
+    found = simhash.settle(simhash.meetings(table, labels, Fraction(4, 5), 5, hot))
+    got = {(r["a"], r["b"]) for r in found.collect()}
+    sure = {(r["a"], r["b"]) for r in simhash.confirmed(found, table, Fraction(4, 5), 5).collect()}
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (t.lower().split() for t in texts)]
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert len(want) > 20 and want <= got and sure == want

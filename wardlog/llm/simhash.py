@@ -385,8 +385,9 @@ def _meetings(num: int, den: int):
     """Pairs of names that share a key of their prefixes, have different labels, and may reach num / den by size and position."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs_of(key, label, name, size, rank) -> Iterator[pa.RecordBatch]:
-        edge = np.concatenate(([True], key[1:] != key[:-1]))
+    def pairs_of(key, block, label, name, size, rank, side) -> Iterator[pa.RecordBatch]:
+        edge = np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
+        mixed = block < 0  # of a block with another one: only pairs of both
         ends = np.concatenate((np.flatnonzero(edge)[1:], [len(key)]))
         last = ends[np.cumsum(edge) - 1]
         edge[1:] |= label[1:] != label[:-1]
@@ -402,7 +403,7 @@ def _meetings(num: int, den: int):
             j = np.arange(len(i)) + np.repeat(begin[start:stop] - (np.cumsum(w) - w), w)
             # at the first shingle in order that both have, what can be shared is that one and what follows it in the shorter rest
             rest = np.minimum(size[i] - rank[i], size[j] - rank[j])
-            keep = rest * (num + den) >= num * (size[i] + size[j])
+            keep = (rest * (num + den) >= num * (size[i] + size[j])) & (~mixed[i] | (side[i] != side[j]))
             if keep.any():
                 both = np.unique(np.sort(np.stack([name[i[keep]], name[j[keep]]], axis=1), axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=schema)
@@ -412,11 +413,12 @@ def _meetings(num: int, den: int):
         held: list[list[np.ndarray]] = []
         rows = 0
         for batch in batches:
-            held.append([batch.column(k).to_numpy() for k in range(5)])
+            held.append([batch.column(k).to_numpy() for k in range(7)])
             rows += batch.num_rows
             if rows >= PIECE:
                 columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-                stop = int(np.searchsorted(columns[0], columns[0][-1]))
+                # the group that is still open stays whole
+                stop = int(np.max(np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1])), initial=-1)) + 1
                 if stop:
                     yield from pairs_of(*(c[:stop] for c in columns))
                 held, rows = [[c[stop:] for c in columns]], len(columns[0]) - stop
@@ -426,31 +428,46 @@ def _meetings(num: int, den: int):
     return run
 
 
-def meetings(texts: DataFrame, labels: DataFrame, similarity: Fraction, shingle: int) -> DataFrame:
+def meetings(texts: DataFrame, labels: DataFrame, similarity: Fraction, shingle: int, hot: int = HOT) -> DataFrame:
     """Pairs (a, b) of names that hold every pair with this Jaccard similarity or more whose labels differ.
 
     Of n shingles in an order common to all texts, two such sets share one within the first n - ceil(similarity * n) + 1 of both.
+    The members of a shingle that more than `hot` texts may have, by the counts of the sample, are dealt into blocks; every two blocks
+    meet in a group of their own, so a group stays small and every pair still meets.
     """
     num, den = similarity.numerator, similarity.denominator
     id_col, text_col = texts.columns
     context = texts.sparkSession.sparkContext
-    common = context.broadcast(_common_shingles(texts, labels.count(), shingle))
+    rows = labels.count()
+    common = context.broadcast(_common_shingles(texts, rows, shingle))
+    scale = max(1.0, rows / COMMON_ROWS)
     own = texts.join(sized(labels), F.col(id_col) == F.col("name")).select("name", "label", text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = common.value
         for piece in slices(batches):
-            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(7)]
             for name, label, text in zip(*(piece.column(k).to_pylist() for k in range(3)), strict=True):
                 first = _ranked(shingle_hashes(utf8(text).translate(LOWER).split(), shingle), frequent, counts)
                 size = len(first)
                 first = first[: size + 1 - -(-size * num // den)] if size else first
-                for column, value in zip(out, (first.view(np.int64), *(np.full(len(first), v) for v in (label, name, size)), np.arange(len(first))), strict=True):
+                blocks = np.ones(len(first), np.int64)
+                if frequent.size and len(first):
+                    at = np.minimum(np.searchsorted(frequent, first), len(frequent) - 1)
+                    blocks = np.maximum(1, np.where(frequent[at] == first, np.ceil(counts[at] * scale / hot), 1).astype(np.int64))
+                # a row for every block that this member's block meets; block pairs of two different ones are negative
+                place = np.repeat(np.arange(len(first)), blocks)
+                other = np.arange(len(place)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                side = xxhash.xxh64_intdigest(name.to_bytes(8, "little", signed=True)) % blocks.astype(np.uint64)
+                side = side.astype(np.int64)[place]
+                block = np.minimum(side, other) * blocks[place] + np.maximum(side, other)
+                block = np.where(side == other, block, -block)
+                for column, value in zip(out, (first.view(np.int64)[place], block, *(np.full(len(place), v) for v in (label, name, size)), place, side), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["key", "label", "name", "size", "rank"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["key", "block", "label", "name", "size", "rank", "side"])
 
-    keyed = own.mapInArrow(run, "key bigint, label bigint, name bigint, size bigint, rank bigint")
-    return keyed.repartition("key").sortWithinPartitions("key", "label").mapInArrow(_meetings(num, den), "a bigint, b bigint").distinct()
+    keyed = own.mapInArrow(run, "key bigint, block bigint, label bigint, name bigint, size bigint, rank bigint, side bigint")
+    return keyed.repartition("key", "block").sortWithinPartitions("key", "block", "label").mapInArrow(_meetings(num, den), "a bigint, b bigint").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, similarity: Fraction, shingle: int) -> DataFrame:
@@ -524,7 +541,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sure = confirmed(settle(links.distinct()), source, least, shingle)
     labels = settle(apart.select("name").distinct().join(components(sure).withColumnRenamed("node", "name"), "name", "left")
                     .select("name", F.coalesce("label", "name").alias("label")))
-    sure = sure.union(confirmed(settle(meetings(source, labels, least, shingle)), source, least, shingle))
+    sure = sure.union(confirmed(settle(meetings(source, labels, least, shingle, hot)), source, least, shingle))
     found = components(sure).withColumnRenamed("node", "name")
     return printed.select(id_col, "digest").join(named, "digest").join(found, "name", "left").select(id_col, F.coalesce("label", "name").alias("component_id"))
 
