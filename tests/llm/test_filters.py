@@ -117,6 +117,16 @@ def test_grammar_clauses():
     assert len(grammar.clauses("idiot. moron! scum")) == 3
 
 
+def test_threat_with_its_target_on_either_side():
+    grammar = toxicity.Grammar()
+    weight = lambda text: sum(grammar.clauses(text))
+    assert weight("I will kill you.") > 0 and weight("You I will kill.") > 0 and weight("going to hurt one of them") > 0
+    assert weight("I will not kill you.") < weight("I will kill you.")
+    assert grammar.clauses("I will kill the process.") == grammar.clauses("I will kill. You stay.") == []
+    assert grammar.clauses("kill one two three four five you") == []
+    assert len(grammar.clauses("kill the process, idiot")) == 1 and weight("kill the process, idiot") == weight("idiot")
+
+
 def test_toxicity_learns_stems(spark):
     rng = random.Random(6)
     texts, labels = [], []

@@ -68,10 +68,11 @@ class Grammar:
         return best
 
     def clauses(self, text: str | None) -> list[float]:
-        """Weights of the matched clauses of a text."""
+        """Weights of the matched clauses of a text; a threat counts if a target stands within REACH words before or after it."""
         found, memo = [], self._memo()
         total, negated, reported, targeted = 0.0, -REACH - 1, False, -REACH - 1
         pending: list[tuple[int, float]] = []
+        threats: list[tuple[int, float]] = []  # without a target so far
         for at, word in enumerate(WORD.findall(text.lower()) if text else ()):
             tag = memo.get(word)
             if tag is None:
@@ -87,6 +88,7 @@ class Grammar:
                     if total > 0:
                         found.append(total)
                     pending = []
+                threats = []
                 negated, reported, targeted = at - REACH - 1, False, at - REACH - 1
             elif kind == "negation":
                 negated = at
@@ -94,12 +96,12 @@ class Grammar:
                 reported = True
             elif kind == "target":
                 targeted = at
-                pending = [(p, w * TARGETED if at - p <= REACH else w) for p, w in pending]
+                pending = [(p, w * TARGETED if at - p <= REACH else w) for p, w in [*pending, *(t for t in threats if at - t[0] <= REACH)]]
+                threats = []
             else:
-                if kind == "threat" and at - targeted > REACH:
-                    continue
                 scale = (NEGATED if at - negated <= REACH else 1.0) * (REPORTED if reported else 1.0) * (TARGETED if at - targeted <= REACH else 1.0)
-                pending.append((at, weight * scale))
+                lone = kind == "threat" and at - targeted > REACH
+                (threats if lone else pending).append((at, weight * scale))
         if pending and (total := sum(w for _, w in pending)) > 0:
             found.append(total)
         return found
