@@ -107,6 +107,21 @@ def test_licenses(spark):
     assert licenses.license_matches(odd_frame(spark)).count() == 0
 
 
+def test_licenses_close_to_each_other():
+    index = licenses.LicenseIndex()
+    found = lambda text: [(m[0], text[m[2]:m[3]]) for m in index.matches(text)]
+    notice, mit = "All rights reserved", "Released under the MIT License"
+    assert found(". ".join([notice] * 5)) == [("Proprietary", notice)] * 5
+    assert found(f"{notice}. {notice}.\nby us {notice} {mit}. {mit}\n{notice}") == [("Proprietary", notice)] * 3 + [("MIT", mit)] * 2 + [("Proprietary", notice)]
+    grant = licenses.TEMPLATES["BSD-grant"]
+    assert found(f"{grant}. {grant}") == [("BSD-grant", grant)] * 2
+    # an edit at any word of a five-word template that leaves a shingle whole
+    for k in (0, 1, 3, 4):
+        words = mit.split()
+        words[k] = "xyz"
+        assert [(m[0], m[1]) for m in index.matches("text before " + " ".join(words) + " text after")] == [("MIT", 0.8)]
+
+
 def test_grammar_clauses():
     grammar = toxicity.Grammar()
     weight = lambda text: sum(grammar.clauses(text))

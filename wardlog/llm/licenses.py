@@ -1,8 +1,9 @@
-"""License scans: winnowed template fingerprints pick candidates, banded alignment reports coverage and spans.
+"""License scans: template shingles pick candidates, banded alignment reports coverage and spans.
 
-Templates are cut into shingles of three words; of every four consecutive shingle hashes the smallest goes into an inverted
-index. A document is read once for shingles made of template words only; hits in the index vote for (template, diagonal),
-and each candidate is aligned word by word within a band around its diagonal.
+Templates are cut into shingles of three words, which go into an inverted index. A document is read once for shingles made of
+template words only; hits in the index vote for (template, diagonal), and each candidate is aligned word by word within a band
+around its diagonal. The words of the matches are set aside and the rest is aligned again until no match is left, so that
+notices close to each other are all found.
 """
 
 from __future__ import annotations
@@ -13,13 +14,12 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.llm.common import rows_out, slices
 
-SHINGLE, WINNOW, BAND = 3, 4, 8
+SHINGLE, BAND = 3, 8
 MIN_COVERAGE = 0.8
 WORD = re.compile(r"[^\W_]+")
 #: Template texts (fixed values): short notices, headers and grants as they are published.
@@ -46,7 +46,7 @@ TEMPLATES = {
 
 
 class LicenseIndex:
-    """Inverted index over winnowed template shingles, and the alignment of candidates."""
+    """Inverted index over template shingles, and the alignment of candidates."""
 
     def __init__(self, templates: Mapping[str, str] = TEMPLATES):
         self.names = list(templates)
@@ -62,8 +62,8 @@ class LicenseIndex:
         for t, words in enumerate(self.words):
             coded = [self.ids[w] for w in words]
             grams = [self._code(coded[k : k + SHINGLE]) for k in range(len(coded) - SHINGLE + 1)]
-            for k in self._winnowed(grams):
-                posting[grams[k]].append((t, k))
+            for k, gram in enumerate(grams):
+                posting[gram].append((t, k))
         self.posting = dict(posting)
         self.codes = np.array(sorted(posting), np.int64)
 
@@ -73,11 +73,6 @@ class LicenseIndex:
             code = code * self.base + w
         return code
 
-    @staticmethod
-    def _winnowed(grams: list[int]) -> set[int]:
-        hashes = [xxhash.xxh64_intdigest(g.to_bytes(8, "little")) for g in grams]
-        return {min(range(k, min(k + WINNOW, len(grams))), key=lambda i: (hashes[i], -i)) for k in range(max(1, len(grams) - WINNOW + 1))} if grams else set()
-
     def matches(self, text: str | None, min_coverage: float = MIN_COVERAGE) -> list[tuple[str, float, int, int, list[tuple[int, int]]]]:
         """(license, coverage, start, end, matched word spans) in characters of the text, best first; overlapping worse ones are left out."""
         if not text:
@@ -99,34 +94,47 @@ class LicenseIndex:
         spans = [m.span() for m in WORD.finditer(text)] if len(text.lower()) == len(text) else None
         if spans is None or len(spans) != len(coded):
             spans = [m.span() for m in WORD.finditer("".join(c.lower() if len(c.lower()) == 1 else c for c in text))]
-        # candidates: hits of a template whose diagonals lie within a band are one place
-        seeds: dict[int, list[int]] = defaultdict(list)
+        out = []
+        free = coded.copy()  # words of matches become zero, and the rest is aligned again until nothing is found
+        while hits.size:
+            found = self._candidates(free, hits, code, min_coverage)
+            found.sort(key=lambda f: (-f[0] * f[1], -f[0], self.names[f[2]], f[3]))
+            taken: set[int] = set()
+            for coverage, _, t, places in found:
+                if not taken.intersection(places):
+                    taken.update(places)
+                    inside = [p for p in places if p < len(spans)]
+                    if inside:
+                        out.append((self.names[t], coverage, spans[inside[0]][0], spans[inside[-1]][1], [spans[p] for p in inside]))
+            if not taken:
+                break
+            free[list(taken)] = 0
+            hits = hits[(free[hits] > 0) & (free[hits + 1] > 0) & (free[hits + 2] > 0)]
+        return sorted(out, key=lambda m: (m[2], m[3], m[0]))
+
+    def _candidates(self, coded: np.ndarray, hits: np.ndarray, code: np.ndarray, min_coverage: float) -> list[tuple[float, int, int, list[int]]]:
+        """(coverage, template words, template, places of the matched words) of every place to which a hit leads; each place once."""
+        seeds: dict[int, set[int]] = defaultdict(set)
         for p in hits.tolist():
             for t, k in self.posting[int(code[p])]:
-                seeds[t].append(p - k)
-        found = []
+                seeds[t].add(p - k)
+        found = {}
         for t, starts in seeds.items():
-            last = None
-            for start in sorted(set(starts)):
-                if last is not None and start - last <= BAND:
+            size = len(self.words[t])
+            known = np.concatenate(([0], np.cumsum(np.isin(coded, [self.ids[w] for w in self.words[t]]))))
+            for start in sorted(starts):
+                # no alignment matches more words than the band has words of the template
+                if known[min(len(coded), start + size + BAND)] - known[max(0, start - BAND)] < min_coverage * size:
                     continue
-                last = start
                 pairs = self._align(t, coded, start)
-                coverage = len(pairs) / len(self.words[t])
-                if coverage >= min_coverage:
-                    found.append((coverage, len(self.words[t]), t, [p for p, _ in pairs]))
-        found.sort(key=lambda f: (-f[0] * f[1], -f[0], self.names[f[2]], f[3]))
-        taken: set[int] = set()
-        out = []
-        for coverage, _, t, places in found:
-            places = [p for p in places if p < len(spans)]
-            if places and not taken.intersection(places):
-                taken.update(places)
-                out.append((self.names[t], coverage, spans[places[0]][0], spans[places[-1]][1], [spans[p] for p in places]))
-        return sorted(out, key=lambda m: (m[2], m[3], m[0]))
+                if pairs and len(pairs) / size >= min_coverage:
+                    places = [p for p, _ in pairs]
+                    found[t, tuple(places)] = (len(pairs) / size, size, t, places)
+        return list(found.values())
 
     def _align(self, t: int, coded: np.ndarray, start: int) -> list[tuple[int, int]]:
-        """Matched (document word, template word) pairs of the best alignment within the band; the document's ends are free."""
+        """Matched (document word, template word) pairs of the best alignment within the band, of equal ones the nearest to
+        its middle; the document's ends are free."""
         template = [self.ids[w] for w in self.words[t]]
         low, high = max(0, start - BAND), min(len(coded), start + len(template) + BAND)
         window = coded[low:high].tolist()
@@ -150,10 +158,10 @@ class LicenseIndex:
                     options.append((best[i - 1, j][0] - (0.4 if j < m else 0.0), best[i - 1, j][1], 3))
                 s, c, how = max(options, key=lambda o: (o[0], -o[2]))
                 best[i, j], from_[i, j] = (s, c), how
-        ends = [(best[i, j][0], -i, i, j) for i, j in best if j == m]
+        ends = [(best[i, j][0], -abs(i - shift - m), -i, i, j) for i, j in best if j == m]
         if not ends:
             return []
-        _, _, i, j = max(ends)
+        _, _, _, i, j = max(ends)
         pairs = []
         while (i, j) in from_:
             how = from_[i, j]
