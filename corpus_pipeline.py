@@ -30,11 +30,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that occur earlier; n_chars follows the text; documents of which nothing is left go."""
-    cut = substrings.cut_repeats(docs, spans=False)
-    emptied = F.trim("text") == ""
+    """Documents without passages that occur earlier; n_chars follows the text; documents go of which the cut leaves nothing."""
+    cut = substrings.cut_repeats(docs)
+    emptied = (F.size("removed") > 0) & (F.trim("text") == "")
     cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.where(~F.coalesce(emptied, F.lit(False)))
+    return cut.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

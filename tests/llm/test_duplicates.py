@@ -327,3 +327,17 @@ def test_hot_keys_lose_no_pair(spark, monkeypatch, hot):
     sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (t.lower().split() for t in texts)]
     want = {(a, b) for b in range(len(texts)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
     assert len(want) > 20 and want <= got and sure == want
+
+
+def test_clean_rows_stay(spark):
+    """Texts that were blank before the cut, and rows that repeat an id with another text."""
+    import corpus_pipeline
+
+    passage = " ".join("w%d" % k for k in range(60))
+    table = spark.createDataFrame([(1, passage, 0), (2, passage, 0), (3, "", 0), (4, "  ", 0), (5, None, 0)], "doc_id long, text string, n_chars long")
+    left = corpus_pipeline.cut_repeated_passages(spark, table, "")
+    assert left.columns == table.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 3, 4, 5]
+    rows_of = spark.createDataFrame([(7, "one text"), (7, "another text"), (7, "one text"), (8, None), (8, None)], "doc_id long, text string")
+    groups = spark.createDataFrame([(7, 7), (8, 8)], "doc_id long, component_id long")
+    kept = simhash.keep_one(rows_of, groups=groups).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(7, "another text"), (7, "one text"), (8, "")]

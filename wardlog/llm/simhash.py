@@ -547,13 +547,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None) -> DataFrame:
-    """All columns of the documents that stand for their component: the one with the smallest id; of rows repeating that id, one.
+    """All columns of the documents that stand for their component: the one with the smallest id; of rows repeating
+    that id, one for each different text.
 
     Components are those of `near_duplicates`, or `groups` (id, component_id). Rows without id stand for themselves and stay.
     """
     kept = (groups or near_duplicates(docs, id_col, text_col)).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
     # columns of the documents stay inside `_row`, so no name of theirs can clash
     packed = docs.select(F.col(id_col).cast("bigint").alias("_key"), F.struct(*docs.columns).alias("_row"))
-    once = Window.partitionBy("_key").orderBy(F.col("_row").getField(text_col))
+    text = F.col("_row").getField(text_col)
+    once = Window.partitionBy("_key", F.sha2(text.cast("string"), 256)).orderBy(text)
     chosen = packed.join(kept, F.col("_key") == F.col("_kept"), "left_semi").withColumn("_nth", F.row_number().over(once)).where("_nth = 1")
     return chosen.select("_row.*").unionByName(docs.where(F.col(id_col).isNull()))
