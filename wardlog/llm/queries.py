@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlog.llm import bpe, decontaminate, language, licenses, minhash, simhash, substrings, token_counts, toxicity, url_filter
+from wardlog.llm import alignment, bpe, decontaminate, language, licenses, lines_once, minhash, simhash, spelling, substrings, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -72,13 +72,29 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines_once.dedup_lines(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as first, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as second:
+        return alignment.aligned_links(table(spark, folder, "documents"), first.read(), second.read())
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, folder)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_url_filter, op4_document_fingerprints, op5_simhash_near_dedup, op6_token_counts,
-                            op7_language_id, op8_toxicity, op9_byte_bpe, op10_benchmark_decontamination, pipeline)}
+                            op7_language_id, op8_toxicity, op9_byte_bpe, op10_benchmark_decontamination, op11_spelling_variants, op12_line_dedup,
+                            op13_tokenizer_alignment, pipeline)}
 
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -114,5 +130,17 @@ DECONTAMINATION_SQL = rf"""
            coalesce(n_hit, 0) > 0 AS contaminated
     FROM doc_words LEFT JOIN counted USING (rid) LEFT JOIN named USING (rid)"""
 
-ORACLES: dict[str, str] = {"op3_url_filter": url_filter_sql(), "op10_benchmark_decontamination": DECONTAMINATION_SQL}
+LINE_DEDUP_SQL = f"""
+    WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    lines AS (
+      SELECT rid, doc_id, i, ls[i] AS line, {LOWER_SQL.format("trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key
+      FROM docs, unnest(range(1, len(ls) + 1)) AS u(i)),
+    repeated AS (SELECT key, min(doc_id) AS first_id FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+    judged AS (SELECT rid, doc_id, i, line, coalesce(doc_id > first_id, FALSE) AS goes FROM lines LEFT JOIN repeated USING (key))
+    SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (goes))::BIGINT AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT goes), '')) AS kept_sha256
+    FROM judged GROUP BY rid"""
+
+ORACLES: dict[str, str] = {"op3_url_filter": url_filter_sql(), "op10_benchmark_decontamination": DECONTAMINATION_SQL,
+                           "op12_line_dedup": LINE_DEDUP_SQL}
 
