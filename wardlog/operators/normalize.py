@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ def _extra(raw: DataFrame) -> Column:
                           for part in (F.lit(n), _present(F.col(f"`{n}`").cast("string")))])
 
 
-def normalize(raw: DataFrame, zone: str = "UTC") -> DataFrame:
-    """Records from raw rows.
+def normalize(raw: DataFrame, zone: str = "UTC", carry: Sequence[str] = ()) -> DataFrame:
+    """Records from raw rows, with the columns named in ``carry`` as they are.
 
     ``raw`` has ``log_file``, ``line_number``, ``raw_line`` and either a map ``fields`` (as the log
     sources give it) or one flat column per field. Derived columns are always computed afresh.
@@ -49,7 +51,7 @@ def normalize(raw: DataFrame, zone: str = "UTC") -> DataFrame:
         *[(_field(raw, w3c, column).try_cast("bigint") if column in INTEGER_COLUMNS
            else _field(raw, w3c, column)).alias(column) for w3c, column in W3C_COLUMNS.items()],
         *[F.col(c) if c in raw.columns else F.lit(None).alias(c) for c in PROVENANCE_COLUMNS],
-        _extra(raw).alias("extra"),
+        _extra(raw).alias("extra"), *carry,
     )
     decoded = plain.withColumns({
         "uri_path_decoded": url_decode(F.col("uri_path")),

@@ -8,11 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlog.lineage import settle
 from wardlog.operators.normalize import normalize
 from wardlog.operators.rules import Rule, load_rules
 from wardlog.operators.scan import scan
-from wardlog.operators.summary import (REPORT_TOP_LIMIT, detail_rows, findings_by_severity, rule_hits,
-                                       top_counts)
+from wardlog.operators.summary import REPORT_TOP_LIMIT, detail_rows, finding_counts, severity_rows
 from wardlog.operators.windows import detect_keyed
 from wardlog.sources.inputs import read_logs
 
@@ -41,30 +41,39 @@ def hunt_logs(spark: SparkSession, inputs: str | Sequence[str], rules_path: str
     """Read log files, normalise them and hunt.
 
     A hunt passes over the records several times. With ``staging`` (a folder that does not exist
-    yet) they are parsed once and kept there as Parquet, so later passes read only the columns
+    yet) the text is read once, rejects included, and kept there as Parquet, so later passes read only the columns
     they need.
     """
     rules, problems = load_rules(rules_path) if rules_path else load_rules()
     if not rules:
         raise ValueError(f"no valid rules in {rules_path}")
     source = read_logs(spark, inputs, strict)
-    records = normalize(source.rows, zone)
+    lines = normalize(source.lines, zone, carry=("reason",))
     if staging:
-        records.write.parquet(staging)
-        records = spark.read.parquet(staging)
-    return LogHunt(records, source.rejects, hunt(records, rules, min_level), problems)
+        lines.write.parquet(staging)
+        lines = spark.read.parquet(staging)
+    records = lines.where(F.col("reason").isNull()).drop("reason")
+    rejects = lines.where(F.col("reason").isNotNull()).select(*source.notices.columns).unionByName(source.notices)
+    return LogHunt(records, rejects, hunt(records, rules, min_level), problems)
 
 
 def report_tables(findings: DataFrame) -> dict[str, DataFrame]:
-    """The data of the analyst report, one frame per section."""
+    """The data of the analyst report, one frame per section; all counts come from one pass over the findings."""
+    counts = settle(finding_counts(findings))
+
+    def top(field: str) -> DataFrame:
+        return (counts.where((F.col("section") == field) & F.col(field).isNotNull())
+                .orderBy(F.desc("n"), field).limit(REPORT_TOP_LIMIT).select(field, F.col("n").alias("count")))
+
     detail = detail_rows(findings).select(
         "timestamp", "level", "rule_id", "src_ip", "method", "uri_path", "uri_query", "status_code",
         F.concat_ws(":", "log_file", F.col("line_number").cast("string")).alias("source_line"))
     return {
-        "findings_by_severity": findings_by_severity(findings),
-        "top_source_ips": top_counts(findings, "src_ip", REPORT_TOP_LIMIT),
-        "top_uri_paths": top_counts(findings, "uri_path", REPORT_TOP_LIMIT),
-        "top_user_agents": top_counts(findings, "user_agent", REPORT_TOP_LIMIT),
-        "rule_hits": rule_hits(findings),
+        "findings_by_severity": severity_rows(counts.where("section = 'level'").select("level", "n")),
+        "top_source_ips": top("src_ip"),
+        "top_uri_paths": top("uri_path"),
+        "top_user_agents": top("user_agent"),
+        "rule_hits": (counts.where("section = 'rule'").select("rule_id", "rule_title", "level", F.col("n").alias("hits"))
+                      .orderBy(F.desc("hits"), "rule_id")),
         "detailed_findings": detail,
     }

@@ -13,8 +13,8 @@ from wardlog.functions.severity import LEVELS, REVIEW_LEVELS, at_least
 from wardlog.operators.rules import FieldTest, Rule, Selection
 from wardlog.plans.access_tables import (AGENTS, BURST_CLIENTS, BURST_PATH, BURST_RATE, BURST_START, ERROR_STATUS, ONCE_IN,
                                         ONCE_PATHS, PATTERNS, PERIOD, USERNAMES)
-from wardlog.plans.queries import CSV_FIELDS, KEYED, LINES_PER_FILE, PACK, PREDICATES, W3C_ORDERS, ZONE
-from wardlog.schema import FINDING_COLUMNS, INTEGER_COLUMNS, REVIEW_GROUPS, TIMELINE_COLUMNS, TOP_FIELDS
+from wardlog.plans.queries import CSV_FIELDS, KEYED, LINES_PER_FILE, PACK, PARQUET_FROM, PREDICATES, W3C_ORDERS, ZONE
+from wardlog.schema import FINDING_COLUMNS, FINDING_LIST_COLUMNS, INTEGER_COLUMNS, REVIEW_GROUPS, TIMELINE_COLUMNS, TOP_FIELDS
 
 ISO = "%Y-%m-%dT%H:%M:%SZ"
 
@@ -230,6 +230,23 @@ def all_oracles() -> dict[str, str]:
     timeline_columns = ", ".join(
         f'"{c}"' if c not in ("site_name", "server_ip", "substatus", "win32_status", "bytes_sent", "bytes_received")
         else f"CAST(NULL AS {'BIGINT' if c in INTEGER_COLUMNS else 'VARCHAR'}) AS {c}" for c in TIMELINE_COLUMNS)
+    written_texts = ", ".join({"status": "rule_status AS status", "status_code": "status AS status_code"}.get(c, f"nullif(\"{c}\", '') AS \"{c}\"" if c in FINDING_LIST_COLUMNS else f'"{c}"')
+                              for c in FINDING_COLUMNS)
+    parsed_log = f"""{WITH_REC}, {LOG} SELECT file_no, log_line AS line_number, "timestamp", src_ip, method, uri_path, uri_query,
+            status, CASE WHEN NOT late THEN user_agent END AS user_agent, CASE WHEN late THEN time_taken END AS time_taken,
+            CASE WHEN late THEN host END AS host FROM log WHERE event_id % 101 <> 5"""
+    rejected_log = f"""{WITH_REC}, {LOG} SELECT file_no, log_line AS line_number,
+            CASE WHEN late THEN '{len(W3C_ORDERS[1]) + 1} values under {len(W3C_ORDERS[1])} field names'
+                 ELSE '{len(W3C_ORDERS[0]) + 1} values under {len(W3C_ORDERS[0])} field names' END AS reason
+            FROM log WHERE event_id % 101 = 5"""
+    streamed = [keyed_arm(KEYED[n], f"s{i}") for i, n in enumerate(("threshold", "threshold_composite_key", "sequence"))]
+
+    def keyed_counts(final: str, with_lines: bool = True) -> str:
+        """Findings of the streamed keyed rules, and of the line rules, as `every`; then a SELECT over it."""
+        lines = "SELECT rule_id, level FROM hit JOIN catalog USING (rule_seq) UNION ALL " if with_lines else ""
+        keyed = " UNION ALL ".join(f"SELECT rule_id, level FROM ({s})" for _, s in streamed)
+        return f"{WITH_REC}, {line_counts}, {catalog_sql(PACK)}, " + ", ".join(c for c, _ in streamed) + f", every AS ({lines}{keyed}) {final}"
+
     shift = offset_seconds(ZONE)
     return {
         "normalize_fields": f"""{WITH_REC} SELECT line_number, "timestamp", "date", "time", CAST(NULL AS VARCHAR) AS site_name,
@@ -239,13 +256,15 @@ def all_oracles() -> dict[str, str]:
         "url_parts_extension": f"{WITH_REC} SELECT line_number, host, uri_path, uri_query, url_original, extension FROM rec",
         "status_flags": f"{WITH_REC} SELECT status, is_success_status, is_error_status, count(*) AS n FROM rec GROUP BY ALL",
         "timestamp_offset": f"""{WITH_REC} SELECT line_number, strftime(ts - INTERVAL {shift} SECOND, '{ISO}') AS "timestamp" FROM rec""",
-        "w3c_parse": f"""{WITH_REC}, {LOG} SELECT file_no, log_line AS line_number, "timestamp", src_ip, method, uri_path, uri_query,
-            status, CASE WHEN NOT late THEN user_agent END AS user_agent, CASE WHEN late THEN time_taken END AS time_taken,
-            CASE WHEN late THEN host END AS host FROM log WHERE event_id % 101 <> 5""",
-        "w3c_rejects": f"""{WITH_REC}, {LOG} SELECT file_no, log_line AS line_number,
+        "w3c_parse": parsed_log,
+        "w3c_rejects": rejected_log,
+        "w3c_header_rejects": f"""{WITH_REC}, {LOG} SELECT file_no, log_line AS line_number,
             CASE WHEN late THEN '{len(W3C_ORDERS[1]) + 1} values under {len(W3C_ORDERS[1])} field names'
                  ELSE '{len(W3C_ORDERS[0]) + 1} values under {len(W3C_ORDERS[0])} field names' END AS reason
-            FROM log WHERE event_id % 101 = 5""",
+            FROM log WHERE event_id % 101 = 5 AND (file_no % 3 = 0 OR file_no % 3 = 2 AND NOT late)
+            UNION ALL SELECT file_no, log_line, 'data before any #Fields: header; skipping remainder of file' FROM log
+            WHERE file_no % 3 = 1 AND {PLACE} = 0 OR file_no % 3 = 2 AND {PLACE} = {HALF}
+            UNION ALL SELECT file_no, log_line - 1, 'empty #Fields: header' FROM log WHERE file_no % 3 = 2 AND {PLACE} = {HALF}""",
         "csv_parse": f"""{WITH_REC}, {CSV} SELECT file_no, csv_line AS line_number, src_ip, method, uri_path, uri_query, status,
             user_agent, note FROM csv WHERE event_id % 101 <> 5""",
         "csv_rejects": f"""{WITH_REC}, {CSV} SELECT file_no, csv_line AS line_number,
@@ -255,8 +274,10 @@ def all_oracles() -> dict[str, str]:
         "scan_pack": f"{low_level} SELECT rule_id, line_number FROM f",
         "scan_evidence": f"{low_level} SELECT rule_id, line_number, matched_fields, matched_values FROM f",
         "findings_flat": f"{low_level} SELECT {finding_texts} FROM f",
-        "findings_json_roundtrip": f"""{low_level} SELECT rule_id, "timestamp", src_ip, status AS status_code,
-            user_agent, line_number, matched_values, tags FROM f""",
+        "findings_json_roundtrip": f"{low_level} SELECT {finding_texts.replace(', "raw_line"', '')} FROM f",
+        "findings_csv_roundtrip": f"{low_level} SELECT {written_texts} FROM f",
+        "parquet_roundtrip": f"""{low_level} SELECT strftime(ts, '%Y-%m-%d') AS day, rule_id, line_number, "timestamp", src_ip FROM f
+            WHERE strftime(ts, '%Y-%m-%d') >= {text(PARQUET_FROM)}""",
         "min_level": f"{findings_with(PACK, 'critical')} SELECT rule_id, level, count(*) AS n FROM f GROUP BY ALL",
         **{name: keyed_sql(rule) for name, rule in KEYED.items()},
         "multi_agg": keyed_sql(*KEYED.values()),
@@ -267,8 +288,9 @@ def all_oracles() -> dict[str, str]:
         "pack_keyed": keyed_sql(*keyed_pack, source=WITH_BURST),
         **{f"top_{field}": f"{WITH_REC} {top_sql('rec', field, 20)}" for field in TOP_FIELDS},
         "timeline": f"{WITH_REC} SELECT {timeline_columns} FROM rec",
-        "timeline_csv_roundtrip": f"""{WITH_REC} SELECT "timestamp", src_ip, method, uri_path, uri_query, username, status,
-            extension, line_number FROM rec""",
+        "timeline_csv_roundtrip": f"{WITH_REC} SELECT {timeline_columns} FROM rec",
+        "timeline_positions": f"""{WITH_REC} SELECT row_number() OVER (ORDER BY ts NULLS FIRST, line_number, log_file) AS position, "timestamp",
+            line_number, src_ip, uri_path FROM rec""",
         "findings_by_severity": f"""{low_level} SELECT l.level, count(f.rule_id) AS findings FROM unnest({texts(LEVELS)}) AS l(level)
             LEFT JOIN f ON f.level = l.level GROUP BY l.level""",
         "top_finding_sources": f"{low_level} {top_sql('f', 'src_ip', 10)}",
@@ -290,6 +312,15 @@ def all_oracles() -> dict[str, str]:
               (SELECT count(DISTINCT rule_seq) FROM hit) AS rules_hit""",
         "report_detail": f"""{low_level} SELECT "timestamp", level, rule_id, src_ip, method, uri_path, uri_query,
             status AS status_code, line_number FROM f ORDER BY log_file, line_number, rule_seq LIMIT 200""",
+        "report_positions": f"""{low_level} SELECT row_number() OVER (ORDER BY log_file, line_number, rule_seq) AS position, rule_id, line_number
+            FROM f ORDER BY position LIMIT 200""",
+        "report_tables": f"""{low_level},
+            severities AS (SELECT l.level AS value, count(f.rule_id) AS n FROM unnest({texts(LEVELS)}) AS l(level) LEFT JOIN f ON f.level = l.level GROUP BY l.level),
+            {", ".join(f"{field}_top AS ({top_sql('f', field, 10)})" for field in ("src_ip", "uri_path", "user_agent"))}
+            SELECT 'findings_by_severity' AS section, value, n FROM severities
+            UNION ALL SELECT 'top_source_ips', value, count FROM src_ip_top UNION ALL SELECT 'top_uri_paths', value, count FROM uri_path_top
+            UNION ALL SELECT 'top_user_agents', value, count FROM user_agent_top
+            UNION ALL SELECT 'rule_hits', rule_id, count(*) FROM f GROUP BY rule_id""",
         "event_counts": f"{WITH_REC}, {hits_sql(counting)}, {catalog_sql(counting)}, " + ", ".join(c for c, _ in counted_arms)
                         + ", every AS (SELECT rule_id, NULL AS event_count FROM hit JOIN catalog USING (rule_seq) "
                         + " ".join(f"UNION ALL SELECT rule_id, split_part(matched_values, ';', -1) FROM ({s})" for _, s in counted_arms)
@@ -297,6 +328,20 @@ def all_oracles() -> dict[str, str]:
         "stream_scan": f"{low_level} SELECT rule_id, line_number FROM f",
         "stream_threshold": keyed_sql(KEYED["threshold"], KEYED["threshold_composite_key"]),
         "stream_sequence": keyed_sql(KEYED["sequence"]),
+        "stream_w3c_files": parsed_log,
+        "stream_w3c_rejects": rejected_log,
+        "stream_files_scan": f"""{WITH_REC}, {LOG}, part AS (SELECT * REPLACE (
+                CASE WHEN NOT late THEN user_agent END AS user_agent, CAST(NULL AS VARCHAR) AS referer,
+                CAST(NULL AS VARCHAR) AS username) FROM log WHERE event_id % 101 <> 5),
+            {hits_sql(PACK).replace('FROM rec', 'FROM part')}, {catalog_sql(PACK)}
+            SELECT rule_id, file_no, log_line AS line_number FROM hit JOIN catalog USING (rule_seq)""",
+        "stream_state_expiry": keyed_counts("SELECT rule_id, count(*) AS findings, 0 AS state_rows FROM every GROUP BY rule_id", with_lines=False),
+        "stream_top_findings": keyed_counts(
+            "SELECT rule_id, coalesce(rule_title, rule_id) AS rule_title, e.level, count(*) AS hits FROM every e LEFT JOIN catalog USING (rule_id) GROUP BY ALL "
+            "ORDER BY hits DESC, rule_id LIMIT 10"),
+        "stream_findings_by_severity": keyed_counts(
+            f"SELECT l.level, count(e.rule_id) AS findings FROM unnest({texts(LEVELS)}) AS l(level) LEFT JOIN every e ON e.level = l.level GROUP BY l.level"),
+        "stream_top_sources": f"{WITH_REC} SELECT src_ip, count(*) AS count FROM rec GROUP BY src_ip ORDER BY count DESC, src_ip LIMIT 10",
         "stream_running_counts": f"{WITH_REC} SELECT src_ip, count(*) AS count FROM rec GROUP BY src_ip",
     }
 

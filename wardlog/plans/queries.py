@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from wardlog.functions.clock import iso_text
 from wardlog.lineage import checkpoint_dir
@@ -18,23 +20,27 @@ from wardlog.operators.predicates import matching
 from wardlog.operators.rules import Rule, load_rules, rule_catalog, rule_from
 from wardlog.operators.scan import scan
 from wardlog.operators.summary import (REPORT_TOP_LIMIT, REVIEW_ROWS, detail_rows, event_count, findings_by_severity,
-                                       grouped_review, highest_severity, rule_hits, run_statistics, timeline,
-                                       top_counts, top_values)
+                                       grouped_review, highest_severity, line_statistics, numbered_detail, numbered_timeline,
+                                       rule_hits, timeline, top_counts, top_values)
 from wardlog.operators.windows import detect_keyed
 from wardlog.plans.access_tables import access_records, burst_records, event_stream, request_fields
-from wardlog.plans.hunt import hunt
-from wardlog.schema import FINDING_COLUMNS, REVIEW_GROUPS, TOP_FIELDS
-from wardlog.sinks.writers import flat_findings, timeline_rows, write_findings_json, write_timeline_csv
+from wardlog.plans.hunt import hunt, report_tables
+from wardlog.schema import FINDING_LIST_COLUMNS, REVIEW_GROUPS, TOP_FIELDS
+from wardlog.sinks.writers import (finding_rows, flat_findings, timeline_rows, write_findings_csv, write_findings_json, write_parquet,
+                                   write_timeline_csv)
 from wardlog.sources.csv_export import read_csv
 from wardlog.sources.lines import LogSource
 from wardlog.sources.w3c import read_w3c
-from wardlog.streaming.live import running_counts, windowed_stream
+from wardlog.streaming.arrivals import REJECTS, ingest_logs, ingested, record_stream
+from wardlog.streaming.live import running_counts, running_rule_hits, running_severities, running_top, windowed_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 PACK, _ = load_rules()
 ZONE = "+03:30"
 LINES_PER_FILE = 4000  # events per written log file
+FILES_PER_BATCH = 8  # arriving files in a micro-batch
+PARQUET_FROM = "2024-01-10"
 W3C_ORDERS = (
     ("date", "time", "c-ip", "cs-method", "cs-uri-stem", "cs-uri-query", "sc-status", "cs(User-Agent)"),
     ("date", "time", "cs-method", "sc-status", "cs-uri-stem", "cs-uri-query", "c-ip", "time-taken", "cs-host"),
@@ -127,8 +133,11 @@ def timestamp_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- sources ---------------------------------------------------------------------------------
 
-def write_w3c_logs(spark: SparkSession, sf_dir: str) -> str:
-    """All events as W3C files: a header per file, another layout from the middle on, bad rows."""
+def write_w3c_logs(spark: SparkSession, sf_dir: str, header_faults: bool = False) -> str:
+    """All events as W3C files: a header per file, another layout from the middle on, bad rows.
+
+    With `header_faults` every third file has no header, and every third one an empty header in the middle.
+    """
     fields = request_fields(spark, sf_dir)
     event = F.col("event_id")
     place = event % LINES_PER_FILE
@@ -136,8 +145,12 @@ def write_w3c_logs(spark: SparkSession, sf_dir: str) -> str:
     row = F.when(half, F.concat_ws(" ", *[f"`{c}`" for c in W3C_ORDERS[1]])) \
         .otherwise(F.concat_ws(" ", *[f"`{c}`" for c in W3C_ORDERS[0]]))
     row = F.when(event % 101 == 5, F.concat(row, F.lit(" extra"))).otherwise(row)
-    head = F.array(F.lit("#Software: test"), F.lit("#Fields: " + " ".join(W3C_ORDERS[0])), row)
-    again = F.array(F.lit(""), F.lit("#Fields: " + " ".join(W3C_ORDERS[1])), row)
+    first, second = (F.lit("#Fields: " + " ".join(order)) for order in W3C_ORDERS)
+    if header_faults:
+        kind = F.floor(event / LINES_PER_FILE) % 3
+        first, second = F.when(kind == 1, "#Remark: none").otherwise(first), F.when(kind == 2, "#Fields: ").otherwise(second)
+    head = F.array(F.lit("#Software: test"), first, row)
+    again = F.array(F.lit(""), second, row)
     lines = (fields.select(F.floor(event / LINES_PER_FILE).alias("file_no"), event.alias("event_id"),
                            F.posexplode(F.when(place == 0, head).when(place == LINES_PER_FILE // 2, again)
                                         .otherwise(F.array(row))).alias("part", "value")))
@@ -168,9 +181,8 @@ def _file_no() -> Column:
     return F.regexp_extract("log_file", r"file_no=(\d+)", 1).cast("bigint").alias("file_no")
 
 
-def _parsed(source: LogSource) -> DataFrame:
-    r = normalize(source.rows)
-    return r.select(_file_no(), "line_number", iso_text(F.col("timestamp")).alias("timestamp"), "src_ip", "method",
+def _parsed(records: DataFrame) -> DataFrame:
+    return records.select(_file_no(), "line_number", iso_text(F.col("timestamp")).alias("timestamp"), "src_ip", "method",
                     "uri_path", "uri_query", "status", "user_agent", "time_taken", "host")
 
 
@@ -183,13 +195,19 @@ def _csv_source(spark: SparkSession, sf_dir: str) -> LogSource:
 
 
 def w3c_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(_w3c_source(spark, sf_dir))
+    return _parsed(normalize(_w3c_source(spark, sf_dir).rows))
 
 
 def w3c_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _w3c_source(spark, sf_dir).rejects.select(_file_no(), "line_number", "reason")
 
 
+def w3c_header_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejects of files without header and of files with an empty one."""
+    source = read_w3c(spark, [write_w3c_logs(spark, sf_dir, header_faults=True)], "*.txt")
+    return source.rejects.select(_file_no(), "line_number", "reason")
+
+
 def csv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = _csv_source(spark, sf_dir)
     r = normalize(source.rows)
@@ -224,9 +242,22 @@ def findings_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "findings")
     findings = scan(access_records(spark, sf_dir), PACK)
     write_findings_json(findings, folder)
-    shape = findings.select(*[c for c in FINDING_COLUMNS if c != "raw_line"]).schema
-    return spark.read.schema(shape).json(folder).select(
-        "rule_id", "timestamp", "src_ip", "status_code", "user_agent", "line_number", _joined("matched_values"), _joined("tags"))
+    shape = finding_rows(findings).schema
+    return spark.read.schema(shape).json(folder).withColumns({c: F.concat_ws(";", c) for c in FINDING_LIST_COLUMNS})
+
+
+def findings_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark, "findings-csv")
+    findings = scan(access_records(spark, sf_dir), PACK)
+    write_findings_csv(findings, folder, include_raw=True)
+    return spark.read.schema(flat_findings(findings, include_raw=True).schema).csv(folder, header=True, escape='"')
+
+
+def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the days from PARQUET_FROM on, from folders by day."""
+    folder = _folder(spark, "findings-parquet")
+    write_parquet(scan(access_records(spark, sf_dir), PACK), folder)
+    return spark.read.parquet(folder).where(F.col("day") >= PARQUET_FROM).select(F.col("day").cast("string").alias("day"), "rule_id", "line_number", "timestamp", "src_ip")
 
 
 def min_level(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,9 +300,13 @@ def timeline_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "timeline")
     records = access_records(spark, sf_dir)
     write_timeline_csv(records, folder)
-    return spark.read.schema(timeline(records).schema).csv(folder, header=True, escape='"').select(
-        iso_text(F.col("timestamp")).alias("timestamp"), "src_ip", "method", "uri_path", "uri_query", "username",
-        "status", "extension", "line_number")
+    written = spark.read.schema(timeline(records).schema).csv(folder, header=True, escape='"')
+    return written.withColumn("timestamp", iso_text(F.col("timestamp")))
+
+
+def timeline_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = numbered_timeline(access_records(spark, sf_dir))
+    return placed.select("position", iso_text(F.col("timestamp")).alias("timestamp"), "line_number", "src_ip", "uri_path")
 
 
 def _line_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,8 +347,20 @@ def most_severe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = _w3c_source(spark, sf_dir)
-    records = normalize(source.rows)
-    return run_statistics(records, source.rejects, scan(records, PACK))
+    return line_statistics(normalize(source.lines, carry=("reason",)), source.notices, PACK)
+
+
+def report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counted sections of the report, one under the other."""
+    tables = report_tables(_line_findings(spark, sf_dir))
+    shapes = {"findings_by_severity": ("level", "findings"), "top_source_ips": ("src_ip", "count"), "top_uri_paths": ("uri_path", "count"),
+              "top_user_agents": ("user_agent", "count"), "rule_hits": ("rule_id", "hits")}
+    return reduce(DataFrame.unionByName, [tables[name].select(F.lit(name).alias("section"), F.col(value).alias("value"), F.col(n).alias("n"))
+                                          for name, (value, n) in shapes.items()])
+
+
+def report_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered_detail(_line_findings(spark, sf_dir)).select("position", "rule_id", "line_number")
 
 
 def report_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,22 +391,96 @@ def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_stream(spark, scan(_stream_records(spark, sf_dir), PACK).select("rule_id", "line_number"))
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that stateful processors need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def _stream_keyed(*rules: Rule) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                       "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        use_rocksdb(spark)
         return _keyed_shape(_run_stream(spark, windowed_stream(_stream_records(spark, sf_dir), rules, "0 seconds")))
     return run
 
 
 def stream_running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running count per client, kept as the latest complete table."""
+    return _latest(spark, running_counts(_stream_records(spark, sf_dir), "src_ip"))
+
+
+def _ingested_w3c(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the records and rejects of log files that arrive one batch after the other."""
+    target = _folder(spark, "arrivals")
+    logs = write_w3c_logs(spark, sf_dir)
+    ingest_logs(spark, logs, target, "*.txt", files_per_batch=FILES_PER_BATCH).trigger(availableNow=True).start().awaitTermination()
+    return target
+
+
+def stream_w3c_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(ingested(spark, _ingested_w3c(spark, sf_dir)))
+
+
+def stream_w3c_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingested(spark, _ingested_w3c(spark, sf_dir), REJECTS).select(_file_no(), "line_number", "reason")
+
+
+def stream_files_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line rules on the stream of records that come out of arriving files."""
+    records = record_stream(spark, _ingested_w3c(spark, sf_dir))
+    return _run_stream(spark, scan(records, PACK).select("rule_id", _file_no(), "line_number"))
+
+
+def stream_state_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed findings of a stream, and the rows its state holds once time has passed every window."""
+    use_rocksdb(spark)
+    folder = _folder(spark, "expiry")
+    records = access_records(spark, sf_dir)
+    records.write.parquet(f"{folder}/in/part=0")
+    rules = [KEYED["threshold"], KEYED["threshold_composite_key"], KEYED["sequence"]]
+
+    def run() -> StreamingQuery:
+        stream = spark.readStream.schema(records.schema).parquet(f"{folder}/in/part=*")
+        query = (windowed_stream(stream, rules, "1 hour").writeStream.option("checkpointLocation", f"{folder}/state")
+                 .trigger(availableNow=True).start(f"{folder}/rows", format="parquet"))
+        query.awaitTermination()
+        return query
+
+    run()
+    # A last record that no rule counts, in a far future; the second run goes on from the state of the first.
+    last = records.agg(F.max(F.timestamp_add("YEAR", F.lit(70), F.col("timestamp"))).alias("timestamp")).withColumn("status", F.lit(302).cast("bigint"))
+    records.where("false").unionByName(last, allowMissingColumns=True).write.parquet(f"{folder}/in/part=1")
+    left = run().lastProgress["stateOperators"][0]["numRowsTotal"]
+    return spark.read.parquet(f"{folder}/rows").groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings")).withColumn("state_rows", F.lit(left).cast("bigint"))
+
+
+def _latest(spark: SparkSession, frame: DataFrame) -> DataFrame:
+    """Run a stream in complete mode and read the last table it gave."""
     folder = _folder(spark, "running")
-    counts = running_counts(_stream_records(spark, sf_dir), "src_ip")
-    (counts.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state")
+    (frame.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state")
      .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows"))
      .trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema(counts.schema).parquet(f"{folder}/rows")
+    return spark.read.schema(frame.schema).parquet(f"{folder}/rows")
+
+
+def _stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of line rules and keyed rules in one stream: counting them is a second stateful operator behind the first."""
+    use_rocksdb(spark)
+    records = _stream_records(spark, sf_dir)
+    keyed = windowed_stream(records, [KEYED["threshold"], KEYED["threshold_composite_key"], KEYED["sequence"]], "0 seconds")
+    return scan(records, PACK).unionByName(keyed)
+
+
+def stream_top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _latest(spark, running_rule_hits(_stream_findings(spark, sf_dir), REPORT_TOP_LIMIT))
+
+
+def stream_findings_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _latest(spark, running_severities(_stream_findings(spark, sf_dir)))
+
+
+def stream_top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _latest(spark, running_top(_stream_records(spark, sf_dir), "src_ip", REPORT_TOP_LIMIT))
 
 
 def all_queries() -> dict[str, Query]:
@@ -371,6 +492,7 @@ def all_queries() -> dict[str, Query]:
         "timestamp_offset": timestamp_offset,
         "w3c_parse": w3c_parse,
         "w3c_rejects": w3c_rejects,
+        "w3c_header_rejects": w3c_header_rejects,
         "csv_parse": csv_parse,
         "csv_rejects": csv_rejects,
         **{name: _matching(rule) for name, rule in PREDICATES.items()},
@@ -378,6 +500,8 @@ def all_queries() -> dict[str, Query]:
         "scan_evidence": scan_evidence,
         "findings_flat": findings_flat,
         "findings_json_roundtrip": findings_json_roundtrip,
+        "findings_csv_roundtrip": findings_csv_roundtrip,
+        "parquet_roundtrip": parquet_roundtrip,
         "min_level": min_level,
         **{name: _keyed(rule) for name, rule in KEYED.items()},
         "multi_agg": _keyed(*KEYED.values()),
@@ -386,6 +510,7 @@ def all_queries() -> dict[str, Query]:
         **{f"top_{field}": _top(field) for field in TOP_FIELDS},
         "timeline": timeline_rows_query,
         "timeline_csv_roundtrip": timeline_csv_roundtrip,
+        "timeline_positions": timeline_positions,
         "findings_by_severity": severity,
         "top_finding_sources": _top_findings("src_ip"),
         "top_finding_paths": _top_findings("uri_path"),
@@ -398,9 +523,18 @@ def all_queries() -> dict[str, Query]:
         "highest_severity": most_severe,
         "run_stats": run_stats,
         "report_detail": report_detail,
+        "report_positions": report_positions,
+        "report_tables": report_sections,
         "event_counts": event_counts,
         "stream_scan": stream_scan,
         "stream_threshold": _stream_keyed(KEYED["threshold"], KEYED["threshold_composite_key"]),
         "stream_sequence": _stream_keyed(KEYED["sequence"]),
         "stream_running_counts": stream_running_counts,
+        "stream_w3c_files": stream_w3c_files,
+        "stream_w3c_rejects": stream_w3c_rejects,
+        "stream_files_scan": stream_files_scan,
+        "stream_state_expiry": stream_state_expiry,
+        "stream_top_findings": stream_top_findings,
+        "stream_findings_by_severity": stream_findings_by_severity,
+        "stream_top_sources": stream_top_sources,
     }

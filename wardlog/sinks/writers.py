@@ -1,7 +1,7 @@
 """Writing findings, timelines and reports.
 
-Every writer leaves a folder of part files. Ordered writers sort by range, so the parts in name
-order are in global order.
+Every writer leaves a folder of part files. Findings are written as they come; with ``ordered`` they are sorted by
+range first, so the parts in name order are in global order. Timelines are always ordered.
 """
 
 from __future__ import annotations
@@ -31,13 +31,15 @@ def timeline_rows(records: DataFrame) -> DataFrame:
     return timeline(records).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
-def write_findings_json(findings: DataFrame, path: str, include_raw: bool = False) -> None:
-    """JSON lines in scan order; missing values are written as null."""
-    finding_rows(in_scan_order(findings), include_raw).write.option("ignoreNullFields", "false").json(path)
+def write_findings_json(findings: DataFrame, path: str, include_raw: bool = False, ordered: bool = False) -> None:
+    """JSON lines; missing values are written as null."""
+    findings = in_scan_order(findings) if ordered else findings
+    finding_rows(findings, include_raw).write.option("ignoreNullFields", "false").json(path)
 
 
-def write_findings_csv(findings: DataFrame, path: str, include_raw: bool = False) -> None:
-    _write_csv(flat_findings(in_scan_order(findings), include_raw), path)
+def write_findings_csv(findings: DataFrame, path: str, include_raw: bool = False, ordered: bool = False) -> None:
+    findings = in_scan_order(findings) if ordered else findings
+    _write_csv(flat_findings(findings, include_raw), path)
 
 
 def write_timeline_csv(records: DataFrame, path: str) -> None:

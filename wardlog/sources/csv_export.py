@@ -215,15 +215,15 @@ def read_csv(spark: SparkSession, paths: Sequence[str], name_glob: str | None =
     filled = F.transform("cells", lambda c: F.when(c.rlike(r"^\s*\z"), F.lit("-")).otherwise(c))
     picked = F.when(F.size("names") == width, filled).otherwise(F.transform("positions", lambda p: F.get(filled, p)))
     log_file = path_text(F.col("file_path")).alias("log_file")
-    rows = parsed.where(F.col("reason").isNull()).withColumn("cells", cells_of(F.col("value"))).select(
+    taken = F.col("reason").isNull()
+    lines = parsed.withColumn("cells", F.when(taken, cells_of(F.col("value")))).select(
         log_file, "line_number", F.array_join("cells", ",").alias("raw_line"),
-        F.map_from_arrays("names", picked).alias("fields"))
-    rejects = (parsed.where(F.col("reason").isNotNull()).select(log_file, "line_number", "reason")
-               .unionByName(files.where(F.size("names") < F.size("all_names")).select(
+        F.when(taken, F.map_from_arrays("names", picked)).alias("fields"), "reason")
+    notices = (files.where(F.size("names") < F.size("all_names")).select(
                    log_file, F.col("header_line").alias("line_number"),
-                   F.lit("header repeats a column name").alias("reason")))
+                   F.lit("header repeats a column name").alias("reason"))
                .unionByName(files.where(F.col("header_line").isNull()).select(
                    log_file, F.lit(0).cast("bigint").alias("line_number"),
                    F.lit("file without a header record").alias("reason")))
                .unionByName(_empty_files(spark, paths, name_glob, files)))
-    return LogSource(rows, rejects)
+    return LogSource(lines, notices)

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from wardlog.sources.csv_export import read_csv
-from wardlog.sources.lines import LogSource
+from wardlog.sources.lines import LINE_COLUMNS, REJECT_COLUMNS, LogSource
 from wardlog.sources.w3c import read_w3c
 
 
@@ -73,7 +73,8 @@ def read_logs(spark: SparkSession, spec: str | Sequence[str], strict: bool = Fal
     A path that exists is taken as it is; a folder is searched recursively for ``*.log`` and ``*.csv``; anything
     else is a glob that takes every file it matches, ``**`` in any folder below. Files whose name begins with
     ``_`` or ``.`` are not readable by Spark and become rejects. Names ending in ``.csv`` are CSV exports, all others W3C logs. Without any match this
-    raises ``FileNotFoundError``; in a list of several inputs a missing one becomes a reject.
+    raises ``FileNotFoundError``; in a list of several inputs a missing one becomes a reject. With ``strict`` a
+    reject of a whole file raises ``SourceError``, and the job that meets a line that would be skipped fails.
     """
     specs = [spec] if isinstance(spec, str) else list(spec)
     parts: list[LogSource] = []
@@ -103,13 +104,11 @@ def read_logs(spark: SparkSession, spec: str | Sequence[str], strict: bool = Fal
     if exports:
         parts.append(read_csv(spark, exports))
     if not parts:
-        parts.append(LogSource(spark.createDataFrame([], "log_file string, line_number bigint, raw_line string, fields map<string,string>"),
-                               spark.createDataFrame([], "log_file string, line_number bigint, reason string")))
+        parts.append(LogSource(spark.createDataFrame([], LINE_COLUMNS), spark.createDataFrame([], REJECT_COLUMNS)))
     source = parts[0]
     for part in parts[1:]:
         source = source.union(part)
     if missing or hidden:
         unread = [(m, 0, "not found") for m in missing] + [(re.sub("^file:(//)?(?=/)", "", h), 0, "hidden file name, not read") for h in hidden]
-        gone = spark.createDataFrame(unread, source.rejects.schema)
-        source = LogSource(source.rows, source.rejects.unionByName(gone))
+        source = LogSource(source.lines, source.notices.unionByName(spark.createDataFrame(unread, REJECT_COLUMNS)))
     return source.strict() if strict else source

@@ -17,29 +17,45 @@ from pyspark.sql import functions as F
 from wardlog.lineage import settle, sized
 
 SPLIT = ["file_path", "split_start"]
+ROW_COLUMNS = "log_file string, line_number bigint, raw_line string, fields map<string,string>"
+LINE_COLUMNS = f"{ROW_COLUMNS}, reason string"
+REJECT_COLUMNS = "log_file string, line_number bigint, reason string"
 
 
 class SourceError(Exception):
-    """Input that the strict mode refuses."""
+    """Input that the strict mode refuses before it reads a line."""
 
 
 @dataclass(frozen=True)
 class LogSource:
-    """Raw rows (``log_file, line_number, raw_line, fields``) and what was skipped
-    (``log_file, line_number, reason``)."""
+    """What the files hold, in one frame: rows, and the lines that are skipped, which have a reason
+    instead of text and fields. Both come out of the same pass over the text. ``notices`` are rejects known without
+    that pass: files without a header, repeated names, missing files."""
 
-    rows: DataFrame
-    rejects: DataFrame
+    lines: DataFrame
+    notices: DataFrame
+
+    @property
+    def rows(self) -> DataFrame:
+        """Raw rows: ``log_file, line_number, raw_line, fields``."""
+        return self.lines.where(F.col("reason").isNull()).drop("reason")
+
+    @property
+    def rejects(self) -> DataFrame:
+        """What was skipped: ``log_file, line_number, reason``."""
+        return self.lines.where(F.col("reason").isNotNull()).select(*self.notices.columns).unionByName(self.notices)
 
     def strict(self) -> "LogSource":
-        """Raise if anything would be skipped; takes a pass over the input."""
-        first = self.rejects.orderBy("log_file", "line_number").first()
+        """The same, but nothing may be skipped: a notice raises at once, a skipped line fails the job that meets it."""
+        first = self.notices.orderBy("log_file", "line_number").first()
         if first is not None:
             raise SourceError(f"{first.log_file}:{first.line_number}: {first.reason}")
-        return self
+        place = F.concat_ws(":", "log_file", F.col("line_number").cast("string"))
+        refused = F.raise_error(F.concat_ws(": ", place, "reason")).cast("boolean")
+        return LogSource(self.lines.where(F.when(F.col("reason").isNull(), True).otherwise(refused)), self.notices)
 
     def union(self, other: "LogSource") -> "LogSource":
-        return LogSource(self.rows.unionByName(other.rows), self.rejects.unionByName(other.rejects))
+        return LogSource(self.lines.unionByName(other.lines), self.notices.unionByName(other.notices))
 
 
 def from_files(spark: SparkSession, file_format: str, paths: Sequence[str], name_glob: str | None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardlog.lineage import settle, sized
-from wardlog.sources.lines import LogSource, line_at, numbered, path_text, split_order, split_table, text_lines
+from wardlog.sources.lines import REJECT_COLUMNS, LogSource, line_at, numbered, path_text, split_order, split_table, text_lines
 
 FIELDS_MARK = "#Fields:"  # fixed value
 
@@ -111,7 +111,8 @@ def read_w3c(spark: SparkSession, paths: Sequence[str], name_glob: str | None =
     cells = F.when(F.size("names") == width, F.col("cells")).otherwise(
         F.transform("positions", lambda p: F.get("cells", p)))
     where = [path_text(F.col("file_path")).alias("log_file"), F.col("line_number")]
-    rows = (parsed.where(F.col("reason").isNull() & _is_data(value)).withColumn("layout_id", F.col("layout.layout_id"))
-            .join(sized(forms), "layout_id")
-            .select(*where, value.alias("raw_line"), F.map_from_arrays("names", cells).alias("fields")))
-    return LogSource(rows, parsed.where(F.col("reason").isNotNull()).select(*where, "reason"))
+    taken = F.col("reason").isNull()
+    lines = (parsed.where(~taken | _is_data(value)).withColumn("layout_id", F.col("layout.layout_id"))
+             .join(sized(forms), "layout_id", "left")
+             .select(*where, F.when(taken, value).alias("raw_line"), F.when(taken, F.map_from_arrays("names", cells)).alias("fields"), "reason"))
+    return LogSource(lines, spark.createDataFrame([], REJECT_COLUMNS))

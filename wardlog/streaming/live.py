@@ -3,11 +3,17 @@
 Line rules are stateless, so ``scan`` itself works on a stream. Threshold and sequence rules need
 order: rows wait until the watermark has passed them and are then taken in event-time order, which
 gives the batch results for every row that is not later than the watermark allows.
+
+Rows are folded to (rule, key, second) inside each task before they reach the state. The state of a key is
+keyed by second: numbers of rows, and only the rows that can still fire. A batch therefore touches the seconds
+it brings rows for, however many rows of the key are waiting, and a second that does not reach its bound is
+never read row by row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import json
+from collections.abc import Callable, Iterator, Sequence
 from math import ceil, floor
 
 import pandas as pd
@@ -15,112 +21,196 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from wardlog.functions.severity import LEVELS
 from wardlog.operators.rules import Rule, keyed_rules
 from wardlog.operators.scan import WINDOW_PHASE, record_columns
+from wardlog.operators.summary import TOP_LIMIT
 from wardlog.operators.windows import COUNTED, FOLLOW_UP, _keyed_findings, mark_rows
 from wardlog.schema import FINDING_RECORD_COLUMNS
 
-ROW_FIELDS = ("role", "sec", *FINDING_RECORD_COLUMNS.values())
-ROW_TYPES = ("role int, sec bigint, timestamp string, src_ip string, method string, uri_path string, "
-             "uri_query string, status_code bigint, user_agent string, referer string, host string, "
-             "log_file string, line_number bigint, raw_line string")
+PAYLOAD = tuple(FINDING_RECORD_COLUMNS.values())
+FOLDED = "rule_seq int, key_text string, sec bigint, counted bigint, rows string"
 OUTPUT = ("rule_seq int, key_text string, event_count bigint, timestamp string, src_ip string, method string, "
           "uri_path string, uri_query string, status_code bigint, user_agent string, referer string, host string, "
           "log_file string, line_number bigint, raw_line string")
+#: Load only: seconds of the running window that are read and written together.
+WINDOW_CHUNK = 256
+
+# A row in the state: [log_file, line_number, role, payload]; counted rows of a sequence carry no payload.
+Limits = dict[int, tuple[int, int, int, bool]]
+
+
+def _in_order(rows: list[list], need: int, sequence: bool) -> list[list]:
+    """Rows of one second in file order; a threshold can only fire at one of its first `need` rows."""
+    rows.sort(key=lambda r: (r[0] or "", r[1] or 0))
+    return rows if sequence else rows[:need]
+
+
+def fold_rows(limits: Limits) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """One row per (rule, key, second) of each batch of rows, with the number of counted rows and the rows that can fire."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            groups: dict[tuple, list] = {}
+            columns = [batch[c].astype(object).where(batch[c].notna(), None).tolist() for c in ("rule_seq", "key_text", "sec", "role", *PAYLOAD)]
+            for rule_seq, key_text, sec, role, *payload in zip(*columns):
+                group = groups.setdefault((rule_seq, key_text, sec), [0, []])
+                group[0] += role == COUNTED
+                place = [payload[PAYLOAD.index("log_file")], payload[PAYLOAD.index("line_number")]]
+                group[1].append([*place, role, None if limits[rule_seq][3] and role == COUNTED else payload])
+            yield pd.DataFrame([(*key, counted, json.dumps(_in_order(rows, limits[key[0]][0], limits[key[0]][3])))
+                                for key, (counted, rows) in groups.items()], columns=[c.split()[0] for c in FOLDED.split(", ")])
+
+    return run
+
+
+class RunningWindow:
+    """Counts of the seconds in the window of a key, oldest first, in chunks of a map state.
+
+    Only the oldest and the newest chunk are held; `total` is the sum over all of them.
+    """
+
+    def __init__(self, chunks, oldest: int, start: int, newest: int, total: int):
+        self.chunks, self.oldest, self.start, self.newest, self.total = chunks, oldest, start, newest, total
+        self.changed = False
+        self.last = self._read(newest)
+        self.first = self.last if oldest == newest else self._read(oldest)
+
+    def _read(self, number: int) -> list[list[int]]:
+        held = self.chunks.getValue((number,))
+        return json.loads(held[0]) if held else []
+
+    def forget(self, before: int) -> None:
+        """Drop the seconds before a time."""
+        while True:
+            while self.start < len(self.first) and self.first[self.start][0] < before:
+                self.total -= self.first[self.start][1]
+                self.start += 1
+            if self.start < len(self.first) or self.oldest == self.newest:
+                return
+            self.chunks.removeKey((self.oldest,))
+            self.oldest, self.start = self.oldest + 1, 0
+            self.first = self.last if self.oldest == self.newest else self._read(self.oldest)
+
+    def add(self, sec: int, count: int) -> None:
+        if len(self.last) == WINDOW_CHUNK:
+            self.write()
+            self.last, self.newest = [], self.newest + 1
+        self.last.append([sec, count])
+        self.total += count
+        self.changed = True
+
+    def write(self) -> None:
+        if self.changed:
+            self.chunks.updateValue((self.newest,), (json.dumps(self.last),))
+            self.changed = False
+
+    def newest_second(self) -> int | None:
+        return self.last[-1][0] if self.last and (self.oldest < self.newest or self.start < len(self.last)) else None
 
 
 class SlidingCount(StatefulProcessor):
-    """State of one (rule, key): rows not yet passed by the watermark, counted seconds of the
-    running window, and the time before which nothing fires again.
+    """State of one (rule, key): what waits for the watermark, by second; the counts of the running window; and one row
+    with the bounds of that window, the time before which nothing fires again, and the timer.
 
-    ``limits`` maps rule_seq to (bound, window seconds back, pause seconds, is sequence).
+    ``limits`` maps rule_seq to (bound, window seconds back, pause seconds, is sequence). Rows of seconds that the
+    watermark has passed are late and dropped. A key without work keeps a timer that removes its state.
     """
 
-    def __init__(self, limits: dict[int, tuple[int, int, int, bool]]):
+    def __init__(self, limits: Limits):
         self.limits = limits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", ROW_TYPES)
-        self.window = handle.getListState("window", "sec bigint, n bigint")
-        self.quiet_until = handle.getValueState("quiet_until", "sec bigint")
-        self.timer = handle.getValueState("timer", "at bigint")
-
-    def _wake_at(self, millis: int | None) -> None:
-        """Keep one timer, at the earliest second that has work."""
-        current = self.timer.get()[0] if self.timer.exists() else None
-        if current == millis:
-            return
-        if current is not None:
-            self.handle.deleteTimer(current)
-        if millis is None:
-            self.timer.clear()
-        else:
-            self.handle.registerTimer(millis)
-            self.timer.update((millis,))
+        self.waiting = handle.getMapState("waiting", "sec bigint", "counted bigint, chunks int")
+        self.rows = handle.getMapState("rows", "sec bigint, chunk int", "body string")
+        self.window = handle.getMapState("window", "chunk bigint", "body string")
+        self.bounds = handle.getValueState("bounds", "oldest bigint, start bigint, newest bigint, total bigint, quiet_until bigint, timer bigint")
+
+    def _bounds(self) -> list:
+        return list(self.bounds.get()) if self.bounds.exists() else [0, 0, 0, 0, None, None]
+
+    def _keep(self, bounds: list, wake: int | None) -> None:
+        """Store the bounds with one timer at the given time."""
+        if wake != bounds[5]:
+            if bounds[5] is not None:
+                self.handle.deleteTimer(bounds[5])
+            self.handle.registerTimer(wake)
+        self.bounds.update((*bounds[:5], wake))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        earliest = self.timer.get()[0] if self.timer.exists() else None
-        for batch in rows:
-            values = [tuple(None if pd.isna(v) else v for v in row) for row in
-                      batch[list(ROW_FIELDS)].astype(object).itertuples(index=False, name=None)]
-            if values:
-                self.waiting.appendList(values)
-                first = min(v[1] for v in values) * 1000
-                earliest = first if earliest is None else min(first, earliest)
-        self._wake_at(earliest)
+        need, _, _, sequence = self.limits[int(key[0])]
+        passed = timerValues.getCurrentWatermarkInMs()
+        brought: dict[int, list] = {}
+        for frame in rows:
+            for sec, counted, body in zip(frame["sec"].tolist(), frame["counted"].tolist(), frame["rows"].tolist()):
+                if sec * 1000 > passed:
+                    here = brought.setdefault(int(sec), [0, []])
+                    here[0] += int(counted)
+                    here[1] += json.loads(body)
+        for sec, (counted, new) in brought.items():
+            before, chunks = self.waiting.getValue((sec,)) or (0, 0)
+            if sequence:
+                self.rows.updateValue((sec, chunks), (json.dumps(new),))
+                chunks += 1
+            else:
+                held = json.loads(self.rows.getValue((sec, 0))[0]) if chunks else []
+                self.rows.updateValue((sec, 0), (json.dumps(_in_order(held + new, need, False)),))
+                chunks = 1
+            self.waiting.updateValue((sec,), (before + counted, chunks))
+        if brought:
+            bounds = self._bounds()
+            first = min(brought) * 1000
+            # an earlier timer stands for waiting seconds, or for a removal that finds these waiting
+            self._keep(bounds, first if bounds[5] is None else min(first, bounds[5]))
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         need, back, pause, sequence = self.limits[int(key[0])]
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = [dict(zip(ROW_FIELDS, r)) for r in self.waiting.get()]
-        due = sorted((r for r in rows if r["sec"] * 1000 <= passed),
-                     key=lambda r: (r["sec"], r["log_file"] or "", r["line_number"] or 0))
-        later = [r for r in rows if r["sec"] * 1000 > passed]
-        window = [tuple(w) for w in self.window.get()]
-        quiet_until = self.quiet_until.get()[0] if self.quiet_until.exists() else None
-        fired, start, total = [], 0, sum(n for _, n in window)
-        for row in due:
-            now = row["sec"]
-            if row["role"] == COUNTED:
-                if len(window) > start and window[-1][0] == now:
-                    window[-1] = (now, window[-1][1] + 1)
-                else:
-                    window.append((now, 1))
-                total += 1
-            while start < len(window) and window[start][0] < now - back:
-                total -= window[start][1]
-                start += 1
-            trigger = FOLLOW_UP if sequence else COUNTED
-            if row["role"] == trigger and total >= need and (quiet_until is None or now >= quiet_until):
-                quiet_until = now + pause
-                fired.append({"rule_seq": int(key[0]), "key_text": key[1], "event_count": total,
-                              **{c: row[c] for c in FINDING_RECORD_COLUMNS.values()}})
-        # State keeps only what a later row can still see.
-        horizon = passed // 1000 - back
-        window = [w for w in window[start:] if w[0] >= horizon]
-        self._replace(self.waiting, [tuple(r[f] for f in ROW_FIELDS) for r in later])
-        self._replace(self.window, window)
-        if quiet_until is not None and quiet_until * 1000 > passed:
-            self.quiet_until.update((quiet_until,))
+        waiting = [(int(s[0]), int(v[0]), int(v[1])) for s, v in self.waiting.iterator()]
+        due = sorted(w for w in waiting if w[0] * 1000 <= passed)
+        bounds = self._bounds()
+        bounds[5] = None  # it has just expired
+        quiet_until = bounds[4]
+        window = RunningWindow(self.window, *bounds[:4])
+        fired = []
+        for sec, counted, chunks in due:
+            window.forget(sec - back)
+            if window.total + counted >= need and (counted or sequence) and (quiet_until is None or sec >= quiet_until):
+                rows = [r for chunk in range(chunks) for r in json.loads(self.rows.getValue((sec, chunk))[0])]
+                so_far = 0
+                for _, _, role, payload in _in_order(rows, need, sequence):
+                    so_far += role == COUNTED
+                    if role == (FOLLOW_UP if sequence else COUNTED) and window.total + so_far >= need:
+                        fired.append((int(key[0]), key[1], window.total + so_far, *payload))
+                        quiet_until = sec + pause
+                        break
+            if counted:
+                window.add(sec, counted)
+            self.waiting.removeKey((sec,))
+            for chunk in range(chunks):
+                self.rows.removeKey((sec, chunk))
+        # Only what a later row can still see stays.
+        window.forget(passed // 1000 - back)
+        if quiet_until is not None and quiet_until * 1000 <= passed:
+            quiet_until = None
+        newest = window.newest_second()
+        wake = min((w[0] for w in waiting if w[0] * 1000 > passed), default=None)
+        if wake is None and newest is not None:
+            wake = newest + back + 1
+        if wake is None:
+            wake = quiet_until
+        if newest is None:
+            self.window.clear()
+            window.oldest = window.start = window.newest = window.total = 0
         else:
-            self.quiet_until.clear()
-        wake = [r["sec"] * 1000 for r in later]
-        if not wake and window:
-            wake = [(window[-1][0] + back + 1) * 1000]  # to forget an idle key
-        elif not wake and quiet_until is not None and quiet_until * 1000 > passed:
-            wake = [quiet_until * 1000]
-        self.timer.clear()
-        self._wake_at(min(wake) if wake else None)
-        yield pd.DataFrame(fired, columns=[c.split()[0] for c in OUTPUT.split(", ")]) if fired else pd.DataFrame()
-
-    @staticmethod
-    def _replace(state, values: list[tuple]) -> None:
-        if values:
-            state.put(values)
+            window.write()
+        if wake is None:
+            self.bounds.clear()
         else:
-            state.clear()
+            self._keep([window.oldest, window.start, window.newest, window.total, quiet_until, None], wake * 1000)
+        yield pd.DataFrame(fired, columns=[c.split()[0] for c in OUTPUT.split(", ")]) if fired else pd.DataFrame()
 
     def close(self) -> None:
         pass
@@ -129,8 +219,8 @@ class SlidingCount(StatefulProcessor):
 def windowed_stream(records: DataFrame, rules: Sequence[Rule], lateness: str, min_level: str = "low") -> DataFrame:
     """Findings of threshold and sequence rules on a stream of records (append mode).
 
-    Needs the RocksDB state store. Rarity rules are only defined at the end of input and are left
-    to the batch run.
+    The watermark follows all records, also those that no rule counts. Needs the RocksDB state store. Rarity rules
+    are only defined at the end of input and are left to the batch run.
     """
     rules = list(rules)
     active = [r for r in keyed_rules(rules, min_level) if r.grouping.kind != "rarity"]
@@ -138,13 +228,31 @@ def windowed_stream(records: DataFrame, rules: Sequence[Rule], lateness: str, mi
                                ceil(r.grouping.window_minutes * 60), r.grouping.kind == "sequence") for r in active}
     timed = records.withColumn("event_time", F.timestamp_seconds(F.unix_seconds("timestamp"))) \
         .withWatermark("event_time", lateness)
-    marks = mark_rows(timed, rules, active, [*record_columns(records), F.col("event_time")])
-    fired = (marks.withColumn("key_text", F.to_json("key")).groupBy("rule_seq", "key_text")
-             .transformWithStateInPandas(SlidingCount(limits), OUTPUT, "append", "eventtime"))
+    marks = mark_rows(timed, rules, active, record_columns(records)).withColumn("key_text", F.to_json("key"))
+    folded = marks.select("rule_seq", "key_text", "sec", "role", *PAYLOAD).mapInPandas(fold_rows(limits), FOLDED)
+    fired = folded.groupBy("rule_seq", "key_text").transformWithStateInPandas(SlidingCount(limits), OUTPUT, "append", "eventtime")
     keyed = fired.withColumn("key", F.from_json("key_text", "array<string>")).drop("key_text")
     return _keyed_findings(keyed, rules, WINDOW_PHASE)
 
 
+def running_severities(findings: DataFrame) -> DataFrame:
+    """Findings per level on a stream of findings, for the complete mode: all levels, most severe first."""
+    totals = findings.agg(*[F.count(F.when(F.col("level") == level, 1)).alias(level) for level in LEVELS])
+    rows = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit(level).alias("level"), F.col(level).alias("findings")) for rank, level in enumerate(reversed(LEVELS))])
+    return totals.select(F.explode(rows).alias("row")).select("row.*").orderBy("rank").drop("rank")
+
+
+def running_rule_hits(findings: DataFrame, limit: int | None = None) -> DataFrame:
+    """Findings per rule on a stream of findings, most frequent first, for the complete mode; only the first `limit` if given."""
+    hits = findings.groupBy("rule_id", "rule_title", "level").agg(F.count(F.lit(1)).alias("hits")).orderBy(F.desc("hits"), "rule_id")
+    return hits.limit(limit) if limit else hits
+
+
+def running_top(frame: DataFrame, field: str, limit: int = TOP_LIMIT) -> DataFrame:
+    """Most frequent values of a column of a stream, ties by value text, for the complete mode."""
+    return running_counts(frame, field).orderBy(F.desc("count"), F.col(field).cast("string")).limit(limit)
+
+
 def running_counts(frame: DataFrame, field: str) -> DataFrame:
     """Running number of rows per value of a column, for the complete or update mode: top-N of a
     stream of records, or findings per level or rule of a stream of findings."""
