@@ -109,10 +109,12 @@ SETTINGS = [(5, 10.0, False), (1, 0.5 / 60, False), (8, 90.5 / 60, False), (3, 0
             (5, 10.0, True), (1, 0.5 / 60, True), (8, 90.5 / 60, True), (3, 0.5, True)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_random_events_match_the_step_by_step_model(spark, seed, monkeypatch):
-    """All rules in one run, short slots so that windows cross slot borders, ties and several files."""
+@pytest.mark.parametrize("seed,block_lines,key_seconds", [(1, 4096, 100_000), (2, 3, 20), (3, 1, 0)])
+def test_random_events_match_the_step_by_step_model(spark, seed, block_lines, key_seconds, monkeypatch):
+    """All rules in one run, short slots so that windows cross slot borders, ties and several files; crowded seconds and busy keys."""
     monkeypatch.setattr(windows, "SLOT_SECONDS", 100 * seed)
+    monkeypatch.setattr(windows, "BLOCK_LINES", block_lines)
+    monkeypatch.setattr(windows, "KEY_SECONDS", key_seconds)
     rng = random.Random(seed)
     rows, sec = [], T0
     for i in range(4000):
@@ -151,7 +153,21 @@ def test_rarity_counts_without_payload(spark):
     assert "SortAggregate" not in found._jdf.queryExecution().toString()
 
 
-def test_cool_down_over_slots(spark):
+def test_a_second_with_very_many_rows(spark):
+    """100,000 rows of one key in one second, in three files: the row that fires is found by blocks of lines."""
+    many = 100_000
+    numbers = spark.range(many).select(F.lit(T0).alias("sec"), F.lit("ip").alias("src_ip"), F.when(F.col("id") % 50_000 == 49_999, 200).otherwise(401).alias("status").cast("bigint"),
+                                       F.lit("/p").alias("uri_path"), F.concat(F.lit("f"), F.floor(F.col("id") / 40_000)).alias("log_file"), (F.col("id") % 40_000).alias("line_number"))
+    empty = F.lit(None).cast("string")
+    frame = numbers.withColumns({"timestamp": F.timestamp_seconds("sec"), "method": F.lit("GET"), "extension": empty,
+                                 **{c: empty for c in ("uri_query", "user_agent", "referer", "host", "raw_line")}}).drop("sec")
+    rules = [keyed_rule("t", filter=COUNTED, count_gte=70_000, window_minutes=1), keyed_rule("s", filter=COUNTED, followed_by=FOLLOW, count_gte=60_000, window_minutes=1)]
+    found = {r.rule_id: (r.log_file, r.line_number, r.matched_values[-1]) for r in detect_keyed(frame, rules).collect()}
+    assert found == {"t": ("f1", 30_000, "70000"), "s": ("f2", 19_999, "99998")}
+
+
+@pytest.mark.parametrize("key_seconds", [100_000, 1000, 0])
+def test_cool_down_over_slots(spark, key_seconds):
     """Fires of the slots are those of a walk along each key; one key holds most rows, times go back before 1970."""
     rng = random.Random(3)
     rows, expected = [], []
@@ -165,8 +181,8 @@ def test_cool_down_over_slots(spark):
                     free_at = sec + pause
     rng.shuffle(rows)
     reaching = spark.createDataFrame(rows, "rule_seq int, key array<string>, sec bigint, pause bigint, home bigint, slot bigint").selectExpr(
-        "*", "0L AS prior", "1L AS need", "false AS sequence")
-    got = [(r.rule_seq, r.key[0], r.sec) for r in windows.firing_seconds(reaching).collect()]
+        "*", "0L AS prior", "1L AS need", "false AS sequence", "1L AS rows_here")
+    got = [(r.rule_seq, r.key[0], r.sec) for r in windows.firing_seconds(reaching, key_seconds).collect()]
     assert sorted(got) == sorted(expected)
-    none = windows.firing_seconds(reaching.where("sec > 99999"))
+    none = windows.firing_seconds(reaching.where("sec > 99999"), key_seconds)
     assert none.count() == 0

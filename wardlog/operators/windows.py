@@ -11,8 +11,8 @@ Order is event time, then log file and line. Counts cover the closed interval [t
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import partial, reduce
 from math import ceil, floor, lcm
 
 import numpy as np
@@ -30,6 +30,8 @@ from wardlog.schema import FINDING_RECORD_COLUMNS
 COUNTED, FOLLOW_UP = 1, 2  # what a row is to a rule
 SLOT_SECONDS = 6 * 3600  # least length of a time slot
 MAX_COMMON_WINDOW = 10**12  # bound on the common multiple of windows handled in one range window
+# Load only: a second with more rows is searched by blocks of so many lines; a key with more reaching seconds by time slots.
+BLOCK_LINES, KEY_SECONDS = 4096, 100_000
 
 GROUP = ["rule_seq", "key"]
 SECOND = [*GROUP, "sec"]
@@ -112,16 +114,7 @@ def _reaching_seconds(marks: DataFrame, parameters: DataFrame, common: int) -> D
     return (placed.withColumn("prior", counted_until(-1) - counted_until(-common - 1))
             .where((F.col("in_slot") == F.col("home")) & (F.col("prior") + F.col("n") >= F.col("need"))
                    & F.when(F.col("sequence"), F.col("follow_ups") > 0).otherwise(F.col("n") > 0))
-            .select(*SECOND, "prior", "need", "pause", "sequence", "home", "slot"))
-
-
-def _in_second() -> Window:
-    return Window.partitionBy(*SECOND).orderBy("log_file", "line_number")
-
-
-def _counted_so_far() -> Column:
-    """Counted rows of the second up to this row."""
-    return F.count(F.when(F.col("role") == COUNTED, 1)).over(_in_second())
+            .select(*SECOND, "prior", "need", "pause", "sequence", "home", "slot", (F.col("n") + F.col("follow_ups")).alias("rows_here")))
 
 
 def _fires(role: Column, so_far: Column) -> Column:
@@ -131,7 +124,53 @@ def _fires(role: Column, so_far: Column) -> Column:
             .otherwise((role == COUNTED) & (reached >= F.col("need"))))
 
 
-def _settle_order(reaching: DataFrame, positions: DataFrame) -> DataFrame:
+def _firing_blocks(positions: DataFrame, crowded: DataFrame, block_lines: int) -> DataFrame:
+    """Where in crowded seconds the first firing row is: one block of lines of a file, for a sequence one of two.
+
+    Blocks are counted by hash aggregation; only their counts, a row a block, are ordered within a second.
+    """
+    per_block = (positions.join(sized(crowded), SECOND)
+                 .groupBy(*SECOND, "log_file", F.floor(F.col("line_number") / block_lines).alias("block"))
+                 .agg(F.count(F.when(F.col("role") == COUNTED, 1)).alias("n"), F.count(F.when(F.col("role") == FOLLOW_UP, 1)).alias("follow_ups"),
+                      *[F.first(c).alias(c) for c in ("prior", "need", "sequence")]))
+    in_second = Window.partitionBy(*SECOND).orderBy("log_file", "block")
+    before = F.coalesce(F.sum("n").over(in_second.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = F.col("prior") + F.col("before") + F.col("n") >= F.col("need")
+    # The bound is reached inside the first such block; a follow-up in it may still come too early, then the next one fires.
+    return (per_block.withColumn("before", before).where(reached & F.when(F.col("sequence"), F.col("follow_ups") > 0).otherwise(F.col("n") > 0))
+            .withColumn("nth", F.row_number().over(in_second)).where(F.col("nth") <= F.when(F.col("sequence"), 2).otherwise(1))
+            .select(*SECOND, "log_file", "block", "prior", "need", "sequence", "before"))
+
+
+def first_firing(marks: Callable[[Sequence[Column]], DataFrame], seconds: DataFrame, carry: Sequence[Column], block_lines: int) -> DataFrame:
+    """The first firing row of every second that has one: role, the second, event_count and the carried columns.
+
+    ``marks`` gives the rows of the rules with the columns it is asked for, log_file and line_number among ``carry``; ``seconds``
+    (settled) has prior, need, sequence and rows_here. A second with more than `block_lines` rows is never one group: its
+    rows are counted by blocks of lines, and only the block that holds the row is looked at row by row.
+    """
+    wanted = [*SECOND, "prior", "need", "sequence"]
+
+    def first_of(rows: DataFrame, group: Sequence[str], before: Column) -> DataFrame:
+        ordered = Window.partitionBy(*group).orderBy("log_file", "line_number")
+        return (rows.withColumn("so_far", before + F.count(F.when(F.col("role") == COUNTED, 1)).over(ordered))
+                .where(_fires(F.col("role"), F.col("so_far")))
+                .withColumn("nth", F.row_number().over(ordered)).where("nth = 1")
+                .withColumn("event_count", F.col("prior") + F.col("so_far"))
+                .drop("nth", "so_far", "prior", "need", "sequence"))
+
+    usual = first_of(marks(carry).join(sized(seconds.where(F.col("rows_here") <= block_lines).select(*wanted)), SECOND), SECOND, F.lit(0))
+    crowded = seconds.where(F.col("rows_here") > block_lines).select(*wanted)
+    if crowded.isEmpty():
+        return usual
+    blocks = settle(_firing_blocks(marks([F.col("log_file"), F.col("line_number")]), crowded, block_lines))
+    block = F.floor(F.col("line_number") / block_lines)
+    found = first_of(marks(carry).withColumn("block", block).join(sized(blocks), [*SECOND, "log_file", "block"]), [*SECOND, "log_file", "block"], F.col("before"))
+    two = Window.partitionBy(*SECOND).orderBy("log_file", "line_number")  # a row of each of at most two blocks
+    return usual.unionByName(found.withColumn("nth", F.row_number().over(two)).where("nth = 1").drop("nth", "block", "before"))
+
+
+def _settle_order(reaching: DataFrame, marks: Callable[[Sequence[Column]], DataFrame], block_lines: int) -> DataFrame:
     """Drop seconds of a sequence whose follow-ups all come before the count is reached.
 
     Only seconds that cross the bound inside themselves are looked at row by row.
@@ -141,10 +180,7 @@ def _settle_order(reaching: DataFrame, positions: DataFrame) -> DataFrame:
     undecided = reaching.where(crossing)
     if undecided.isEmpty():
         return reaching
-    confirmed = (positions.join(sized(undecided.select(*SECOND, "prior", "need", "sequence")), SECOND)
-                 .withColumn("so_far", _counted_so_far())
-                 .where(_fires(F.col("role"), F.col("so_far")))
-                 .select(*SECOND).distinct())
+    confirmed = first_firing(marks, undecided, [F.col("log_file"), F.col("line_number")], block_lines).select(*SECOND)
     return reaching.where(~crossing).unionByName(undecided.join(confirmed, SECOND, "left_semi"))
 
 
@@ -219,43 +255,60 @@ def _fill_slots(columns: list[str]):
     return run
 
 
-def firing_seconds(reaching: DataFrame) -> DataFrame:
+def _fill_keys(columns: list[str]):
+    """Rows of whole keys that fire: the first of a key, and from each the next one that may."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _whole_slots(batches):
+            key, onward = _next_fires(frame)
+            fires = np.zeros(len(frame), bool)
+            now = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            while now.size:
+                fires[now] = True
+                now = onward[now][onward[now] != now]
+            yield frame.loc[fires, columns]
+    return run
+
+
+def firing_seconds(reaching: DataFrame, key_seconds: int) -> DataFrame:
     """At most one second per key and window: a second fires if the key's last fire is at least the pause away.
 
-    Keys are cut into time slots, so a key that reaches its bound all the time is worked on in many tasks: every slot
-    works out, for each second that can be its first fire, the last one; only one row per slot is chained along a key.
+    A key with at most `key_seconds` reaching seconds is worked through at once. Others, which reach their bound nearly all the time,
+    are cut into time slots and worked on in many tasks: every slot works out, for each second that can be its first
+    fire, the last one; only one row per slot is chained along a key.
     """
-    columns = [*SECOND, "prior", "need", "pause", "sequence"]
-    named = settle(reaching.withColumn("slot_name", F.to_json(F.struct(*GROUP, "home"))))
+    columns = [*SECOND, "prior", "need", "pause", "sequence", "rows_here"]
+    reaching = settle(reaching)
+    key_name = F.to_json(F.struct(*GROUP))
+    busy = settle(reaching.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("seconds")).where(F.col("seconds") > key_seconds).select(*GROUP))
+    shape = reaching.select(*columns).schema
 
     def in_slots(frame: DataFrame) -> DataFrame:
         return frame.repartition("slot_name").sortWithinPartitions("slot_name", "sec")
 
+    if busy.isEmpty():
+        return in_slots(reaching.withColumn("slot_name", key_name)).mapInPandas(_fill_keys(columns), shape)
+    usual = in_slots(reaching.join(sized(busy), GROUP, "left_anti").withColumn("slot_name", key_name)).mapInPandas(_fill_keys(columns), shape)
+    named = settle(reaching.join(sized(busy), GROUP, "left_semi").withColumn("slot_name", F.to_json(F.struct(*GROUP, "home"))))
     outcomes = in_slots(named.select(*SECOND, "home", "slot", "pause", "slot_name")).mapInPandas(
         _slot_outcomes, "rule_seq int, key array<string>, home bigint, pause bigint, slot_name string, "
                         "firsts array<bigint>, lasts array<bigint>")
     entries = outcomes.repartition(*GROUP).sortWithinPartitions(*GROUP, "home").mapInPandas(_chain_slots, "slot_name string, entry bigint")
-    return in_slots(named.join(sized(settle(entries)), "slot_name")).mapInPandas(_fill_slots(columns), named.select(*columns).schema)
+    filled = in_slots(named.join(sized(settle(entries)), "slot_name")).mapInPandas(_fill_slots(columns), shape)
+    return usual.unionByName(filled)
 
 
 def windowed(records: DataFrame, rules: Sequence[Rule], active: Sequence[Rule]) -> DataFrame:
     """Findings of threshold and sequence rules; the finding shows the row that fired."""
     results = []
-    place = [F.col("log_file"), F.col("line_number")]
     for members, common in _window_batches(active):
         parameters = _parameters(records, rules, members, common)
         reaching = _reaching_seconds(mark_rows(records, rules, members, []), parameters, common)
-        if any(r.grouping.kind == "sequence" for r in members):
-            sequences = [r for r in members if r.grouping.kind == "sequence"]
-            reaching = _settle_order(reaching, mark_rows(records, rules, sequences, place))
-        fired = sized(settle(firing_seconds(reaching)))
-        rows = mark_rows(records, rules, members, record_columns(records)).join(fired, SECOND)
-        results.append(
-            rows.withColumn("so_far", _counted_so_far())
-            .where(_fires(F.col("role"), F.col("so_far")))
-            .withColumn("nth", F.row_number().over(_in_second())).where("nth = 1")
-            .withColumn("event_count", F.col("prior") + F.col("so_far"))
-            .select("rule_seq", "key", "event_count", *FINDING_RECORD_COLUMNS.values()))
+        sequences = [r for r in members if r.grouping.kind == "sequence"]
+        if sequences:
+            reaching = _settle_order(reaching, partial(mark_rows, records, rules, sequences), BLOCK_LINES)
+        fired = settle(firing_seconds(reaching, KEY_SECONDS))
+        rows = first_firing(partial(mark_rows, records, rules, members), fired, record_columns(records), BLOCK_LINES)
+        results.append(rows.select("rule_seq", "key", "event_count", *FINDING_RECORD_COLUMNS.values()))
     return _keyed_findings(reduce(DataFrame.unionByName, results), rules, WINDOW_PHASE)
 
 
