@@ -202,7 +202,7 @@ def plain_alignment(files, texts):
 def test_alignment(spark, files, table_links):
     rng = random.Random(6)
     noise = ["".join(rng.choice("aab 'stréßñ漢🙂\n\t 19.,!ﬁ") for _ in range(rng.randint(1, 120))) for _ in range(40)]
-    texts = [*(t for t in ODD if len(t or "") < 1000), *noise, *(prose(rng, 3) for _ in range(25)), "<|endoftext|> <s> <unk> <0x41>", "▁", "a▁b", "  two  blanks ", "x" * 700]
+    texts = [*(t for t in ODD if len(t or "") < 1000), *noise, *(prose(rng, 3) for _ in range(25)), "<|endoftext|> <s> <unk> <0x41>", "▁", "a▁b", "  two  blanks ", " ", "    ", "ends in a blank ", "x" * 700]
     got = {r[0]: tuple(r)[1:] for r in alignment.aligned_links(frame(spark, texts).repartition(3), *files, table_links=table_links).collect()}
     want = dict(enumerate(plain_alignment(files, texts)))
     assert got == want and sum(v[0] > 0 for v in want.values()) > 50 and any(v[0] == 0 for k, v in want.items() if texts[k])
@@ -216,6 +216,22 @@ def test_alignment_of_odd_rows(spark, files):
     assert re.fullmatch(r"[\d,]+\|[\d,]+(;[\d,]+\|[\d,]+)*", groups[0][0]) and groups[1][0] == ""
 
 
+def test_word_by_word_ids_are_those_of_the_whole_text(files):
+    """Texts of the characters that take the memo, cut in every odd way; and the memo starting anew."""
+    rng = random.Random(7)
+    aligner = alignment.Aligner(*files)
+    texts = ["".join(rng.choice(["a", "the", "'s", "'re", " ", "  ", "\n", "\t", "1", "42", ".", "!?", "é", "Ü", "ß", "ing", "…", "“", "_", "<s>"]) for _ in range(rng.randint(1, 60))) for _ in range(1500)]
+    assert aligner.by_word and all(alignment.PLAIN.fullmatch(t) for t in texts)
+    for memo in (10, 10**6):
+        alignment.MEMO_WORDS, before = memo, alignment.MEMO_WORDS
+        try:
+            got = [aligner.encode(texts[k : k + 100]) for k in range(0, len(texts), 100)]
+        finally:
+            alignment.MEMO_WORDS = before
+        for text, a, b in zip(texts, (x for g in got for x in g[0]), (x for g in got for x in g[1]), strict=True):
+            assert a.tolist() == aligner.first.encode(" " + text, add_special_tokens=False).ids and b.tolist() == aligner.second.encode(text), text
+
+
 def test_pointers_reach_the_last_token_of_a_chain():
     """Tokens of two letters that overlap like bricks: one component, whatever its length."""
     count = 5000

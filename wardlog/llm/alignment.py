@@ -11,15 +11,18 @@ a shuffle, in which no link is frequent any more.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import re
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +33,13 @@ from wardlog.llm.common import rows_out
 TABLE_LINKS = 1 << 21
 #: Load only: bytes of text tokenized at once, and different links that a task holds before it hands their counts on.
 SLICE_BYTES, HELD_LINKS = 1 << 19, 1 << 21
+#: Words in a memo (it starts anew beyond that), and the longest that is kept in it.
+MEMO_WORDS, MEMO_CHARS = 300_000, 64
 SPACE = "▁"
+#: Fixed value: how byte-level tokenizers cut texts.
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts of these characters, whose classes all libraries agree on, are encoded word by word; others as a whole.
+PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f‐-‧…]*")
 
 
 def byte_letters() -> dict[str, int]:
@@ -40,28 +49,49 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-@dataclass
-class Aligner:
-    """Both tokenizers (content of their files) with the bytes of their entries; built anew in every task."""
+class WordIds:
+    """Ids of texts whose words a tokenizer encodes one by one: every word once, then from a memo."""
+
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], tokens: list[bytes]):
+        self.split, self.encode, self.tokens = split, encode, tokens
+        self.memo: dict[str, bytes | None] = {}
+
+    def ids(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of every text; None where they do not give back its bytes."""
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        cut = [self.split(t) for t in texts]
+        fresh = list(set().union(*cut).difference(self.memo))
+        coded = self.encode(fresh) if fresh else []
+        token = self.tokens.__getitem__
+        self.memo.update((w, array("I", ids).tobytes() if b"".join(map(token, ids)) == w.encode() else None) for w, ids in zip(fresh, coded, strict=True))
+        out: list[np.ndarray | None] = []
+        for words in cut:
+            found = list(map(self.memo.__getitem__, words))
+            out.append(None if None in found else np.frombuffer(b"".join(found), np.uintc).astype(np.int64))
+        for word in fresh:
+            if len(word) > MEMO_CHARS:
+                del self.memo[word]
+        return out
+
 
-    first_json: str
-    second_model: bytes
-    first: object = field(default=None, repr=False)
+class Aligner:
+    """Both tokenizers (content of their files) with the bytes of their entries."""
 
-    def load(self) -> "Aligner":
+    def __init__(self, first_json: str, second_model: bytes):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.first = Tokenizer.from_str(self.first_json)
+        self.first = Tokenizer.from_str(first_json)
         self.first.encode_special_tokens = True
         self.first.no_padding()
         self.first.no_truncation()
-        self.second = sentencepiece.SentencePieceProcessor(model_proto=self.second_model)
+        self.second = sentencepiece.SentencePieceProcessor(model_proto=second_model)
         letters = byte_letters()
-        data = json.loads(self.first_json)
+        data = json.loads(first_json)
         whole = {t["content"] for t in data.get("added_tokens", ())}
         size = self.first.get_vocab_size(with_added_tokens=True)
         self.first_bytes = [b""] * size
@@ -76,23 +106,47 @@ class Aligner:
         a, b = ([str(k) for k in range(n)] for n in (len(self.first_bytes), len(self.second_bytes)))
         #: An id with what follows it: A inside a group, A at the end of its side, B inside, B at the end of a group, B at the end of the text.
         self.words = [*(x + "," for x in a), *(x + "|" for x in a), *(x + "," for x in b), *(x + ";" for x in b), *b]
-        return self
+        before = data.get("pre_tokenizer") or {}
+        #: Whether words are encoded without regard to their neighbours: the first cuts texts by the byte-level pattern, and no
+        #: entry of the second goes on behind a space.
+        self.by_word = (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not data.get("normalizer")
+                        and not any(SPACE in self.second.id_to_piece(k).lstrip(SPACE) for k in range(len(self.second_bytes))))
+        self.first_words = WordIds(regex.compile(BYTE_LEVEL_WORDS).findall, self._first_ids, self.first_bytes)
+        self.second_words = WordIds(re.compile(" +[^ ]*").findall, self._second_ids, self.second_bytes)
+
+    def _first_ids(self, spaced: list[str]) -> list[list[int]]:
+        return [one.ids for one in self.first.encode_batch_fast(spaced, add_special_tokens=False)]
+
+    def _second_ids(self, words: list[str]) -> list[list[int]]:
+        """Words begin with a space, which the tokenizer adds itself, but not to an empty text."""
+        space = [self.second.piece_to_id(SPACE)]
+        return [ids or space for ids in self.second.encode([w[1:] for w in words], num_threads=1)]
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both for each text; none where a tokenizer does not give back the bytes of space + text."""
         spaced = [" " + t for t in texts]
-        coded = self.first.encode_batch_fast(spaced, add_special_tokens=False)
         none = np.zeros(0, np.int64)
-        a, b = [], []
-        for text, one, two in zip(spaced, coded, self.second.encode(texts, num_threads=1), strict=True):
-            raw = text.encode("utf-8", "surrogatepass")
-            left, right = one.ids, two
-            same = len(raw) > 1 and b"".join([self.first_bytes[k] for k in left]) == raw and b"".join([self.second_bytes[k] for k in right]) == raw
-            a.append(np.array(left, np.int64) if same else none)
-            b.append(np.array(right, np.int64) if same else none)
+        a, b = [none] * len(texts), [none] * len(texts)
+        plain = [k for k, t in enumerate(texts) if t and self.by_word and PLAIN.fullmatch(t)]
+        words = [spaced[k] for k in plain]
+        for k, left, right in zip(plain, self.first_words.ids(words), self.second_words.ids(words), strict=True):
+            if left is not None and right is not None:
+                a[k], b[k] = left, right
+        done = set(plain)
+        others = [k for k, t in enumerate(texts) if t and k not in done]
+        for k, left, right in zip(others, self._first_ids([spaced[k] for k in others]), self.second.encode([texts[k] for k in others], num_threads=1), strict=True):
+            raw = spaced[k].encode("utf-8", "surrogatepass")
+            if b"".join([self.first_bytes[i] for i in left]) == raw and b"".join([self.second_bytes[i] for i in right]) == raw:
+                a[k], b[k] = np.array(left, np.int64), np.array(right, np.int64)
         return a, b
 
 
+@functools.lru_cache(maxsize=1)
+def aligner_of(first_json: str, second_model: bytes) -> Aligner:
+    """Kept by a worker for its next tasks."""
+    return Aligner(first_json, second_model)
+
+
 def terminals(starts_a: np.ndarray, ends_a: np.ndarray, starts_b: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
     """For all A tokens and then all B tokens the number of the B token that ends their component (counted from 0)."""
     count = len(ends_a)
@@ -184,7 +238,7 @@ def align_documents(docs: DataFrame, first_json: str, second_model: bytes, id_co
     arrow = pa.schema([(id_col, to_arrow_type(kind)), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), (shown, pa.string()), ("links", pa.binary()), ("times", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(first_json, second_model).load()
+        aligner = aligner_of(first_json, second_model)
         for piece in text_slices(batches, 1):
             out = align(aligner, [t or "" for t in piece.column(1).to_pylist()])
             if not keep_groups:
