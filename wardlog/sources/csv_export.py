@@ -123,38 +123,82 @@ def _turning_lines(lines: DataFrame) -> DataFrame:
             .withColumn("turn", F.col("turns_before") + F.row_number().over(in_split) - 1))
 
 
-def _joined(lines: DataFrame) -> DataFrame:
-    """Records of files in which cells hold line breaks; a record's number is its last line.
+def _ranges(lines: DataFrame) -> DataFrame:
+    """The lines of records whose cells hold line breaks: file_path, first_line, last_line (settled).
 
     Opening and closing lines are numbered through the splits of a file, so each range is found
-    from two rows; a range left open runs to the end of its file. Cells are counted per line, so a
-    record of a wrong width is refused (without text) before any lines are brought together.
+    from two rows; a range left open runs to the end of its file.
     """
-    ranges = settle(_turning_lines(lines).groupBy("file_path", F.floor(F.col("turn") / 2).alias("pair")).agg(
+    return settle(_turning_lines(lines).groupBy("file_path", F.floor(F.col("turn") / 2).alias("pair")).agg(
         F.min("line_number").alias("first_line"), F.count(F.lit(1)).alias("ends"),
         F.max("line_number").alias("last_line"), F.first("file_lines").alias("file_lines"))
-        .withColumn("last_line", F.when(F.col("ends") == 2, F.col("last_line")).otherwise(F.col("file_lines"))))
+        .select("file_path", "first_line", F.when(F.col("ends") == 2, F.col("last_line")).otherwise(F.col("file_lines")).alias("last_line")))
+
+
+def _placed(lines: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Lines with the range they belong to, if any."""
     block = F.floor(F.col("line_number") / LINE_BLOCK)
     spans = ranges.select(
         F.col("file_path").alias("in_file"), "first_line", "last_line",
         F.explode(F.sequence(F.floor(F.col("first_line") / LINE_BLOCK), F.floor(F.col("last_line") / LINE_BLOCK))).alias("block"))
-    placed = lines.join(sized(settle(spans)), (F.col("file_path") == F.col("in_file")) & (block == F.col("block"))
-                        & F.col("line_number").between(F.col("first_line"), F.col("last_line")), "left")
-    single = placed.where(F.col("first_line").isNull()).select("file_path", "line_number", "value", cell_count(F.col("value")).alias("given"))
-    # a line that begins inside a cell, read as a record of its own
+    return lines.join(sized(settle(spans)), (F.col("file_path") == F.col("in_file")) & (block == F.col("block"))
+                      & F.col("line_number").between(F.col("first_line"), F.col("last_line")), "left").drop("in_file", "block")
+
+
+RANGE = ["file_path", "first_line", "last_line"]
+
+
+def _pieces(placed: DataFrame) -> DataFrame:
+    """The lines inside ranges, kept, each read as a record of its own: its cells, and the first of them."""
     alone = F.when(F.col("line_number") == F.col("first_line"), F.col("value")).otherwise(F.concat(F.lit('"'), "value"))
-    pieces = (placed.where(F.col("first_line").isNotNull()).withColumn("cells_here", cell_count(alone))
-              .withColumn("has_text", F.exists(cells_of(alone), lambda c: ~c.rlike(r"^\s*\z"))))
-    key = ["file_path", "first_line", "last_line"]
-    widths = pieces.groupBy(*key).agg((F.sum("cells_here") - F.count(F.lit(1)) + 1).cast("int").alias("given"),
-                                      F.max(F.size("all_names")).alias("wanted"), F.max("has_text").alias("has_text"))
-    whole = (pieces.join(widths.where("given = wanted"), key).groupBy(*key, "given")
-             .agg(F.array_sort(F.collect_list(F.struct("line_number", "value"))).alias("parts"))
-             .select("file_path", F.col("last_line").alias("line_number"),
-                     F.array_join("parts.value", "\n").alias("value"), "given"))
-    refused = widths.where("has_text and (given <> wanted or wanted is null)").select(
-        "file_path", F.col("last_line").alias("line_number"), F.lit(None).cast("string").alias("value"), "given")
-    return single.unionByName(whole).unionByName(refused)
+    cells = F.col("cells")
+    return settle(placed.where(F.col("first_line").isNotNull()).select(*RANGE, "line_number", "value", cells_of(alone).alias("cells"))
+                  .select(*RANGE, "line_number", "value", F.size(cells).alias("cells_here"),
+                          F.exists(cells, lambda c: ~c.rlike(r"^\s*\z")).alias("has_text"), F.regexp_replace(F.get(cells, F.lit(0)), r"^\s+", "").alias("lead")))
+
+
+def _range_facts(pieces: DataFrame) -> DataFrame:
+    """For each range its number of cells, whether any has text, and how the first one begins: known without joining text."""
+    first_cell_told = (F.col("lead") != "") | (F.col("cells_here") > 1)
+    return settle(pieces.groupBy(*RANGE).agg(
+        (F.sum("cells_here") - F.count(F.lit(1)) + 1).cast("int").alias("given"), F.max("has_text").alias("has_text"),
+        F.min_by(F.substring("lead", 1, 1), F.when(first_cell_told, F.col("line_number"))).alias("begins")))
+
+
+def _whole(pieces: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The joined text of some ranges: file_path, first_line, last_line, value."""
+    return (pieces.join(sized(settle(ranges.select(*RANGE))), RANGE).groupBy(*RANGE)
+            .agg(F.array_sort(F.collect_list(F.struct("line_number", "value"))).alias("parts"))
+            .select(*RANGE, F.array_join("parts.value", "\n").alias("value")))
+
+
+def _joined_headers(files: DataFrame, placed: DataFrame, pieces: DataFrame, facts: DataFrame) -> DataFrame:
+    """file_path, header_line, header_text of files with ranges. ``files`` has the first line of each that looks like a header.
+
+    That line is the header unless it lies in a range: then the range is the header, or, if that is a comment or blank, the first
+    record behind it that is neither.
+    """
+    inside = files.join(facts, "file_path").where(F.col("header_line").between(F.col("first_line"), F.col("last_line")))
+    named = F.col("has_text") & (F.coalesce("begins", F.lit("")) != "#")
+    inside = settle(inside.select(*RANGE, "header_line", named.alias("named"), (F.col("header_line") == F.col("first_line")).alias("starts")))
+    plain = files.join(sized(inside.select("file_path")), "file_path", "left_anti")
+    spanning = inside.where("named and starts")
+    unknown = inside.where("not (named and starts)").select("file_path", F.col("last_line").alias("after"))
+    if not unknown.isEmpty():
+        behind = placed.join(sized(unknown), "file_path").where(F.col("first_line").isNull() & (F.col("line_number") > F.col("after")) & _heads(F.col("value")))
+        single = behind.groupBy("file_path").agg(F.min(F.struct("line_number", "value")).alias("line")).select(
+            "file_path", F.col("line.line_number").alias("starts_at"), F.col("line.line_number").alias("header_line"), F.col("line.value").alias("header_text"))
+        wider = facts.where(named).join(sized(unknown), "file_path").where(F.col("first_line") > F.col("after")).groupBy("file_path").agg(
+            F.min(F.struct("first_line", "last_line")).alias("range")).select("file_path", "range.*")
+        wider = _whole(pieces, wider).select("file_path", F.col("first_line").alias("starts_at"), F.col("last_line").alias("header_line"), F.col("value").alias("header_text"))
+        found = single.unionByName(wider).groupBy("file_path").agg(F.min(F.struct("starts_at", "header_line", "header_text")).alias("header"))
+        plain = plain.unionByName(found.select("file_path", "header.header_line", "header.header_text"))
+    return settle(plain.unionByName(_whole(pieces, spanning).select("file_path", F.col("last_line").alias("header_line"), F.col("value").alias("header_text"))))
+
+
+def _heads(value: Column) -> Column:
+    """Whether a record can be a header: neither blank nor a comment."""
+    return ~value.rlike(_BLANK_LINE) & ~value.rlike(r'^(\s*|"\s*|"\s*"\s*)#')
 
 
 def _empty_files(spark: SparkSession, paths: Sequence[str], name_glob: str | None, files: DataFrame) -> DataFrame:
@@ -170,43 +214,46 @@ def _empty_files(spark: SparkSession, paths: Sequence[str], name_glob: str | Non
 def read_csv(spark: SparkSession, paths: Sequence[str], name_glob: str | None = None) -> LogSource:
     """Rows of CSV exports.
 
-    The first record that is neither blank nor a comment names the columns. Skipped with a reason:
+    The first record that is neither blank nor a comment names the columns, on one line or several. Skipped with a reason:
     records with another number of cells, files without header. Repeated header names are reported
-    and their last column counts. Empty cells become ``-``. A header must fit on one line.
+    and their last column counts. Empty cells become ``-``.
     """
     lines = text_lines(spark, paths, name_glob)
     value = F.col("value")
-    heads = ~value.rlike(_BLANK_LINE) & ~value.rlike(r'^(\s*|"\s*)#')
     splits = split_table(
         lines,
-        header=F.min_by(F.struct("id", "value"), F.when(heads, F.col("id"))),
+        header=F.min_by(F.struct("id", "value"), F.when(_heads(value), F.col("id"))),
         opens=F.count(F.when(left_open(value), 1)),
         # Keeps the aggregation hash-based although the header is text.
-        sample=F.collect_list(F.lit(None).cast("int")))
-    whole_file = Window.partitionBy("file_path")
-    header = F.first("header_here", ignorenulls=True).over(
-        whole_file.orderBy("split_start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    names = F.transform(cells_of(F.col("header_text")), canonical_name)
-    splits = settle(
-        splits.withColumn("header_here", F.when(F.col("header").isNotNull(),
-                                                F.struct(line_at(F.col("header.id")).alias("at"), "header.value")))
-        .withColumn("header", header)
-        .withColumn("header_line", F.col("header.at")).withColumn("header_text", F.col("header.value"))
-        .withColumn("joins", F.sum("opens").over(whole_file) > 0)
-        .withColumn("file_lines", F.sum("lines").over(whole_file))
-        .withColumn("all_names", names)
-        .withColumn("names", F.array_distinct("all_names"))
-        .withColumn("positions", F.transform("names", lambda n: F.size("all_names")
-                                             - F.array_position(F.reverse("all_names"), n).cast("int")))
-        .drop("header", "header_here", "header_text", "sample"))
-    files = splits.groupBy("file_path").agg(*[F.first(c).alias(c) for c in
-                                              ("header_line", "all_names", "names", "positions")])
-    numbered_lines = numbered(lines, splits)
-    layout = ["header_line", "all_names", "names", "positions"]
-    records = numbered_lines.where("not joins").select("file_path", "line_number", "value", cell_count(value).alias("given"), *layout)
-    if not splits.where("joins").isEmpty():
-        joined = _joined(numbered_lines.where("joins"))
-        records = records.unionByName(joined.join(sized(settle(files)), "file_path"))
+        sample=F.collect_list(F.lit(None).cast("int"))).drop("sample")
+    splits = splits.withColumn("header", F.when(F.col("header").isNotNull(), F.struct(line_at(F.col("header.id")).alias("at"), "header.value")))
+    files = settle(splits.groupBy("file_path").agg(
+        F.min("header").alias("header"), (F.sum("opens") > 0).alias("joins"), F.sum("lines").alias("file_lines"))
+        .select("file_path", "joins", "file_lines", F.col("header.at").alias("header_line"), F.col("header.value").alias("header_text")))
+    numbered_lines = numbered(lines, settle(splits.drop("header", "opens").join(files.select("file_path", "joins", "file_lines"), "file_path")))
+    placed = pieces = facts = None
+    if not files.where("joins").isEmpty():
+        placed = _placed(numbered_lines.where("joins"), _ranges(numbered_lines.where("joins")))
+        pieces = _pieces(placed)
+        facts = _range_facts(pieces)
+        headers = _joined_headers(files.where("joins").select("file_path", "header_line", "header_text"), placed, pieces, facts)
+        files = files.where("not joins").unionByName(
+            files.where("joins").drop("header_line", "header_text").join(headers, "file_path", "left"))
+    files = settle(files.withColumn("all_names", F.transform(cells_of(F.col("header_text")), canonical_name))
+                   .withColumn("names", F.array_distinct("all_names"))
+                   .withColumn("positions", F.transform("names", lambda n: F.size("all_names") - F.array_position(F.reverse("all_names"), n).cast("int")))
+                   .select("file_path", "header_line", "all_names", "names", "positions"))
+    records = numbered_lines.where("not joins").select("file_path", "line_number", "value", cell_count(value).alias("given"))
+    if facts is not None:
+        alone = placed.where(F.col("first_line").isNull()).select("file_path", "line_number", "value", cell_count(value).alias("given"))
+        fits = F.col("given") == F.size("all_names")
+        judged = settle(facts.join(files.select("file_path", "all_names"), "file_path").select(*RANGE, "given", "has_text", F.coalesce(fits, F.lit(False)).alias("fits")))
+        whole = _whole(pieces, judged.where("fits")).join(sized(judged.select(*RANGE, "given")), RANGE)
+        refused = judged.where("has_text and not fits").withColumn("value", F.lit(None).cast("string"))
+        for joined in (whole, refused):
+            alone = alone.unionByName(joined.select("file_path", F.col("last_line").alias("line_number"), "value", "given"))
+        records = records.unionByName(alone)
+    records = records.join(sized(files), "file_path")
 
     width, given = F.size("all_names"), F.col("given")
     parsed = (records.where(F.col("header_line").isNotNull() & (F.col("line_number") > F.col("header_line")))
