@@ -19,7 +19,10 @@ def noise(rng, n):
     return "".join(rng.choice("aaab 'stréßñ漢🙂 \n\t  19.,!<|endoftext|>") for _ in range(n))
 
 
-def test_merge_replay(ranks):
+@pytest.mark.parametrize("many,memo", [(4000, 10**6), (1, 10**6), (1, 50)])
+def test_merge_replay(ranks, monkeypatch, many, memo):
+    monkeypatch.setattr(bpe, "MANY_WORDS", many)
+    monkeypatch.setattr(bpe, "MEMO_WORDS", memo)
     rng = random.Random(1)
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = [*ODD, *(noise(rng, rng.randint(1, 300)) for _ in range(300)), *(prose(rng, 3) for _ in range(40)), "ab" * 4000, "the" * 3000 + " Überführung"]
@@ -30,9 +33,9 @@ def test_merge_replay(ranks):
             assert tokenizer.decode(ids) == (text or "").encode()
 
 
-def test_replay_order_where_merges_give_lower_ranks():
-    """Merges that create a pair of lower rank than the one at hand, several in a word."""
-    rng = random.Random(2)
+def test_replay_order_where_merges_give_lower_ranks(monkeypatch):
+    """Merges that create a pair of lower rank than the one at hand, several in a word; overlapping pairs."""
+    rng, odd = random.Random(2), 0
     for _ in range(60):
         letters = [bytes([b]) for b in b"abc"]
         more = list({b"".join(rng.choices(letters, k=rng.randint(2, 5))) for _ in range(12)})
@@ -40,7 +43,13 @@ def test_replay_order_where_merges_give_lower_ranks():
         table = {bytes([b]): k for k, b in enumerate(range(256))} | {w: 256 + k for k, w in enumerate(more)}
         words = [b"".join(rng.choices(letters, k=rng.randint(1, 14))) for _ in range(60)]
         reference = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=table, special_tokens={})
-        assert bpe.MergeReplay(table).encode(words) == [reference.encode_ordinary(w.decode()) for w in words]
+        expected = [reference.encode_ordinary(w.decode()) for w in words]
+        replay = bpe.MergeReplay(table)
+        assert replay.encode(words) == expected
+        monkeypatch.setattr(bpe, "MANY_WORDS", 1)
+        assert [memoryview(i).cast("I").tolist() for i in replay.packed(words)] == expected
+        odd += len(replay._replay(words)[2])
+    assert odd > 20  # words in which a merge makes a pair that has to go first
 
 
 def test_encode_documents(spark, ranks):
