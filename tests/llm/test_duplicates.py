@@ -322,11 +322,55 @@ def test_hot_keys_lose_no_pair(spark, monkeypatch, hot):
     labels = simhash.settle(spark.createDataFrame([(k, k) for k in range(len(texts))], "name long, label long"))
     table = frame(spark, texts).select("doc_id", F.col("text").alias("_text"))
     found = simhash.settle(simhash.meetings(table, labels, Fraction(4, 5), 5, hot))
-    got = {(r["a"], r["b"]) for r in found.collect()}
-    sure = {(r["a"], r["b"]) for r in simhash.confirmed(found, table, Fraction(4, 5), 5).collect()}
+    led = {}
+    for r in found.collect():
+        led.setdefault(r["leader"], set()).add(r["name"])
+    got = {(a, b) for members in led.values() for a in members for b in members if a < b}
+    sure = np.array([(r["a"], r["b"]) for r in simhash.linked(found, table, Fraction(4, 5), 5, hot).collect()]).T
     sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (t.lower().split() for t in texts)]
     want = {(a, b) for b in range(len(texts)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
-    assert len(want) > 20 and want <= got and sure == want
+    left, right = np.array(sorted(want)).T
+    assert len(want) > 20 and want <= got
+    assert (simhash.joined(np.arange(len(texts)), *sure) == simhash.joined(np.arange(len(texts)), left, right)).all()
+
+
+def edited_family(rng, members, edits):
+    """Members that differ from one text of 150 words in a few words each."""
+    base = ["w%d" % rng.randrange(10**6) for _ in range(150)]
+    out = []
+    for _ in range(members):
+        words = list(base)
+        for _ in range(rng.choice(edits)):
+            words[rng.randrange(150)] = "x%d" % rng.randrange(10**6)
+        out.append(" ".join(words))
+    return out
+
+
+def test_families_give_rows_by_members_not_by_pairs(spark):
+    """A family of mostly 0.65 to 0.79 and one of mostly over 0.8: links as by brute force, rows in proportion to members."""
+    rng = random.Random(31)
+    texts = edited_family(rng, 400, [2, 3]) + edited_family(rng, 120, [1, 2])
+    labels = simhash.settle(spark.createDataFrame([(k, k) for k in range(len(texts))], "name long, label long"))
+    table = frame(spark, texts).select("doc_id", F.col("text").alias("_text"))
+    found = simhash.settle(simhash.meetings(table, labels, Fraction(4, 5), 5))
+    links = simhash.linked(found, table, Fraction(4, 5), 5, 150)
+    assert found.count() < 40 * len(texts) and links.count() < 20 * len(texts)
+    left, right = np.array([(r["a"], r["b"]) for r in links.collect()]).T
+    want = plain_copies(texts)
+    assert simhash.joined(np.arange(len(texts)), left, right).tolist() == want and 20 < len(set(want)) < 450
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
+def test_classes_alike_at_the_bound():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        base = rng.choice(1 << 40, 60, replace=False).astype(np.uint64)
+        sets = [np.sort(np.unique(np.concatenate((rng.choice(base, rng.integers(45, 60), replace=False), rng.choice(1 << 40, rng.integers(0, 4)).astype(np.uint64))))) for _ in range(14)]
+        labels = rng.integers(0, 12, 14)
+        links = [(a, b) for a in range(14) for b in range(a + 1, 14) if labels[a] == labels[b] or 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
+        left, right = np.array(links, int).reshape(-1, 2).T
+        assert (simhash.classes_alike(labels, sets, 4, 5) == simhash.joined(np.arange(14), left, right)).all()
 
 
 def test_clean_rows_stay(spark):

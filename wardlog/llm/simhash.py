@@ -278,6 +278,8 @@ COPY_SHINGLE, SIMILARITY = 5, 0.8
 WIDE, TABLES, KEY_BITS, SUB_TABLES, SUB_BITS = 8, 40, 18, 16, 12
 #: Shingles known as frequent at most, and texts in which they are counted, about.
 COMMON, COMMON_ROWS = 1 << 18, 30_000
+#: Load only: texts of a leader in one block, and shingles that are counted at once for all texts of two blocks.
+FAMILY, COLUMNS = 1024, 4096
 MIX = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -382,19 +384,23 @@ def _common_shingles(texts: DataFrame, rows: int, shingle: int) -> tuple[np.ndar
 
 
 def _meetings(num: int, den: int):
-    """Pairs of names that share a key of their prefixes, have different labels, and may reach num / den by size and position."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Names that share a key of their prefixes with a name of another label, if both may reach num / den by size and position;
+    each with the smallest such name of its group. A group gives a row a member, however many pairs it has."""
+    schema = pa.schema([("name", pa.int64()), ("label", pa.int64()), ("leader", pa.int64())])
 
-    def pairs_of(key, block, label, name, size, rank, side) -> Iterator[pa.RecordBatch]:
+    def active_of(key, block, label, name, size, rank, side) -> pa.RecordBatch:
         edge = np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
+        opens = np.flatnonzero(edge)
         mixed = block < 0  # of a block with another one: only pairs of both
-        ends = np.concatenate((np.flatnonzero(edge)[1:], [len(key)]))
+        ends = np.concatenate((opens[1:], [len(key)]))
         last = ends[np.cumsum(edge) - 1]
+        group = np.cumsum(edge) - 1
         edge[1:] |= label[1:] != label[:-1]
         ends = np.concatenate((np.flatnonzero(edge)[1:], [len(key)]))
         begin = ends[np.cumsum(edge) - 1]
         width = last - begin  # members of the same key behind all those with the same label
         total, start = np.cumsum(width), 0
+        active = np.zeros(len(key), bool)
         while start < len(key):
             done = total[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(total, done + MEETS, "right")))
@@ -404,10 +410,11 @@ def _meetings(num: int, den: int):
             # at the first shingle in order that both have, what can be shared is that one and what follows it in the shorter rest
             rest = np.minimum(size[i] - rank[i], size[j] - rank[j])
             keep = (rest * (num + den) >= num * (size[i] + size[j])) & (~mixed[i] | (side[i] != side[j]))
-            if keep.any():
-                both = np.unique(np.sort(np.stack([name[i[keep]], name[j[keep]]], axis=1), axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=schema)
+            active[i[keep]] = active[j[keep]] = True
             start = stop
+        leader = np.minimum.reduceat(np.where(active, name, np.iinfo(np.int64).max), opens)[group]
+        rows = np.unique(np.stack([name[active], label[active], leader[active]], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -420,18 +427,18 @@ def _meetings(num: int, den: int):
                 # the group that is still open stays whole
                 stop = int(np.max(np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1])), initial=-1)) + 1
                 if stop:
-                    yield from pairs_of(*(c[:stop] for c in columns))
+                    yield active_of(*(c[:stop] for c in columns))
                 held, rows = [[c[stop:] for c in columns]], len(columns[0]) - stop
         if rows:
-            yield from pairs_of(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield active_of(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return run
 
 
 def meetings(texts: DataFrame, labels: DataFrame, similarity: Fraction, shingle: int, hot: int = HOT) -> DataFrame:
-    """Pairs (a, b) of names that hold every pair with this Jaccard similarity or more whose labels differ.
+    """(name, label, leader) such that any two names with this Jaccard similarity or more and different labels have a leader in common.
 
-    Of n shingles in an order common to all texts, two such sets share one within the first n - ceil(similarity * n) + 1 of both.
+    A leader is the smallest name of those that meet at a shingle. Texts of one family meet at many shingles, but have few leaders. Of n shingles in an order common to all texts, two such sets share one within the first n - ceil(similarity * n) + 1 of both.
     The members of a shingle that more than `hot` texts may have, by the counts of the sample, are dealt into blocks; every two blocks
     meet in a group of their own, so a group stays small and every pair still meets.
     """
@@ -467,7 +474,84 @@ def meetings(texts: DataFrame, labels: DataFrame, similarity: Fraction, shingle:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["key", "block", "label", "name", "size", "rank", "side"])
 
     keyed = own.mapInArrow(run, "key bigint, block bigint, label bigint, name bigint, size bigint, rank bigint, side bigint")
-    return keyed.repartition("key", "block").sortWithinPartitions("key", "block", "label").mapInArrow(_meetings(num, den), "a bigint, b bigint").distinct()
+    return keyed.repartition("key", "block").sortWithinPartitions("key", "block", "label").mapInArrow(_meetings(num, den), "name bigint, label bigint, leader bigint").distinct()
+
+
+def classes_alike(labels: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Class of every set (smallest index of its class): sets with equal labels are one class, and classes are joined by two sets
+    whose Jaccard similarity is num / den or more. Each set is sorted and without repeats."""
+    _, first, at = np.unique(labels, return_index=True, return_inverse=True)
+    label = first[at]
+    if len(first) == 1:
+        return label
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = times[number] > 1
+    owner, number = owner[shared], (np.cumsum(times > 1) - 1)[number[shared]]
+    together = np.zeros((len(sets), len(sets)), np.float32 if 2 * den * sizes.max() * 2 < 1 << 24 else np.float64)  # exact whole numbers
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    for start in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+        low, high = np.searchsorted(number, (start, start + COLUMNS))
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[low:high], number[low:high] - start] = 1
+        together += has @ has.T
+    alike = together * together.dtype.type(num + den) >= (num * (sizes[:, None] + sizes)).astype(together.dtype)
+    i, j = np.nonzero(np.triu(alike & (label[:, None] != label), 1))
+    return joined(label, i, j)
+
+
+def _linked_groups(num: int, den: int):
+    """Links (a, b) that join the classes of every group; a row for each class that is joined to another one."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        names, labels = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
+        label = classes_alike(labels, [np.frombuffer(r[3], np.uint64) for r in rows], num, den)
+        for k in np.unique(labels, return_index=True)[1].tolist():
+            if label[k] != k:
+                yield int(names[k]), int(names[label[k]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            keys = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            for key, *row in zip(keys, *(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
+                if held and held[0][0] != key:
+                    found += links(held)
+                    held = []
+                held.append((key, *row))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=schema)
+        if held:
+            found = list(links(held))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=schema)
+
+    return run
+
+
+def linked(members: DataFrame, texts: DataFrame, similarity: Fraction, shingle: int, hot: int = FAMILY) -> DataFrame:
+    """The settled links that join all texts of this similarity or more which have a leader in common.
+
+    The shingles of a text come once to each of its leaders, and all texts of a leader are compared there by exact counts. A
+    leader of more than `hot` texts is dealt into blocks; every two blocks meet in a group of their own.
+    """
+    id_col, text_col = texts.columns
+    members = settle(members)
+
+    def hashed(piece: pa.RecordBatch) -> list:
+        return [piece.column(0).to_pylist(), [np.sort(shingle_hashes(utf8(t).translate(LOWER).split(), shingle)).tobytes() for t in piece.column(1).to_pylist()]]
+
+    wanted = settle(members.select(F.col("name").alias(id_col)).distinct())
+    known = map_slices(texts.join(sized(wanted), id_col), hashed, "name bigint, grams binary", pa.schema([("name", pa.int64()), ("grams", pa.binary())]))
+    counts = members.groupBy("leader").agg(F.ceil(F.count("*") / hot).alias("blocks"))
+    own = F.pmod(F.xxhash64("name"), F.col("blocks"))
+    placed = (members.join(counts, "leader").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+              .select("leader", F.least(own, "other").alias("low"), F.greatest(own, "other").alias("high"), "name", "label"))
+    key = ["leader", "low", "high"]
+    grouped = placed.join(known, "name").select(*key, "name", "label", "grams").repartition(*key).sortWithinPartitions(*key)
+    return settle(grouped.mapInArrow(_linked_groups(similarity.numerator, similarity.denominator), "a bigint, b bigint"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, similarity: Fraction, shingle: int) -> DataFrame:
@@ -503,7 +587,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every such pair ends in one component. Two searches give candidates, and each candidate is confirmed by its shingles. The
     first is quick and joins most of a large family: wide fingerprints that share KEY_BITS sampled bits in one of TABLES tables and
     differ in no more bits than `copy_radius`; what it misses is left to the second. The second is complete: texts of different
-    components that share one of their rarest shingles (`meetings`). Null and empty texts are copies of each other. The id is an
+    components that share one of their rarest shingles (`meetings`) are compared family by family (`linked`). Null and empty texts are copies of each other. The id is an
     integer column; other columns are not read.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias("_text"))
@@ -541,7 +625,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sure = confirmed(settle(links.distinct()), source, least, shingle)
     labels = settle(apart.select("name").distinct().join(components(sure).withColumnRenamed("node", "name"), "name", "left")
                     .select("name", F.coalesce("label", "name").alias("label")))
-    sure = sure.union(confirmed(settle(meetings(source, labels, least, shingle, hot)), source, least, shingle))
+    sure = sure.union(linked(meetings(source, labels, least, shingle, hot), source, least, shingle, min(hot, FAMILY)))
     found = components(sure).withColumnRenamed("node", "name")
     return printed.select(id_col, "digest").join(named, "digest").join(found, "name", "left").select(id_col, F.coalesce("label", "name").alias("component_id"))
 
