@@ -269,6 +269,14 @@ def all_oracles() -> dict[str, str]:
             user_agent, note FROM csv WHERE event_id % 101 <> 5""",
         "csv_rejects": f"""{WITH_REC}, {CSV} SELECT file_no, csv_line AS line_number,
             '{len(CSV_FIELDS) + 2} cells under {len(CSV_FIELDS) + 1} column names' AS reason FROM csv WHERE event_id % 101 = 5""",
+        "csv_multiline_header": f"""{WITH_REC}, {CSV} SELECT file_no, csv_line + 2 AS line_number, src_ip, coalesce(note, '-') AS note
+            FROM csv WHERE event_id % 101 <> 5""",
+        "read_logs_mixed": f"""{WITH_REC}, {LOG} SELECT CASE WHEN event_id % 101 <> 5 THEN 'log row'
+                WHEN late THEN '{len(W3C_ORDERS[1]) + 1} values under {len(W3C_ORDERS[1])} field names'
+                ELSE '{len(W3C_ORDERS[0]) + 1} values under {len(W3C_ORDERS[0])} field names' END AS kind, count(*) AS n FROM log GROUP BY ALL
+            UNION ALL SELECT CASE WHEN event_id % 101 <> 5 THEN 'csv row'
+                ELSE '{len(CSV_FIELDS) + 2} cells under {len(CSV_FIELDS) + 1} column names' END, count(*) FROM rec GROUP BY ALL
+            UNION ALL SELECT 'cannot be read to its end', 1 UNION ALL SELECT 'not found', 1""",
         **{name: f"{WITH_REC} SELECT line_number, src_ip FROM rec WHERE "
                  + " OR ".join(f"({c})" for c, _ in rule_sql(rule)) for name, rule in PREDICATES.items()},
         "scan_pack": f"{low_level} SELECT rule_id, line_number FROM f",

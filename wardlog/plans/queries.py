@@ -29,6 +29,7 @@ from wardlog.schema import FINDING_LIST_COLUMNS, REVIEW_GROUPS, TOP_FIELDS
 from wardlog.sinks.writers import (finding_rows, flat_findings, timeline_rows, write_findings_csv, write_findings_json, write_parquet,
                                    write_timeline_csv)
 from wardlog.sources.csv_export import read_csv
+from wardlog.sources.inputs import read_logs
 from wardlog.sources.lines import LogSource
 from wardlog.sources.w3c import read_w3c
 from wardlog.streaming.arrivals import REJECTS, ingest_logs, ingested, record_stream
@@ -46,6 +47,7 @@ W3C_ORDERS = (
     ("date", "time", "cs-method", "sc-status", "cs-uri-stem", "cs-uri-query", "c-ip", "time-taken", "cs-host"),
 )
 CSV_HEADER = "Date,Time,client_ip,Method,cs_uri_stem,CS URI Query,SC_Status,User-Agent,x-note"
+SPREAD_HEADER = '#export,"of\n2 lines"\n' + CSV_HEADER.replace("x-note", '"x\nnote"')
 CSV_FIELDS = ("date", "time", "c-ip", "cs-method", "cs-uri-stem", "cs-uri-query", "sc-status", "cs(User-Agent)")
 
 
@@ -160,7 +162,7 @@ def write_w3c_logs(spark: SparkSession, sf_dir: str, header_faults: bool = False
     return folder
 
 
-def write_csv_exports(spark: SparkSession, sf_dir: str) -> str:
+def write_csv_exports(spark: SparkSession, sf_dir: str, header: str | None = None) -> str:
     """All events as CSV exports: other header names, quotes, line breaks in cells, bad rows."""
     fields = request_fields(spark, sf_dir)
     event = F.col("event_id")
@@ -169,7 +171,7 @@ def write_csv_exports(spark: SparkSession, sf_dir: str) -> str:
     quoted_query = F.concat(F.lit('"'), cells[5], F.lit('"'))
     row = F.concat_ws(",", *cells[:5], quoted_query, *cells[6:], note)
     row = F.when(event % 101 == 5, F.concat(row, F.lit(",more"))).otherwise(row)
-    value = F.when(event % LINES_PER_FILE == 0, F.concat(F.lit("#export\n" + CSV_HEADER + "\n"), row)).otherwise(row)
+    value = F.when(event % LINES_PER_FILE == 0, F.concat(F.lit((header or "#export\n" + CSV_HEADER) + "\n"), row)).otherwise(row)
     folder = _folder(spark, "csv")
     (fields.select(F.floor(event / LINES_PER_FILE).alias("file_no"), "event_id", value.alias("value"))
      .repartitionByRange("file_no").sortWithinPartitions("file_no", "event_id")
@@ -219,6 +221,41 @@ def csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _csv_source(spark, sf_dir).rejects.select(_file_no(), "line_number", "reason")
 
 
+def _named(spark: SparkSession, folder: str, extension: str) -> str:
+    """Give the text files of a folder another extension; the glob that matches them."""
+    system = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/*.txt")):
+        system.rename(status.getPath(), status.getPath().suffix(extension))
+    return f"{folder}/*/*{extension}"
+
+
+def _broken_log(spark: SparkSession, folder: str) -> str:
+    """A log whose checksum is wrong, so that reading it fails (on file systems that keep checksums beside files)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}-broken/u.log")
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for path, text in ((at, "#Fields: date time\n2025-01-01 00:00:00\n"), (system.getChecksumFile(at), "crc\0 not the sum of anything")):
+        out = (system if path is at else system.getRaw()).create(path, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+    return at.toString()
+
+
+def read_logs_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log files, CSV exports, a file that cannot be read and one that is missing, in one input: lines taken and skipped by kind."""
+    logs, exports = write_w3c_logs(spark, sf_dir), write_csv_exports(spark, sf_dir)
+    source = read_logs(spark, [_named(spark, logs, ".log"), _named(spark, exports, ".csv"), _broken_log(spark, logs), f"{logs}/gone.log"])
+    kind = F.when(F.col("reason").isNull(), F.concat(F.element_at(F.split("log_file", r"\."), -1), F.lit(" row"))).otherwise(F.col("reason"))
+    seen = source.lines.select("log_file", "reason").unionByName(source.notices.select("log_file", "reason"))
+    return seen.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def csv_multiline_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV exports whose header record, and a comment before it, run over several lines."""
+    source = read_csv(spark, [write_csv_exports(spark, sf_dir, SPREAD_HEADER)], "*.txt")
+    fields = F.col("fields")
+    return source.rows.select(_file_no(), "line_number", F.element_at(fields, F.lit("c-ip")).alias("src_ip"), F.element_at(fields, F.lit("x\nnote")).alias("note"))
+
+
 # --- predicates and scan -----------------------------------------------------------------------
 
 def _matching(rule: Rule) -> Query:
@@ -495,6 +532,8 @@ def all_queries() -> dict[str, Query]:
         "w3c_header_rejects": w3c_header_rejects,
         "csv_parse": csv_parse,
         "csv_rejects": csv_rejects,
+        "csv_multiline_header": csv_multiline_header,
+        "read_logs_mixed": read_logs_mixed,
         **{name: _matching(rule) for name, rule in PREDICATES.items()},
         "scan_pack": scan_pack,
         "scan_evidence": scan_evidence,

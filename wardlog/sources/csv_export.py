@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from wardlog.functions.text import text_array
 from wardlog.lineage import settle, sized
 from wardlog.schema import W3C_COLUMNS
-from wardlog.sources.lines import (LogSource, from_files, line_at, numbered, path_text, split_table,
-                                   text_lines)
+from wardlog.sources.lines import (LogSource, from_files, line_at, listed_files, numbered, path_text, split_table,
+                                   text_lines, unreadable)
 
 # Header spellings (lower case, blanks and underscores as hyphens) -> W3C names.
 # Beside these, every W3C name is recognised in any case.
@@ -201,14 +201,12 @@ def _heads(value: Column) -> Column:
     return ~value.rlike(_BLANK_LINE) & ~value.rlike(r'^(\s*|"\s*|"\s*"\s*)#')
 
 
-def _empty_files(spark: SparkSession, paths: Sequence[str], name_glob: str | None, files: DataFrame) -> DataFrame:
-    """Rejects for files without a single line: listed by the source but in no split."""
-    listed = spark.createDataFrame(pa.table({"file": pa.array(
-        from_files(spark, "text", paths, name_glob).inputFiles(), pa.string())}))
-    seen = files.select(path_text(F.col("file_path")).alias("log_file"))
-    return (listed.select(path_text(F.col("file")).alias("log_file")).join(seen, "log_file", "left_anti")
-            .select("log_file", F.lit(0).cast("bigint").alias("line_number"),
-                    F.lit("file without a header record").alias("reason")))
+def _empty_files(spark: SparkSession, paths: Sequence[str], name_glob: str | None, listed: DataFrame) -> DataFrame:
+    """Rejects for files of no bytes, which are known to a source but are not part of its scan."""
+    known = spark.createDataFrame(pa.table({"file_path": pa.array(from_files(spark, "text", paths, name_glob).inputFiles(), pa.string())}))
+    log_file = path_text(F.col("file_path")).alias("log_file")
+    return (known.select(log_file).join(listed.select(log_file), "log_file", "left_anti")
+            .select("log_file", F.lit(0).cast("bigint").alias("line_number"), F.lit("file without a header record").alias("reason")))
 
 
 def read_csv(spark: SparkSession, paths: Sequence[str], name_glob: str | None = None) -> LogSource:
@@ -266,11 +264,13 @@ def read_csv(spark: SparkSession, paths: Sequence[str], name_glob: str | None =
     lines = parsed.withColumn("cells", F.when(taken, cells_of(F.col("value")))).select(
         log_file, "line_number", F.array_join("cells", ",").alias("raw_line"),
         F.when(taken, F.map_from_arrays("names", picked)).alias("fields"), "reason")
+    listed = listed_files(spark, paths, name_glob)
     notices = (files.where(F.size("names") < F.size("all_names")).select(
                    log_file, F.col("header_line").alias("line_number"),
                    F.lit("header repeats a column name").alias("reason"))
                .unionByName(files.where(F.col("header_line").isNull()).select(
                    log_file, F.lit(0).cast("bigint").alias("line_number"),
                    F.lit("file without a header record").alias("reason")))
-               .unionByName(_empty_files(spark, paths, name_glob, files)))
+               .unionByName(_empty_files(spark, paths, name_glob, listed))
+               .unionByName(unreadable(listed, splits)))
     return LogSource(lines, notices)

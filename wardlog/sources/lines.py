@@ -59,15 +59,16 @@ class LogSource:
 
 
 def from_files(spark: SparkSession, file_format: str, paths: Sequence[str], name_glob: str | None) -> DataFrame:
-    """A file source over files, or over folders searched recursively for names like ``name_glob``."""
-    reader = spark.read.format(file_format)
+    """A file source over files, or over folders searched recursively for names like ``name_glob``. A file that fails while it
+    is read ends there; `unreadable` tells which."""
+    reader = spark.read.format(file_format).option("ignoreCorruptFiles", "true")
     if name_glob:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", name_glob)
     return reader.load(list(paths))
 
 
 def text_lines(spark: SparkSession, paths: Sequence[str], name_glob: str | None = None) -> DataFrame:
-    """Lines with their file, split and an id that grows within a split. Bad UTF-8 is replaced."""
+    """Lines with their file, split, an id that grows within a split, and their bytes. Bad UTF-8 is replaced."""
     # Both passes must cut the files alike, whatever executors join in between.
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
@@ -75,7 +76,21 @@ def text_lines(spark: SparkSession, paths: Sequence[str], name_glob: str | None
         F.make_valid_utf8("value").alias("value"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("split_start"),
-        F.monotonically_increasing_id().alias("id"))
+        F.monotonically_increasing_id().alias("id"),
+        F.octet_length("value").alias("bytes"))
+
+
+def listed_files(spark: SparkSession, paths: Sequence[str], name_glob: str | None) -> DataFrame:
+    """file_path and file_size of all files of a source; nothing is read from them, and the list stays in Spark."""
+    return from_files(spark, "binaryFile", paths, name_glob).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"))
+
+
+def unreadable(listed: DataFrame, splits: DataFrame) -> DataFrame:
+    """Rejects for files of which fewer bytes were read than they have: more than ends of lines and a mark at the start explain."""
+    read = splits.groupBy("file_path").agg(F.sum(F.col("bytes_read") + 2 * F.col("lines")).alias("bytes_read"))
+    short = F.col("file_size") > F.coalesce("bytes_read", F.lit(0)) + 3
+    return listed.join(read, "file_path", "left").where(short).select(
+        path_text(F.col("file_path")).alias("log_file"), F.lit(0).cast("bigint").alias("line_number"), F.lit("cannot be read to its end").alias("reason"))
 
 
 def path_text(file_path: Column) -> Column:
@@ -96,7 +111,7 @@ def earlier(column: str) -> Column:
 def split_table(lines: DataFrame, **facts: Column) -> DataFrame:
     """One row per split: first id, number of lines, lines before it in the file, and the facts."""
     per_split = lines.groupBy(*SPLIT).agg(
-        F.min("id").alias("first_id"), F.count(F.lit(1)).alias("lines"),
+        F.min("id").alias("first_id"), F.count(F.lit(1)).alias("lines"), F.sum("bytes").alias("bytes_read"),
         *[fact.alias(name) for name, fact in facts.items()])
     return settle(per_split.withColumn("lines_before", earlier("lines")))
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardlog.lineage import settle, sized
-from wardlog.sources.lines import REJECT_COLUMNS, LogSource, line_at, numbered, path_text, split_order, split_table, text_lines
+from wardlog.sources.lines import (LogSource, line_at, listed_files, numbered, path_text, split_order, split_table,
+                                   text_lines, unreadable)
 
 FIELDS_MARK = "#Fields:"  # fixed value
 
@@ -115,4 +116,4 @@ def read_w3c(spark: SparkSession, paths: Sequence[str], name_glob: str | None =
     lines = (parsed.where(~taken | _is_data(value)).withColumn("layout_id", F.col("layout.layout_id"))
              .join(sized(forms), "layout_id", "left")
              .select(*where, F.when(taken, value).alias("raw_line"), F.when(taken, F.map_from_arrays("names", cells)).alias("fields"), "reason"))
-    return LogSource(lines, spark.createDataFrame([], REJECT_COLUMNS))
+    return LogSource(lines, unreadable(listed_files(spark, paths, name_glob), splits))
