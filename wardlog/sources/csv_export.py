@@ -9,6 +9,7 @@ each line is known without reading a file in one task, and a stray quote inside
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from wardlog.functions.text import text_array
 from wardlog.lineage import settle, sized
 from wardlog.schema import W3C_COLUMNS
-from wardlog.sources.lines import (LogSource, from_files, line_at, listed_files, numbered, path_text, split_table,
+from wardlog.sources.lines import (FileRange, LogSource, file_ranges, line_at, listed_files, numbered, path_text, split_table,
                                    text_lines, unreadable)
 
 # Header spellings (lower case, blanks and underscores as hyphens) -> W3C names.
@@ -201,22 +202,28 @@ def _heads(value: Column) -> Column:
     return ~value.rlike(_BLANK_LINE) & ~value.rlike(r'^(\s*|"\s*|"\s*"\s*)#')
 
 
-def _empty_files(spark: SparkSession, paths: Sequence[str], name_glob: str | None, listed: DataFrame) -> DataFrame:
+def _empty_files(spark: SparkSession, source: FileRange) -> DataFrame:
     """Rejects for files of no bytes, which are known to a source but are not part of its scan."""
-    known = spark.createDataFrame(pa.table({"file_path": pa.array(from_files(spark, "text", paths, name_glob).inputFiles(), pa.string())}))
+    known = spark.createDataFrame(pa.table({"file_path": pa.array(source.load(spark, "text").inputFiles(), pa.string())}))
     log_file = path_text(F.col("file_path")).alias("log_file")
-    return (known.select(log_file).join(listed.select(log_file), "log_file", "left_anti")
+    return (known.select(log_file).join(listed_files(spark, source).select(log_file), "log_file", "left_anti")
             .select("log_file", F.lit(0).cast("bigint").alias("line_number"), F.lit("file without a header record").alias("reason")))
 
 
 def read_csv(spark: SparkSession, paths: Sequence[str], name_glob: str | None = None) -> LogSource:
+    """Rows of CSV exports, see `_read_range`."""
+    source = reduce(LogSource.union, [_read_range(spark, files) for files in file_ranges(spark, paths, name_glob)])
+    return LogSource(source.lines, source.notices.unionByName(_empty_files(spark, FileRange(tuple(paths), name_glob))))
+
+
+def _read_range(spark: SparkSession, source: FileRange) -> LogSource:
     """Rows of CSV exports.
 
     The first record that is neither blank nor a comment names the columns, on one line or several. Skipped with a reason:
     records with another number of cells, files without header. Repeated header names are reported
     and their last column counts. Empty cells become ``-``.
     """
-    lines = text_lines(spark, paths, name_glob)
+    lines = text_lines(spark, source)
     value = F.col("value")
     splits = split_table(
         lines,
@@ -251,7 +258,7 @@ def read_csv(spark: SparkSession, paths: Sequence[str], name_glob: str | None =
         for joined in (whole, refused):
             alone = alone.unionByName(joined.select("file_path", F.col("last_line").alias("line_number"), "value", "given"))
         records = records.unionByName(alone)
-    records = records.join(sized(files), "file_path")
+    records = records.join(F.broadcast(files), "file_path")  # bounded by SPLITS_PER_RANGE
 
     width, given = F.size("all_names"), F.col("given")
     parsed = (records.where(F.col("header_line").isNotNull() & (F.col("line_number") > F.col("header_line")))
@@ -264,13 +271,11 @@ def read_csv(spark: SparkSession, paths: Sequence[str], name_glob: str | None =
     lines = parsed.withColumn("cells", F.when(taken, cells_of(F.col("value")))).select(
         log_file, "line_number", F.array_join("cells", ",").alias("raw_line"),
         F.when(taken, F.map_from_arrays("names", picked)).alias("fields"), "reason")
-    listed = listed_files(spark, paths, name_glob)
     notices = (files.where(F.size("names") < F.size("all_names")).select(
                    log_file, F.col("header_line").alias("line_number"),
                    F.lit("header repeats a column name").alias("reason"))
                .unionByName(files.where(F.col("header_line").isNull()).select(
                    log_file, F.lit(0).cast("bigint").alias("line_number"),
                    F.lit("file without a header record").alias("reason")))
-               .unionByName(_empty_files(spark, paths, name_glob, listed))
-               .unionByName(unreadable(listed, splits)))
+               .unionByName(unreadable(listed_files(spark, source), splits)))
     return LogSource(lines, notices)

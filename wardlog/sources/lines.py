@@ -14,9 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardlog.lineage import settle, sized
+from wardlog.lineage import settle
 
 SPLIT = ["file_path", "split_start"]
+SPLITS_PER_RANGE = 200_000  # a few hundred bytes each
 ROW_COLUMNS = "log_file string, line_number bigint, raw_line string, fields map<string,string>"
 LINE_COLUMNS = f"{ROW_COLUMNS}, reason string"
 REJECT_COLUMNS = "log_file string, line_number bigint, reason string"
@@ -67,12 +68,44 @@ def from_files(spark: SparkSession, file_format: str, paths: Sequence[str], name
     return reader.load(list(paths))
 
 
-def text_lines(spark: SparkSession, paths: Sequence[str], name_glob: str | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class FileRange:
+    """Files of an input, or those of them whose path lies between two others."""
+
+    paths: tuple[str, ...]
+    name_glob: str | None = None
+    first: str | None = None
+    last: str | None = None
+
+    def load(self, spark: SparkSession, file_format: str) -> DataFrame:
+        """The files as a source; Spark leaves the others out when it plans the scan."""
+        frame = from_files(spark, file_format, self.paths, self.name_glob)
+        return frame if self.first is None else frame.where(F.col("_metadata.file_path").between(self.first, self.last))
+
+
+def file_ranges(spark: SparkSession, paths: Sequence[str], name_glob: str | None) -> list[FileRange]:
+    """The input in ranges of files with about SPLITS_PER_RANGE splits at most (a very large file may have more).
+
+    Whatever is looked up for a line, by split or by file, is then a table that fits every task, so text is never shuffled to
+    meet it. Ranges are cut inside Spark; only their ends come to the driver.
+    """
+    whole = FileRange(tuple(paths), name_glob)
+    length = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    listed = listed_files(spark, whole).select("file_path", F.ceil(F.greatest(F.col("file_size"), F.lit(1)) / length).alias("splits"))
+    total = listed.agg(F.sum("splits")).first()[0] or 0
+    if total <= SPLITS_PER_RANGE:
+        return [whole]
+    ends = (listed.repartitionByRange(-(-2 * total // SPLITS_PER_RANGE), "file_path").groupBy(F.spark_partition_id())
+            .agg(F.min("file_path").alias("first"), F.max("file_path").alias("last")).orderBy("first"))
+    return [FileRange(whole.paths, name_glob, r["first"], r["last"]) for r in ends.collect()]
+
+
+def text_lines(spark: SparkSession, files: FileRange) -> DataFrame:
     """Lines with their file, split, an id that grows within a split, and their bytes. Bad UTF-8 is replaced."""
     # Both passes must cut the files alike, whatever executors join in between.
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
-    return from_files(spark, "text", paths, name_glob).select(
+    return files.load(spark, "text").select(
         F.make_valid_utf8("value").alias("value"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("split_start"),
@@ -80,9 +113,9 @@ def text_lines(spark: SparkSession, paths: Sequence[str], name_glob: str | None
         F.octet_length("value").alias("bytes"))
 
 
-def listed_files(spark: SparkSession, paths: Sequence[str], name_glob: str | None) -> DataFrame:
+def listed_files(spark: SparkSession, files: FileRange) -> DataFrame:
     """file_path and file_size of all files of a source; nothing is read from them, and the list stays in Spark."""
-    return from_files(spark, "binaryFile", paths, name_glob).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"))
+    return files.load(spark, "binaryFile").select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"))
 
 
 def unreadable(listed: DataFrame, splits: DataFrame) -> DataFrame:
@@ -125,5 +158,5 @@ def numbered(lines: DataFrame, splits: DataFrame) -> DataFrame:
     """Lines with ``line_number`` and the columns of their split."""
     known = F.col("first_id").isNotNull() & F.col("id").between(F.col("first_id"), F.col("first_id") + F.col("lines") - 1)
     moved = F.raise_error(F.concat(F.lit("input changed between passes: "), F.col("file_path"))).cast("bigint")
-    return (lines.join(sized(splits), SPLIT, "left")
+    return (lines.join(F.broadcast(splits), SPLIT, "left")  # bounded by SPLITS_PER_RANGE
             .withColumn("line_number", F.when(known, line_at(F.col("id"))).otherwise(moved)))

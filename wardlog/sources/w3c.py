@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardlog.lineage import settle, sized
-from wardlog.sources.lines import (LogSource, line_at, listed_files, numbered, path_text, split_order, split_table,
-                                   text_lines, unreadable)
+from wardlog.sources.lines import (FileRange, LogSource, file_ranges, line_at, listed_files, numbered, path_text, split_order,
+                                   split_table, text_lines, unreadable)
 
 FIELDS_MARK = "#Fields:"  # fixed value
+FEW_LAYOUTS = 10_000
 
 
 def _is_data(value: Column) -> Column:
@@ -53,16 +55,16 @@ def _layout_id(names: Column) -> Column:
     return F.xxhash64(F.array_join(names, " "))
 
 
-def _by_id(splits: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _by_id(splits: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     """Splits with layouts as (at, width, id), and the few different layouts by id: a split's row
-    stays small however many fields the logs have."""
+    stays small however many fields the logs have. Last, whether there are at most FEW_LAYOUTS."""
     forms = settle(splits.select(F.explode("layouts").alias("layout")).select("layout.names", "layout.positions").distinct()
                    .withColumn("layout_id", _layout_id(F.col("names"))))
     counts = forms.agg(F.count(F.lit(1)).alias("forms"), F.countDistinct("layout_id").alias("ids")).first()
     if counts.forms != counts.ids:
         raise ValueError("two field layouts share one hash")
     return splits.withColumn("layouts", F.transform("layouts", lambda layout: F.struct(
-        layout["at"].alias("at"), layout["width"].alias("width"), _layout_id(layout["names"]).alias("layout_id")))), forms
+        layout["at"].alias("at"), layout["width"].alias("width"), _layout_id(layout["names"]).alias("layout_id")))), forms, counts.forms <= FEW_LAYOUTS
 
 
 def _in_force() -> Column:
@@ -85,18 +87,23 @@ def _cut_below_empty_headers(lines: DataFrame, splits: DataFrame) -> DataFrame:
 
 
 def read_w3c(spark: SparkSession, paths: Sequence[str], name_glob: str | None = None) -> LogSource:
+    """Rows of W3C log files, see `_read_range`."""
+    return reduce(LogSource.union, [_read_range(spark, files) for files in file_ranges(spark, paths, name_glob)])
+
+
+def _read_range(spark: SparkSession, files: FileRange) -> LogSource:
     """Rows of W3C log files.
 
     Skipped with a reason: rows whose number of values differs from the layout, headers without
     names, and everything from the first row without a layout on (one reject for the file).
     """
-    lines = text_lines(spark, paths, name_glob)
+    lines = text_lines(spark, files)
     value = F.col("value")
     splits = split_table(
         lines,
         headers=F.collect_list(F.when(value.startswith(FIELDS_MARK), F.struct("id", "value"))),
         first_data_id=F.min(F.when(_is_data(value), F.col("id"))))
-    splits, forms = _by_id(settle(_with_layouts(splits)))
+    splits, forms, few = _by_id(settle(_with_layouts(splits)))
     splits = _cut_below_empty_headers(lines, settle(splits))
 
     width, given = F.col("layout.width"), F.size("cells")
@@ -114,6 +121,6 @@ def read_w3c(spark: SparkSession, paths: Sequence[str], name_glob: str | None =
     where = [path_text(F.col("file_path")).alias("log_file"), F.col("line_number")]
     taken = F.col("reason").isNull()
     lines = (parsed.where(~taken | _is_data(value)).withColumn("layout_id", F.col("layout.layout_id"))
-             .join(sized(forms), "layout_id", "left")
+             .join(F.broadcast(forms) if few else sized(forms), "layout_id", "left")
              .select(*where, F.when(taken, value).alias("raw_line"), F.when(taken, F.map_from_arrays("names", cells)).alias("fields"), "reason"))
-    return LogSource(lines, unreadable(listed_files(spark, paths, name_glob), splits))
+    return LogSource(lines, unreadable(listed_files(spark, files), splits))
