@@ -262,9 +262,9 @@ def all_oracles() -> dict[str, str]:
             CASE WHEN late THEN '{len(W3C_ORDERS[1]) + 1} values under {len(W3C_ORDERS[1])} field names'
                  ELSE '{len(W3C_ORDERS[0]) + 1} values under {len(W3C_ORDERS[0])} field names' END AS reason
             FROM log WHERE event_id % 101 = 5 AND (file_no % 3 = 0 OR file_no % 3 = 2 AND NOT late)
-            UNION ALL SELECT file_no, log_line, 'data before any #Fields: header; skipping remainder of file' FROM log
+            UNION ALL SELECT file_no, log_line, 'row without a layout; the file is not read beyond it' FROM log
             WHERE file_no % 3 = 1 AND {PLACE} = 0 OR file_no % 3 = 2 AND {PLACE} = {HALF}
-            UNION ALL SELECT file_no, log_line - 1, 'empty #Fields: header' FROM log WHERE file_no % 3 = 2 AND {PLACE} = {HALF}""",
+            UNION ALL SELECT file_no, log_line - 1, '#Fields: line without names' FROM log WHERE file_no % 3 = 2 AND {PLACE} = {HALF}""",
         "csv_parse": f"""{WITH_REC}, {CSV} SELECT file_no, csv_line AS line_number, src_ip, method, uri_path, uri_query, status,
             user_agent, note FROM csv WHERE event_id % 101 <> 5""",
         "csv_rejects": f"""{WITH_REC}, {CSV} SELECT file_no, csv_line AS line_number,

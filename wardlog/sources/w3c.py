@@ -107,8 +107,8 @@ def _read_range(spark: SparkSession, files: FileRange) -> LogSource:
     splits = _cut_below_empty_headers(lines, settle(splits))
 
     width, given = F.col("layout.width"), F.size("cells")
-    problem = (F.when(~_is_data(value), F.when(value.rlike(rf"^{FIELDS_MARK}\s*\z"), F.lit("empty #Fields: header")))
-               .when(F.col("layout").isNull(), F.lit("data before any #Fields: header; skipping remainder of file"))
+    problem = (F.when(~_is_data(value), F.when(value.rlike(rf"^{FIELDS_MARK}\s*\z"), F.lit("#Fields: line without names")))
+               .when(F.col("layout").isNull(), F.lit("row without a layout; the file is not read beyond it"))
                .when(width != given, F.concat(given, F.lit(" values under "), width, F.lit(" field names"))))
     parsed = (numbered(lines, splits)
               .where(F.coalesce(F.col("line_number") <= F.col("cut"), F.lit(True)))
