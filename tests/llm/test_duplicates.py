@@ -90,6 +90,24 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(empty_frame(spark)).count() == simhash.keep_one(empty_frame(spark)).count() == 0
 
 
+def test_rows_without_id_link_like_others(spark):
+    """A row without id one edit away from a row with one, and between two of them; rows without id among themselves."""
+    rng = random.Random(14)
+    base = [prose(rng, 30) for _ in range(8)]
+    texts = [(k if k < 5 else None, b + end) for k, b in enumerate(base) for end in ("", " end", " end of it", " and more")]
+    texts = [(None if k % 4 else i, t) for k, (i, t) in enumerate(texts)] + [(100 + k, b + " end of it all") for k, b in enumerate(base[:2])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = sorted(((r["fp"] % (1 << 64), r["doc_id"] is None, r["component_id"]) for r in simhash.near_duplicates(docs).collect()), key=str)
+    prints = [plain_simhash(t) for _, t in texts]
+    label = plain_components(list(enumerate(prints)))
+    smallest = {}
+    for k, (i, _) in enumerate(texts):
+        if i is not None:
+            smallest[label[k]] = min(i, smallest.get(label[k], i))
+    want = [(prints[k], i is None, smallest.get(label[k])) for k, (i, _) in enumerate(texts)]
+    assert got == sorted(want, key=str) and sum(n and c is not None for _, n, c in want) > 3 and sum(c is None for _, _, c in want) > 3
+
+
 def plain_sketch(text):
     """The fingerprint by its definition, in plain Python."""
     def long_hash(values, seed=42):

@@ -31,6 +31,8 @@ HOT = 4096
 FAN, QUERIES = 8, 8192
 #: Comparisons of one portion of queries at most, where classes are joined on the way.
 MEETS = 1 << 19
+#: Ids are smaller than this number.
+NAMELESS = 1 << 62
 PIECE = 1 << 16
 
 
@@ -254,7 +256,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """One row per document: id, fp (long), component_id (smallest id reachable over links of 2 or fewer differing bits).
 
-    The id is an integer column. Null and empty texts have fingerprint zero, linked like any other. Repeated rows each get
+    The id is an integer column of values below 2**62. Null and empty texts have fingerprint zero, linked like any other. Repeated rows each get
     their row. Rows without id get a fingerprint and the component of the rows that share it or are linked to it; null if no
     row with an id is. Other columns are not read.
     """
@@ -266,9 +268,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return [piece.column(0).to_pylist(), values.view(np.int64).tolist()]
 
     printed = settle(map_slices(texts, run, f"`{id_col}` bigint, fp bigint", arrow))
-    prints = settle(printed.groupBy("fp").agg(F.min(id_col).alias("name")))
-    found = components(fingerprint_links(prints.where("name is not null"), hot))
-    named = prints.join(found.withColumnRenamed("node", "name"), "name", "left").select("fp", F.coalesce("label", "name").alias("component_id"))
+    # A print without any id is linked under a name above all ids; two that share such a name differ in two bits at most.
+    nameless = F.lit(NAMELESS) + F.col("fp").bitwiseAND(F.lit(NAMELESS - 1))
+    prints = settle(printed.groupBy("fp").agg(F.min(id_col).alias("name")).withColumn("name", F.coalesce("name", nameless)))
+    found = components(fingerprint_links(prints, hot))
+    label = F.coalesce("label", "name")
+    named = prints.join(found.withColumnRenamed("node", "name"), "name", "left").select("fp", F.when(label < NAMELESS, label).alias("component_id"))
     return printed.join(named, "fp").select(id_col, "fp", "component_id")
 
 
