@@ -6,6 +6,7 @@ import re
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
@@ -176,59 +177,151 @@ def test_likeness_estimates_jaccard(spark):
     assert max(map(abs, errors)) < 0.13 and abs(sum(errors) / len(errors)) < 0.03
 
 
-def plain_cut(table, min_words=substrings.MIN_WORDS, unit="sentence"):
-    """table: distinct (id, text hash rank, text); the same by one pass in rank order."""
+def plain_units(text):
+    """{place: key} by the words themselves, window places by plain integers: whole lines, and of any STEP windows the smallest."""
+    lines = [line.split() for line in text.lower().split("\n")]
+    words, out, starts = [w for line in lines for w in line], {}, []
+    for line in lines:
+        starts.append(sum(map(len, lines[:len(starts)])))
+        if len(line) >= substrings.LINE_WORDS:
+            out[starts[-1], len(line), "line"] = tuple(line)
+    size, values = substrings.WINDOW, []
+    for k in range(len(words) - size + 1):
+        value = 0
+        for w in words[k:k + size]:
+            value = (value * 0x9E3779B97F4A7C15 + (xxhash.xxh3_128_intdigest(w.encode("utf-8", "surrogatepass")) & (1 << 64) - 1)) % (1 << 64)
+        values.append(value ^ value >> 32)
+    places = {k for k in starts if k < len(values)}
+    for k in range(max(1, len(values) - substrings.STEP + 1)):
+        near = values[k:k + substrings.STEP]
+        places |= {k + j for j, v in enumerate(near) if v == min(near)}
+    return out | {(k, size, "part"): tuple(words[k:k + size]) for k in places}
+
+
+def plain_cut(table, min_words=substrings.MIN_WORDS, unit="passage"):
+    """table: (id, text) in rank order; the words that stay of each text, one at a time, without digests or groups."""
     seen, out = set(), {}
     for name, text in table:
-        digests, sizes = substrings.digests(text, unit)
-        repeated = set()
-        for at, d in enumerate(digests):
-            if d in seen:
-                repeated.add(at)
-            seen.add(d)
-        places = substrings.units(text, unit)
-        gone = {at for a, b in substrings.cut_ranges(sizes, repeated, min_words) for at in range(a, b)}
-        out[name] = "".join(text[a:b] for at, (a, b) in enumerate(places) if at not in gone) if gone else text
+        words = (text or "").split()
+        gone = [False] * (len(words) + 1)
+        for (first, size, kind), key in sorted(plain_units(text or "").items()):
+            if unit == "line" and kind == "part":
+                continue
+            if (kind, key) in seen:
+                gone[first:first + size] = [True] * size
+            seen.add((kind, key))
+        run = 0
+        for k, g in enumerate(gone):
+            if not g and 0 < run < min_words:
+                gone[k - run:k] = [False] * run
+            run = run + 1 if g else 0
+        out[name] = [w for w, g in zip(words, gone) if not g]
     return out
 
 
-def test_units_are_the_text():
-    rng = random.Random(7)
-    for text in [*filter(None, ODD), *("".join(rng.choices(["a", " ", "\n", ".", "! ", "bc"], k=40)) for _ in range(300))]:
-        for unit in ("sentence", "line"):
-            places = substrings.units(text, unit)
-            assert "".join(text[a:b] for a, b in places) == text and len(substrings.digests(text, unit)[0]) == len(places)
+def repeated_runs(table, least):
+    """(id, first, end): runs of `least` words and more that an earlier text holds, grown word by word."""
+    out, earlier = [], {}
+    for name, text in table:
+        words = (text or "").lower().split()
+        k = 0
+        while k + least <= len(words):
+            best = 0
+            for other, at in earlier.get(tuple(words[k:k + least]), []):
+                size = least
+                while k + size < len(words) and at + size < len(other) and other[at + size] == words[k + size]:
+                    size += 1
+                best = max(best, size)
+            if best:
+                out.append((name, k, k + best))
+            k += max(1, best - least + 1) if best else 1
+        for k in range(len(words) - least + 1):
+            earlier.setdefault(tuple(words[k:k + least]), []).append((words, k))
+    return out
 
 
-@pytest.mark.parametrize("unit", ["sentence", "line"])
-def test_cut_repeats(spark, unit, monkeypatch):
-    monkeypatch.setattr("wardlog.llm.common.SLICE_ROWS", 7)
-    rng = random.Random(8)
-    passages = [prose(rng, 8) for _ in range(3)]
+def pasted_texts(rng):
+    """Texts with passages of 51 to 80 words: on own lines, within a line, within a sentence, without any punctuation, with other line breaks."""
+    passages = [prose(rng, 7, 8, 10) for _ in range(3)]
+    passages += [re.sub(r"[.]", "", prose(rng, 7, 8, 10)).lower() for _ in range(3)]
     texts = []
-    for k in range(60):
+    for k in range(80):
         own = [prose(rng, rng.randint(1, 6)) for _ in range(3)]
         if k % 2:
-            own[1] += (" " if k % 4 == 1 else "\n") + rng.choice(passages) + (" tail words" if k % 3 else "\n")
+            p = rng.choice(passages)
+            style = k // 2 % 4
+            if style == 3:
+                p = "".join("\n" if c == " " and rng.random() < 0.1 else c for c in p)
+            own[1] = own[1] + "\n" + p if style == 0 else own[1] + " " + p + " tail words" if style == 1 else own[1][:-1] + " " + p.rstrip(".") + " and so on."
         texts.append("\n".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("unit", ["passage", "line"])
+def test_cut_repeats(spark, unit, monkeypatch):
+    monkeypatch.setattr("wardlog.llm.substrings.COMBINED", 300)
+    rng = random.Random(8)
+    texts = pasted_texts(rng)
     texts += [texts[3], texts[5], *ODD]
     docs = frame(spark, texts).repartition(5)
     got = {r["doc_id"]: r for r in substrings.cut_repeats(docs, unit=unit).collect()}
-    want = plain_cut(list(enumerate(texts)), unit=unit)
-    assert {k: r["text"] for k, r in got.items()} == want
+    assert {k: (r["text"] or "").split() for k, r in got.items()} == plain_cut(list(enumerate(texts)), unit=unit)
     for k, r in got.items():
         assert "".join(texts[k][s["start"]:s["end"]] for s in r["kept"]) == (r["text"] or "") and r["lang"] == "en"
-        covered = sorted((s["start"], s["end"]) for s in [*r["kept"], *r["removed"]])
-        assert [b for _, b in covered[:-1]] == [a for a, _ in covered[1:]]
-    if unit == "sentence":
-        inside = [k for k in range(60) if any(p in texts[k] for p in passages)]
-        assert sum(any(p in got[k]["text"] for p in passages) for k in inside) == 3
-        assert all(got[k]["text"] == texts[k] for k in range(0, 60, 2))
+        assert (r["text"] is None) == (texts[k] is None)
+        spans = sorted((s["start"], s["end"]) for s in [*r["kept"], *r["removed"]])
+        assert [b for _, b in spans[:-1]] == [a for a, _ in spans[1:]]
+        assert r["removed"] or r["text"] == texts[k]
+    if unit == "passage":
+        assert all(got[k]["text"] == texts[k] for k in range(0, 80, 2))
     assert substrings.cut_repeats(odd_frame(spark)).count() == len(ODD) + 3
     assert substrings.cut_repeats(empty_frame(spark), spans=False).columns == [c.split()[0] for c in SCHEMA.split(", ")]
     assert rows([]) == []
 
 
+def test_long_passages_go(spark):
+    """All but STEP - 1 words at each end of every passage of 51 words and more that an earlier text holds, found word by word."""
+    texts = pasted_texts(random.Random(9))
+    got = {r["doc_id"]: r["removed"] for r in substrings.cut_repeats(frame(spark, texts).repartition(3)).collect()}
+    runs = repeated_runs(list(enumerate(texts)), 51)
+    assert len(runs) > 25
+    for name, first, end in runs:
+        spans = [m.span() for m in re.finditer(r"\S+", texts[name])][first + substrings.STEP - 1:end - substrings.STEP + 1]
+        assert all(any(c["start"] <= a and b <= c["end"] for c in got[name]) for a, b in spans)
+
+
+def test_line_breaks_and_clashes(spark):
+    rng = random.Random(10)
+    p = prose(rng, 6, 10, 12)
+    texts = [p, f"own words\n{p}\nnext line", f"mine here {p}\nthen more", f"first {p} last"]
+    got = {r["doc_id"]: r["text"] for r in substrings.cut_repeats(frame(spark, texts)).collect()}
+    assert got[1] == "own words\nnext line"
+    assert got[2].endswith("\nthen more") and got[2].startswith("mine here ") and len(got[2].split()) <= 4 + 2 * (substrings.STEP - 1)
+    assert got[3].startswith("first ") and got[3].endswith(" last")
+    with pytest.raises(ValueError):
+        substrings.cut_repeats(frame(spark, texts).withColumn("kept", F.lit(1)))
+    # The same row twice is one document; the same text under another id is a repeat.
+    twice = frame(spark, [p]).union(frame(spark, [p])).union(frame(spark, [p], 1))
+    assert sorted((r["doc_id"], r["text"]) for r in substrings.cut_repeats(twice).collect()) == [(0, p), (0, p), (1, "")]
+
+
+def test_common_passage_arrives_once_a_task():
+    """A task sends one row a digest to the ranking, however many of its texts hold it; all other places are known repeats."""
+    rng = random.Random(11)
+    p = prose(rng, 6, 10, 12)
+    for n in (40, 400):
+        words, block = substrings.Words(), substrings.Combined()
+        for k in range(n):
+            block.add(k if k % 3 else None, k, *substrings.digests(f"{k} {p}", words))
+        sent = block.rows().to_pandas()
+        ranked = sent[~sent["known"]]
+        assert not ranked.duplicated(["key1", "key2"]).any()
+        common = substrings.digests(p, words)[0].view(np.int64)
+        first = ranked.merge(pd.DataFrame(common, columns=["key1", "key2"]), on=["key1", "key2"])
+        # Not there: the whole line, and the window that only the start of the line chooses.
+        assert len(common) - 2 <= len(first) < len(common) and set(first["_id"]) == {1}
+
+
 def copy_families(rng):
     """Families of texts whose members change few words, and texts that share no more than a common opening."""
     texts, family = [], []

@@ -1,9 +1,15 @@
-"""Substring dedup: hash text units, group the digests globally, keep the earliest ranked occurrence and cut the rest.
+"""Substring dedup: hash lines and parts of lines, group the digests globally, keep the earliest ranked occurrence, cut the rest.
 
-A unit is a sentence within a line, or a whole line; with its trailing white space, so that the units of a text are the text.
-A passage that is copied into the middle of a line or paragraph shares no whole line with its source, but it shares its
-sentences; so sentences are the default. A short unit is hashed together with the units before it, so that a common word or
-two never counts as a repeat by itself. Consecutive repeated units of `min_words` words and more are cut.
+Units, both of words with case and white space normalised:
+
+* every line of `LINE_WORDS` words and more, as a whole;
+* within the text, `WINDOW` words from places that its content chooses: of any `STEP` neighbouring windows the one with the
+  smallest digest (winnowing), and the windows that start a line. Two texts that share a passage choose the same places inside
+  it wherever it stands, in the middle of a sentence too, and whatever its punctuation and line breaks are.
+
+A word is repeated if it lies in a unit that occurs earlier. Runs of `min_words` repeated words and more are cut. Guarantee: of a
+passage of 51 words and more that occurs earlier, all but at most STEP - 1 words at each end go (a passage of
+whole lines goes as a whole): 51 - 2 * (STEP - 1) words are more than MIN_WORDS.
 """
 
 from __future__ import annotations
@@ -11,114 +17,193 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlog.llm.common import rows_out, slices
+from wardlog.llm.common import slices
 
 MIN_WORDS = 25
-#: A unit of fewer words takes the words before it into its digest.
-SHORT = 4
-ENDS = {"sentence": re.compile(r"[.!?]+[^\S\n]+|[^\S\n]*\n\s*"), "line": re.compile(r"[^\S\n]*\n\s*")}
-
-
-def units(text: str | None, unit: str = "sentence") -> list[tuple[int, int]]:
-    """Character ranges of the units; together they are the text. None for null and empty texts."""
+LINE_WORDS = 4
+WINDOW, STEP = 12, 8
+#: Load only: digests that a task combines before they are shuffled, and words whose hashes a task remembers.
+COMBINED = 1 << 20
+REMEMBERED = 1 << 20
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+WORD = re.compile(r"\S+")
+
+
+class Words(dict):
+    """Two 64-bit hashes of every word, by its number."""
+
+    def __init__(self) -> None:
+        self.hashes = np.zeros((1024, 2), np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        number = len(self)
+        if number == len(self.hashes):
+            self.hashes = np.concatenate((self.hashes, np.zeros_like(self.hashes)))
+        value = xxhash.xxh3_128_intdigest(word.encode("utf-8", "surrogatepass"))
+        self.hashes[number] = value & 0xFFFFFFFFFFFFFFFF, value >> 64
+        self[word] = number
+        return number
+
+
+def split_lines(text: str) -> tuple[list[str], list[str], np.ndarray]:
+    """Normalised lines and words, and for every line the number of its first word (and last the number of words)."""
+    lines, words, starts = [], [], [0]
+    for line in text.lower().split("\n"):
+        own = line.split()
+        lines.append(" ".join(own))
+        words += own
+        starts.append(len(words))
+    return lines, words, np.array(starts, np.int64)
+
+
+def chosen(values: np.ndarray) -> np.ndarray:
+    """Which values are the smallest of some STEP neighbours (all values, if there are fewer)."""
+    step = min(STEP, len(values))
+    least = np.lib.stride_tricks.sliding_window_view(values, step).min(axis=1)
+    padded = np.concatenate((np.zeros(step - 1, values.dtype), least, np.zeros(step - 1, values.dtype)))
+    return values == np.lib.stride_tricks.sliding_window_view(padded, step).max(axis=1)
+
+
+def digests(text: str | None, known: Words, unit: str = "passage") -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of the units of a text (pairs of 64-bit words) and their places: twice the first word, plus 1 for a line."""
     if not text:
-        return []
-    ends = [m.end() for m in ENDS[unit].finditer(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    return list(zip([0, *ends[:-1]], ends, strict=True))
-
-
-def digests(text: str | None, unit: str = "sentence") -> tuple[list[int], list[int]]:
-    """64-bit digest of every unit (case and white space normalised), and its number of words."""
-    out, sizes = [], []
-    words: list[list[str]] = [text[a:b].lower().split() for a, b in units(text, unit)] if text else []
-    for at, own in enumerate(words):
-        taken, back = own, at
-        while len(taken) < SHORT and back > 0:
-            back -= 1
-            taken = words[back] + taken
-        if back < at:
-            taken = taken[-(len(own) + 2 * SHORT) :]
-        out.append(xxhash.xxh3_64_intdigest(" ".join(taken).encode("utf-8", "surrogatepass"), at != back))
-        sizes.append(len(own))
-    return out, sizes
-
-
-def signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
-
-
-def cut_ranges(sizes: list[int], repeated: set[int], min_words: int) -> list[tuple[int, int]]:
-    """Ranges of consecutive repeated units with at least `min_words` words."""
-    out, start, total = [], None, 0
-    for at in range(len(sizes) + 1):
-        if at < len(sizes) and at in repeated:
-            start, total = (at, 0) if start is None else (start, total)
-            total += sizes[at]
-        elif start is not None:
-            if total >= min_words:
-                out.append((start, at))
-            start = None
+        return np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
+    lines, words, starts = split_lines(text)
+    long = np.flatnonzero(np.diff(starts) >= LINE_WORDS)
+    whole = b"".join(xxhash.xxh3_128_digest(lines[k].encode("utf-8", "surrogatepass"), 1) for k in long)
+    prints, places = [np.frombuffer(whole, "<u8").reshape(-1, 2)], [starts[long] * 2 + 1]
+    if unit == "passage" and len(words) >= WINDOW:
+        if len(known) > REMEMBERED:
+            known.clear()
+        numbers = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        hashes = known.hashes[numbers]
+        count = len(words) - WINDOW + 1
+        values = hashes[:count].copy()
+        for k in range(1, WINDOW):
+            values *= FACTORS
+            values += hashes[k : k + count]
+        values ^= values >> np.uint64(32)
+        marked = chosen(values[:, 0])
+        marked[starts[starts < count]] = True
+        at = np.flatnonzero(marked)
+        prints.append(values[at])
+        places.append(at * 2)
+    return np.concatenate(prints), np.concatenate(places)
+
+
+def covered(places: list[int], starts: np.ndarray) -> np.ndarray:
+    """For every word whether it lies in one of the units at `places`."""
+    size = int(starts[-1])
+    edges = np.zeros(size + 1, np.int64)
+    for place in places:
+        first = place >> 1
+        edges[first] += 1
+        edges[starts[np.searchsorted(starts, first, side="right")] if place & 1 else first + WINDOW] -= 1
+    return np.cumsum(edges[:size]) > 0
+
+
+def cut_ranges(text: str, places: list[int], min_words: int) -> list[tuple[int, int]]:
+    """Character ranges of the runs of repeated words with at least `min_words` words.
+
+    A run goes with the white space behind it; its last line break stays if other text stands before it on its first line.
+    """
+    spans = [m.span() for m in WORD.finditer(text)]
+    starts = np.cumsum([0, *(len(line.split()) for line in text.split("\n"))])
+    inside = np.concatenate(([False], covered(places, starts), [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    out = []
+    for first, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if end - first >= min_words:
+            a, b = spans[first][0], spans[end - 1][1]
+            after = spans[end][0] if end < len(spans) else len(text)
+            alone = not text[text.rfind("\n", 0, a) + 1 : a].strip()
+            out.append((a, after if alone or "\n" not in text[b:after] else b))
     return out
 
 
-def repeated_units(docs: DataFrame, unit: str = "sentence") -> DataFrame:
-    """(_id, _th, units): for every document the numbers of the units that occur earlier; documents without one are left out.
-
-    Rank: id (null last), text hash, position. Inside a slice of documents only the first occurrence of a digest goes into
-    the global grouping, the others are known to be repeats; so a passage that a third of all documents share arrives once
-    per slice, not once per document.
+class Combined:
+    """The digests of many documents of a task: of each digest the first place, and the other places as known repeats."""
+
+    def __init__(self) -> None:
+        self.owners: dict[tuple, int] = {}
+        self.parts: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, doc: int | None, th: int, prints: np.ndarray, places: np.ndarray) -> None:
+        owner = self.owners.setdefault((doc is None, doc or 0, th), len(self.owners))
+        self.parts.append((owner, prints, places))
+        self.size += len(places)
+
+    def rows(self) -> pa.RecordBatch:
+        """key1, key2, known, _id, _th, at."""
+        names = list(self.owners)
+        ranked = sorted(range(len(names)), key=names.__getitem__)
+        rank = np.empty(len(names), np.int64)
+        rank[ranked] = np.arange(len(names))
+        prints = np.concatenate([p for _, p, _ in self.parts])
+        places = np.concatenate([p for _, _, p in self.parts])
+        docs = np.repeat(rank[[o for o, _, _ in self.parts]], [len(p) for _, _, p in self.parts])
+        order = np.lexsort((places, docs, prints[:, 1], prints[:, 0]))
+        prints, places, docs = prints[order], places[order], docs[order]
+        same = np.zeros(len(order), bool)
+        same[1:] = (prints[1:] == prints[:-1]).all(axis=1)
+        # A row that comes twice is one document, not a repeat of itself.
+        twin = np.zeros(len(order), bool)
+        twin[1:] = same[1:] & (docs[1:] == docs[:-1]) & (places[1:] == places[:-1])
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        known = same & ((docs != docs[first]) | (places != places[first]))
+        prints, places, docs, known = prints[~twin], places[~twin], docs[~twin], known[~twin]
+        ids = np.array([names[k][1] for k in ranked], np.int64)[docs]
+        late = np.array([names[k][0] for k in ranked], bool)[docs]
+        ths = np.array([names[k][2] for k in ranked], np.int64)[docs]
+        # Known repeats need no group: their key only spreads them.
+        prints = np.where(known[:, None], np.stack((ths, places), axis=1).view(np.uint64), prints)
+        columns = [pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)), pa.array(known), pa.array(ids, mask=late), pa.array(ths), pa.array(places)]
+        return pa.RecordBatch.from_arrays(columns, names=["key1", "key2", "known", "_id", "_th", "at"])
+
+
+def repeated_units(docs: DataFrame, unit: str = "passage") -> DataFrame:
+    """(_id, _th, units): for every document the places of the units that occur earlier; documents without one are left out.
+
+    Rank: id (null last), text hash, position. A task combines the digests of its documents (a million at a time) before the
+    global grouping: only the first place of each goes there, the others are known to be repeats. So a passage that all documents share
+    arrives once a task, as small rows that are ranked as they stream by.
     """
-    arrow = pa.schema([("key", pa.int64()), ("known", pa.bool_()), ("_id", pa.int64()), ("_th", pa.int64()), ("at", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, block = Words(), Combined()
         for piece in slices(batches):
-            first: dict[int, tuple] = {}
-            out: list[list] = [[], [], [], [], []]
-
-            def give(key: int, known: bool, place: tuple, out=out) -> None:
-                for column, value in zip(out, (signed(key), known, place[1], place[2], place[3]), strict=True):
-                    column.append(value)
-
             for doc, th, text in zip(*(piece.column(k).to_pylist() for k in range(3)), strict=True):
-                for at, digest in enumerate(digests(text, unit)[0]):
-                    place = (doc is None, doc, th, at) if doc is not None else (True, None, th, at)
-                    other = first.get(digest)
-                    if other is None:
-                        first[digest] = place
-                    elif rank(place) < rank(other):
-                        first[digest] = place
-                        give(xxhash.xxh3_64_intdigest(repr(other)), True, other)
-                    elif place != other:
-                        give(xxhash.xxh3_64_intdigest(repr(place)), True, place)
-            for digest, place in first.items():
-                give(digest, False, place)
-            yield rows_out(arrow, out)
-
-    placed = docs.select("_id", "_th", "_text").mapInArrow(run, "key bigint, known boolean, _id bigint, _th bigint, at int")
-    order = Window.partitionBy("key", "known").orderBy(F.col("_id").asc_nulls_last(), "_th", "at")
+                prints, places = digests(text, words, unit)
+                if len(places):
+                    block.add(doc, th, prints, places)
+                if block.size >= COMBINED:
+                    yield block.rows()
+                    block = Combined()
+        if block.size:
+            yield block.rows()
+
+    placed = docs.select("_id", "_th", "_text").mapInArrow(run, "key1 bigint, key2 bigint, known boolean, _id bigint, _th bigint, at bigint")
+    order = Window.partitionBy("key1", "key2", "known").orderBy(F.col("_id").asc_nulls_last(), "_th", "at")
     later = placed.withColumn("nth", F.rank().over(order)).where("known or nth > 1")
     return later.groupBy("_id", "_th").agg(F.collect_set("at").alias("units"))
 
 
-def rank(place: tuple) -> tuple:
-    return (place[0], place[1] or 0, place[2], place[3])
-
-
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, unit: str = "sentence",
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, unit: str = "passage",
                 spans: bool = True) -> DataFrame:
     """All rows and columns of `docs` with the repeated passages cut out of the text.
 
     With `spans`, also `kept` and `removed`: arrays of (start, end) in characters of the original text; the new text is the
-    kept ranges one after the other. The earliest occurrence (by integer id, null last, then text hash, then position) stays,
-    also within one text. Rows that repeat both id and text count as one document and all keep the same text. Null and empty
-    texts stay as they are.
+    kept ranges one after the other. The earliest occurrence of a unit (by integer id, null last, then text hash, then position)
+    does not count as repeated, also within one text; its words go all the same where they lie in other units that occur earlier.
+    `unit="line"` hashes whole lines only. Rows that repeat both id and text count as one document and all keep the same text.
+    Null and empty texts stay as they are. A text without white space is one word and stays.
     """
     at = docs.columns.index(text_col)
     keyed = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"), F.struct(*docs.columns).alias("_row"))
@@ -134,9 +219,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns, names = list(piece.columns)[:-1], list(piece.schema.names)[:-1]
             texts, kept, removed = [], [], []
             for text, repeats in zip(columns[at].to_pylist(), piece.column(piece.num_columns - 1).to_pylist(), strict=True):
-                places = units(text, unit) if text else []
-                gone = cut_ranges(digests(text, unit)[1], set(repeats), min_words) if repeats else []
-                cut = [(places[a][0], places[b - 1][1]) for a, b in gone]
+                cut = cut_ranges(text, repeats, min_words) if repeats else []
                 stay, last = [], 0
                 for a, b in [*cut, (len(text or ""), 0)]:
                     if a > last:
