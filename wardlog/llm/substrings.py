@@ -150,14 +150,15 @@ class Combined:
         places = np.concatenate([p for _, _, p in self.parts])
         docs = np.repeat(rank[[o for o, _, _ in self.parts]], [len(p) for _, _, p in self.parts])
         order = np.lexsort((places, docs, prints[:, 1], prints[:, 0]))
-        prints, places, docs = prints[order], places[order], docs[order]
+        sorted_prints, sorted_places, sorted_docs = prints[order], places[order], docs[order]
         same = np.zeros(len(order), bool)
-        same[1:] = (prints[1:] == prints[:-1]).all(axis=1)
-        # A row that comes twice is one document, not a repeat of itself.
-        twin = np.zeros(len(order), bool)
-        twin[1:] = same[1:] & (docs[1:] == docs[:-1]) & (places[1:] == places[:-1])
+        same[1:] = (sorted_prints[1:] == sorted_prints[:-1]).all(axis=1)
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        known = same & ((docs != docs[first]) | (places != places[first]))
+        # A row that comes twice is one document, not a repeat of itself.
+        twin, known = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        twin[order[1:]] = same[1:] & (sorted_docs[1:] == sorted_docs[:-1]) & (sorted_places[1:] == sorted_places[:-1])
+        known[order] = same & ((sorted_docs != sorted_docs[first]) | (sorted_places != sorted_places[first]))
+        # Rows stay in the order of the documents: neighbours of one document compress well.
         prints, places, docs, known = prints[~twin], places[~twin], docs[~twin], known[~twin]
         ids = np.array([names[k][1] for k in ranked], np.int64)[docs]
         late = np.array([names[k][0] for k in ranked], bool)[docs]
