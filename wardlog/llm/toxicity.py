@@ -1,12 +1,16 @@
 """Toxicity: a weighted finite-state grammar over clauses, with an insult lexicon learned from labelled documents.
 
-Words are tagged by lexicons (insult, threat, target, negation, report). Insult stems with their weights come from labelled
-rows: the log-odds of a stem (a word beginning or a whole word) between toxic and clean documents. Stems are chosen one after
-the other, each for the toxic documents that those before do not explain; so the words of a toxic text of which there are
-many copies do not become insults. A chain of small
-transducers reads each clause from left to right: negation and reported speech open a scope that scales down the weights
-read inside it, a target next to an insult or a threat scales them up, and only clauses that end in an accepting state give
-a weight. A document's score is a logistic function of its clause weights, calibrated on other labelled rows.
+A chain of transducers. The lexicon transducer reads a word and gives all its tags (insult, threat, target, negation, report, self) and a
+weight. Scope transducers read tags and mark words: negation and target for REACH words, reported speech to the end of the clause. They are
+composed into one machine with a table of states (`compose`), which reads a clause from left to right; a second machine reads it from
+right to left and marks words in front of a target or of the speaker (what follows a word cannot be known from the left). The weight
+transducer turns the marks of a word into a factor: negation and reported speech scale down, a target scales up, a threat without a target or
+against the speaker counts nothing. Clauses with a weight are matched; a document's score is a logistic function of
+their weights, calibrated on labelled rows.
+
+Insult stems with their weights come from other labelled rows: the log-odds of a stem (a word beginning or a whole word) between
+toxic and clean documents. Stems are chosen one after the other, each for the toxic documents that those before do not explain; so the
+words of a toxic text of which there are many copies do not become insults.
 """
 
 from __future__ import annotations
@@ -41,71 +45,127 @@ INSULTS = frozenset("idiot idiots moron morons stupid scum trash loser losers pa
                     "dumb fool bastard idiota estúpido imbécil crétin débile salaud dummkopf trottel arschloch".split())
 THREATS = frozenset("kill hurt destroy beat stab shoot burn murder töten umbringen tuer frapper matar golpear".split())
 TARGETS = frozenset("you your yours u they them he she du ihr euch dich tu toi vous tú ti usted ustedes".split())
-NEGATIONS = frozenset("not no never neither nor isn aren wasn don nicht kein keine nie ne pas jamais nunca".split())
-REPORTS = frozenset("said says wrote claimed quoted called reported sagte schrieb dit écrit dijo escribió".split())
+NEGATIONS = frozenset("not no never neither nor nobody none nothing isn aren wasn don nicht kein keine nie niemand ne pas jamais personne nunca nadie".split())
+REPORTS = frozenset("said say says saying wrote write writes claimed claims quoted quotes called calls reported reports sagte sagen sagt schrieb "
+                    "schreibt dit disent écrit dijo dice dicen escribió".split())
+SPEAKER = frozenset("me myself us mich mir uns moi nous mí nosotros".split())
+LEXICONS = {"insult": INSULTS, "threat": THREATS, "target": TARGETS, "negation": NEGATIONS, "report": REPORTS, "self": SPEAKER}
 #: Scale of a weight inside a scope, next to a target; words that a scope or a target reaches.
 NEGATED, REPORTED, TARGETED, REACH = 0.4, 0.6, 1.25, 4
 STATIC_WEIGHT, THREAT_WEIGHT = 4.0, 3.0
 WORD = re.compile(r"[^\W\d_]+|[.!?;\n]")
+ENDS = frozenset(".!?;\n")
+
+
+#: Tags of a word, and marks that the scope transducers give it, as bits.
+INSULT, THREAT, TARGET, NEGATION, REPORT, SELF = TAGS = tuple(1 << k for k in range(6))
+IS_NEGATED, IS_REPORTED, IS_TARGETED, IS_SELF = MARKS = tuple(1 << k for k in range(4))
+#: Highest log-odds of a text without any matched clause, whatever share of the calibration rows is toxic.
+NO_CLAUSE = -1.0
+
+#: A transducer: for each state (0 is the start) and each set of tags the next state and the marks of the word read.
+Transducer = list[list[tuple[int, int]]]
+
+
+def scope(opener: int, mark: int, reach: int) -> Transducer:
+    """Marks the `reach` words after a word tagged `opener`; the state is the number of words still to be marked."""
+    return [[(reach if tags & opener else max(0, left - 1), mark if left else 0) for tags in range(1 << len(TAGS))] for left in range(reach + 1)]
+
+
+def scope_to_end(opener: int, mark: int) -> Transducer:
+    """Marks all words of the clause after a word tagged `opener`."""
+    return [[(1 if opened or tags & opener else 0, mark if opened else 0) for tags in range(1 << len(TAGS))] for opened in (0, 1)]
+
+
+def compose(*parts: Transducer) -> Transducer:
+    """One transducer that goes through the reachable combinations of states of all parts and gives all their marks."""
+    number, table, todo = {(0,) * len(parts): 0}, [], [(0,) * len(parts)]
+    while len(table) < len(todo):
+        states, row = todo[len(table)], []
+        for tags in range(1 << len(TAGS)):
+            arcs = [part[state][tags] for part, state in zip(parts, states, strict=True)]
+            after = tuple(a[0] for a in arcs)
+            if after not in number:
+                number[after] = len(todo)
+                todo.append(after)
+            row.append((number[after], sum(a[1] for a in arcs)))
+        table.append(row)
+    return table
+
+
+FORWARD = compose(scope(NEGATION, IS_NEGATED, REACH), scope_to_end(REPORT, IS_REPORTED), scope(TARGET, IS_TARGETED, REACH))
+BACKWARD = compose(scope(TARGET, IS_TARGETED, REACH), scope(SELF, IS_SELF, 1))
+
+
+def read(machine: Transducer, tags: list[int]) -> list[int]:
+    """Marks of every word."""
+    state, out = 0, []
+    for t in tags:
+        state, marks = machine[state][t]
+        out.append(marks)
+    return out
+
+
+def factor(tags: int, marks: int) -> float:
+    """What the weight of a word counts under its marks."""
+    if not tags & INSULT and (not marks & IS_TARGETED or marks & IS_SELF):
+        return 0.0
+    return (NEGATED if marks & IS_NEGATED else 1.0) * (REPORTED if marks & IS_REPORTED else 1.0) * (TARGETED if marks & IS_TARGETED else 1.0)
 
 
 @dataclass
 class Grammar:
-    """Weighted stems and the calibration; `score` needs nothing but a text."""
+    """Lexicons, weighted stems and the calibration; `score` needs nothing but a text."""
 
     stems: dict[str, float] = field(default_factory=dict)
     words: dict[str, float] = field(default_factory=dict)
     coefficients: tuple[float, ...] = (-3.0, 1.0, 0.0)
+    lexicons: dict[str, frozenset[str]] = field(default_factory=lambda: dict(LEXICONS))
 
     def insult(self, word: str) -> float:
-        """Output of the insult transducer: the weight of the whole word, else of its longest known beginning."""
+        """The weight of the whole word as an insult, else of its longest known beginning."""
         if (weight := self.words.get(word)) is not None:
             return weight
-        best = STATIC_WEIGHT if word in INSULTS else 0.0
+        best = STATIC_WEIGHT if word in self.lexicons["insult"] else 0.0
         for size in STEM_CHARS[::-1]:
             if len(word) >= size and (weight := self.stems.get(word[:size])) is not None:
                 return max(best, weight)
         return best
 
+    def tag(self, word: str) -> tuple[int, float]:
+        """Output of the lexicon transducer: all tags of a word, and its weight."""
+        tags = sum(bit for name, bit in zip(LEXICONS, TAGS, strict=True) if bit != INSULT and word in self.lexicons[name])
+        weight = self.insult(word)
+        if weight > 0:
+            return tags | INSULT, weight
+        return tags, THREAT_WEIGHT if tags & THREAT else 0.0
+
     def clauses(self, text: str | None) -> list[float]:
-        """Weights of the matched clauses of a text; a threat counts if a target stands within REACH words before or after it."""
+        """Weights of the matched clauses of a text."""
         found, memo = [], self._memo()
-        total, negated, reported, targeted = 0.0, -REACH - 1, False, -REACH - 1
-        pending: list[tuple[int, float]] = []
-        threats: list[tuple[int, float]] = []  # without a target so far
-        for at, word in enumerate(WORD.findall(text.lower()) if text else ()):
-            tag = memo.get(word)
-            if tag is None:
-                tag = memo[word] = self._tag(word)
+        tags: list[int] = []
+        weighted: list[tuple[int, float]] = []
+        for word in [*WORD.findall(text.lower()), "."] if text else ():
+            if word in ENDS:
+                if weighted and (total := self._weigh(tags, weighted)) > 0:
+                    found.append(total)
+                tags, weighted = [], []
+                continue
+            known = memo.get(word)
+            if known is None:
                 if len(memo) > 500_000:
                     memo.clear()
-            kind, weight = tag
-            if not kind:
-                continue
-            if kind == "end":
-                if pending:
-                    total = sum(w for _, w in pending)
-                    if total > 0:
-                        found.append(total)
-                    pending = []
-                threats = []
-                negated, reported, targeted = at - REACH - 1, False, at - REACH - 1
-            elif kind == "negation":
-                negated = at
-            elif kind == "report":
-                reported = True
-            elif kind == "target":
-                targeted = at
-                pending = [(p, w * TARGETED if at - p <= REACH else w) for p, w in [*pending, *(t for t in threats if at - t[0] <= REACH)]]
-                threats = []
-            else:
-                scale = (NEGATED if at - negated <= REACH else 1.0) * (REPORTED if reported else 1.0) * (TARGETED if at - targeted <= REACH else 1.0)
-                lone = kind == "threat" and at - targeted > REACH
-                (threats if lone else pending).append((at, weight * scale))
-        if pending and (total := sum(w for _, w in pending)) > 0:
-            found.append(total)
+                known = memo[word] = self.tag(word)
+            if known[1] > 0:
+                weighted.append((len(tags), known[1]))
+            tags.append(known[0])
         return found
 
+    @staticmethod
+    def _weigh(tags: list[int], weighted: list[tuple[int, float]]) -> float:
+        before, after = read(FORWARD, tags), read(BACKWARD, tags[::-1])[::-1]
+        return sum(weight * factor(tags[at], before[at] | after[at]) for at, weight in weighted)
+
     def _memo(self) -> dict:
         if not hasattr(self, "_tags"):
             self._tags = {}
@@ -114,21 +174,11 @@ class Grammar:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_tags"}
 
-    def _tag(self, word: str) -> tuple[str, float]:
-        if len(word) == 1 and word in ".!?;\n":
-            return "end", 0.0
-        if (weight := self.insult(word)) > 0:
-            return "insult", weight
-        for kind, lexicon in (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)):
-            if word in lexicon:
-                return kind, THREAT_WEIGHT
-        return "", 0.0
-
     def score(self, weights: list[float]) -> float:
         """Probability from the clause weights of a text."""
         bias, total, top = self.coefficients
         a, b = features(weights)
-        z = bias + total * a + top * b
+        z = bias + total * a + top * b if weights else min(bias, NO_CLAUSE)
         return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
 
