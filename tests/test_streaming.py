@@ -193,6 +193,34 @@ def test_a_batch_costs_the_same_however_many_rows_wait():
     assert set(costs) == {costs[0]} and max(len(json.loads(body)) for (body,) in states.maps["rows"].values()) == 5
 
 
+@pytest.mark.parametrize("chunk", [1000, 3])
+def test_keys_of_a_bucket_share_their_state(chunk, monkeypatch):
+    """Many keys in one group: each fires as it does alone, a batch costs a few accesses and not some for every key and second."""
+    for name in ("WINDOW_CHUNK", "WAITING_CHUNK"):
+        monkeypatch.setattr(live, name, chunk)
+    rng = random.Random(chunk)
+    for need, seconds, sequence in ((2, 30, False), (2, 90, True)):
+        limits = {0: (need, seconds, seconds, sequence)}
+        rows = [(1000 + i // 8 + rng.randrange(20), f"k{rng.randrange(150)}", rng.choice([COUNTED_ROW, COUNTED_ROW, FOLLOW_UP] if sequence else [COUNTED_ROW]), i) for i in range(2400)]
+        states, fired, costs = States(), [], []
+        processor = SlidingCount(limits)
+        processor.init(states)
+        for at in (0, 800, 1600):
+            part = rows[at : at + 800]
+            frame = pd.DataFrame([(0, key, sec, role, f"t{sec}", *[None] * 8, "f", line, key) for sec, key, role, line in part],
+                                 columns=["rule_seq", "key_text", "sec", "role", *FINDING_RECORD_COLUMNS.values()])
+            passed = Clock((1000 + at // 8 - 1) * 1000)
+            before = states.touched
+            list(processor.handleInputRows((0, 7), fold_rows(limits)(iter([frame])), passed))
+            costs.append(states.touched - before)
+            for now in [passed, Clock(10**9)] if at == 1600 else [passed]:
+                for out in processor.handleExpiredTimer((0, 7), now, None):
+                    fired += [(r.raw_line, r.timestamp, r.line_number, r.event_count) for r in out.itertuples()]
+        model = [{"key": k, "sec": s, "file": "f", "line": n, "counted": r == COUNTED_ROW, "follow": r == FOLLOW_UP} for s, k, r, n in rows]
+        assert sorted(fired) == sorted((k, f"t{s}", n, c) for k, s, _, n, c in keyed_walk(model, need, seconds, sequence)) and len(fired) > 100
+        assert states.value is None and not any(states.maps.values()) and (chunk < 1000 or max(costs) <= 2)
+
+
 def test_late_rows_are_dropped_and_idle_keys_forgotten():
     limits = {0: (2, 10, 10, False)}
     late = [(0, [(100, COUNTED_ROW, "f", 1), (101, COUNTED_ROW, "f", 2)]), (105_000, [(104, COUNTED_ROW, "f", 3), (105, COUNTED_ROW, "f", 4), (120, COUNTED_ROW, "f", 5)]),

@@ -123,10 +123,10 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows as a stream of files."""
+    """The same rows as a stream of files, dealt to every core: a stream cannot tell how few tasks its files give."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return (spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
-            .select("event_id", "ts", "user_id", "event_type", "value"))
+            .select("event_id", "ts", "user_id", "event_type", "value").repartition(spark.sparkContext.defaultParallelism))
 
 
 def request_fields(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:

@@ -4,17 +4,21 @@ Line rules are stateless, so ``scan`` itself works on a stream. Threshold and se
 order: rows wait until the watermark has passed them and are then taken in event-time order, which
 gives the batch results for every row that is not later than the watermark allows.
 
-Rows are folded to (rule, key, second) inside each task before they reach the state. The state of a key is
-keyed by second: numbers of rows, and only the rows that can still fire. A batch therefore touches the seconds
-it brings rows for, however many rows of the key are waiting, and a second that does not reach its bound is
-never read row by row.
+Rows are folded to (rule, key, second) inside each task before they reach the state. A group of the state is a bucket of
+the keys of one rule, so state is read and written in chunks of many seconds and keys, never row by row. What waits for
+the watermark is a set of chunks in order of time: numbers of rows, and apart from them the rows that can still fire, which
+are read only if a second of the chunk reaches its bound. A batch writes chunks of its own, however many rows are waiting,
+and a watermark reads only chunks that it has reached and the chunks of the running windows that end.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
+from itertools import accumulate, groupby
 from math import ceil, floor
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,12 +33,13 @@ from wardlog.operators.windows import COUNTED, FOLLOW_UP, _keyed_findings, mark_
 from wardlog.schema import FINDING_RECORD_COLUMNS
 
 PAYLOAD = tuple(FINDING_RECORD_COLUMNS.values())
-FOLDED = "rule_seq int, key_text string, sec bigint, counted bigint, rows string"
+FOLDED = "rule_seq int, key_text string, sec bigint, counted bigint, held int, rows string"
 OUTPUT = ("rule_seq int, key_text string, event_count bigint, timestamp string, src_ip string, method string, "
           "uri_path string, uri_query string, status_code bigint, user_agent string, referer string, host string, "
           "log_file string, line_number bigint, raw_line string")
-#: Load only: seconds of the running window that are read and written together.
-WINDOW_CHUNK = 256
+#: Load only: seconds of keys that are read and written together, of the running windows and of what waits; groups that the keys
+#: of a rule are dealt to (kept in the state: a stream goes on only with the number it began with).
+WINDOW_CHUNK, WAITING_CHUNK, BUCKETS = 1000, 1000, 512
 
 # A row in the state: [log_file, line_number, role, payload]; counted rows of a sequence carry no payload.
 Limits = dict[int, tuple[int, int, int, bool]]
@@ -58,25 +63,26 @@ def fold_rows(limits: Limits) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
                 group[0] += role == COUNTED
                 place = [payload[PAYLOAD.index("log_file")], payload[PAYLOAD.index("line_number")]]
                 group[1].append([*place, role, None if limits[rule_seq][3] and role == COUNTED else payload])
-            yield pd.DataFrame([(*key, counted, json.dumps(_in_order(rows, limits[key[0]][0], limits[key[0]][3])))
-                                for key, (counted, rows) in groups.items()], columns=[c.split()[0] for c in FOLDED.split(", ")])
+            kept = [(key, counted, _in_order(rows, limits[key[0]][0], limits[key[0]][3])) for key, (counted, rows) in groups.items()]
+            yield pd.DataFrame([(*key, counted, len(rows), json.dumps(rows)) for key, counted, rows in kept],
+                               columns=[c.split()[0] for c in FOLDED.split(", ")])
 
     return run
 
 
 class RunningWindow:
-    """Counts of the seconds in the window of a key, oldest first, in chunks of a map state.
+    """Counts of the seconds in the windows of the keys of a bucket, oldest first, in chunks of a map state.
 
-    Only the oldest and the newest chunk are held; `total` is the sum over all of them.
+    Only the oldest and the newest chunk are held; `totals` has the sum of every key that has one.
     """
 
-    def __init__(self, chunks, oldest: int, start: int, newest: int, total: int):
-        self.chunks, self.oldest, self.start, self.newest, self.total = chunks, oldest, start, newest, total
+    def __init__(self, chunks, oldest: int, start: int, newest: int, totals: dict[str, int]):
+        self.chunks, self.oldest, self.start, self.newest, self.totals = chunks, oldest, start, newest, totals
         self.changed = False
         self.last = self._read(newest)
         self.first = self.last if oldest == newest else self._read(oldest)
 
-    def _read(self, number: int) -> list[list[int]]:
+    def _read(self, number: int) -> list[list]:
         held = self.chunks.getValue((number,))
         return json.loads(held[0]) if held else []
 
@@ -84,7 +90,10 @@ class RunningWindow:
         """Drop the seconds before a time."""
         while True:
             while self.start < len(self.first) and self.first[self.start][0] < before:
-                self.total -= self.first[self.start][1]
+                _, count, key_text = self.first[self.start]
+                self.totals[key_text] -= count
+                if not self.totals[key_text]:
+                    del self.totals[key_text]
                 self.start += 1
             if self.start < len(self.first) or self.oldest == self.newest:
                 return
@@ -92,12 +101,12 @@ class RunningWindow:
             self.oldest, self.start = self.oldest + 1, 0
             self.first = self.last if self.oldest == self.newest else self._read(self.oldest)
 
-    def add(self, sec: int, count: int) -> None:
-        if len(self.last) == WINDOW_CHUNK:
+    def add(self, sec: int, count: int, key_text: str) -> None:
+        if len(self.last) >= WINDOW_CHUNK:
             self.write()
             self.last, self.newest = [], self.newest + 1
-        self.last.append([sec, count])
-        self.total += count
+        self.last.append([sec, count, key_text])
+        self.totals[key_text] = self.totals.get(key_text, 0) + count
         self.changed = True
 
     def write(self) -> None:
@@ -110,11 +119,12 @@ class RunningWindow:
 
 
 class SlidingCount(StatefulProcessor):
-    """State of one (rule, key): what waits for the watermark, by second; the counts of the running window; and one row
-    with the bounds of that window, the time before which nothing fires again, and the timer.
+    """State of one rule and bucket of keys: what waits for the watermark, in chunks by time; the counts of the running
+    windows; the keys with the time before which they do not fire again; and one row with the bounds of the window, the chunks
+    that wait (their number, first and last second), and the timer.
 
     ``limits`` maps rule_seq to (bound, window seconds back, pause seconds, is sequence). Rows of seconds that the
-    watermark has passed are late and dropped. A key without work keeps a timer that removes its state.
+    watermark has passed are late and dropped. A bucket without work keeps a timer that removes its state.
     """
 
     def __init__(self, limits: Limits):
@@ -122,13 +132,17 @@ class SlidingCount(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "sec bigint", "counted bigint, chunks int")
-        self.rows = handle.getMapState("rows", "sec bigint, chunk int", "body string")
+        self.waiting = handle.getMapState("waiting", "chunk bigint", "body string")
+        self.rows = handle.getMapState("rows", "chunk bigint", "body string")
         self.window = handle.getMapState("window", "chunk bigint", "body string")
-        self.bounds = handle.getValueState("bounds", "oldest bigint, start bigint, newest bigint, total bigint, quiet_until bigint, timer bigint")
+        self.keys = handle.getMapState("keys", "part bigint", "body string")
+        self.bounds = handle.getValueState("bounds", "oldest bigint, start bigint, newest bigint, unused bigint, chunks string, timer bigint")
 
     def _bounds(self) -> list:
-        return list(self.bounds.get()) if self.bounds.exists() else [0, 0, 0, 0, None, None]
+        """Oldest chunk, start in it and newest chunk of the window; a number no chunk had yet; chunks that wait; timer."""
+        held = list(self.bounds.get()) if self.bounds.exists() else [0, 0, 0, 0, "[]", None]
+        held[4] = json.loads(held[4])
+        return held
 
     def _keep(self, bounds: list, wake: int | None) -> None:
         """Store the bounds with one timer at the given time."""
@@ -136,80 +150,105 @@ class SlidingCount(StatefulProcessor):
             if bounds[5] is not None:
                 self.handle.deleteTimer(bounds[5])
             self.handle.registerTimer(wake)
-        self.bounds.update((*bounds[:5], wake))
+        self.bounds.update((*bounds[:4], json.dumps(bounds[4]), wake))
+
+    def _wait(self, bounds: list, entries: list[tuple]) -> None:
+        """Put (second, key, counted rows, rows held, their text) into new chunks, by time."""
+        entries.sort(key=itemgetter(0, 1))
+        for at in range(0, len(entries), WAITING_CHUNK):
+            chunk = entries[at : at + WAITING_CHUNK]
+            self.waiting.updateValue((bounds[3],), (json.dumps([e[:4] for e in chunk]),))
+            self.rows.updateValue((bounds[3],), ("[" + ",".join(e[4][1:-1] for e in chunk if e[3]) + "]",))
+            bounds[4].append([bounds[3], chunk[0][0], chunk[-1][0]])
+            bounds[3] += 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        need, _, _, sequence = self.limits[int(key[0])]
         passed = timerValues.getCurrentWatermarkInMs()
-        brought: dict[int, list] = {}
+        bounds, first = None, None
         for frame in rows:
-            for sec, counted, body in zip(frame["sec"].tolist(), frame["counted"].tolist(), frame["rows"].tolist()):
-                if sec * 1000 > passed:
-                    here = brought.setdefault(int(sec), [0, []])
-                    here[0] += int(counted)
-                    here[1] += json.loads(body)
-        for sec, (counted, new) in brought.items():
-            before, chunks = self.waiting.getValue((sec,)) or (0, 0)
-            if sequence:
-                self.rows.updateValue((sec, chunks), (json.dumps(new),))
-                chunks += 1
-            else:
-                held = json.loads(self.rows.getValue((sec, 0))[0]) if chunks else []
-                self.rows.updateValue((sec, 0), (json.dumps(_in_order(held + new, need, False)),))
-                chunks = 1
-            self.waiting.updateValue((sec,), (before + counted, chunks))
-        if brought:
-            bounds = self._bounds()
-            first = min(brought) * 1000
+            entries = [e for e in zip(*(frame[c].tolist() for c in ("sec", "key_text", "counted", "held", "rows"))) if e[0] * 1000 > passed]
+            if entries:
+                bounds = bounds or self._bounds()
+                self._wait(bounds, entries)
+                first = min(entries[0][0] * 1000, entries[0][0] * 1000 if first is None else first)
+        if bounds:
             # an earlier timer stands for waiting seconds, or for a removal that finds these waiting
             self._keep(bounds, first if bounds[5] is None else min(first, bounds[5]))
         yield pd.DataFrame()
 
+    def _due(self, bounds: list, passed: int) -> tuple[list[tuple], Callable[[int], list]]:
+        """What the watermark has passed, by second and key: (second, key, counted rows, chunk, place of its rows, rows held);
+        and the rows of those chunks. What the watermark has not passed in them goes to new chunks."""
+
+        @lru_cache(maxsize=16)
+        def body(chunk: int) -> list:
+            return json.loads(self.rows.getValue((chunk,))[0])
+
+        due, later = [], []
+        reached = [c for c in bounds[4] if c[1] * 1000 <= passed]
+        bounds[4] = [c for c in bounds[4] if c[1] * 1000 > passed]
+        for chunk, _, _ in reached:
+            entries = json.loads(self.waiting.getValue((chunk,))[0])
+            for (sec, key_text, counted, held), end in zip(entries, accumulate(e[3] for e in entries)):
+                if sec * 1000 <= passed:
+                    due.append((sec, key_text, counted, chunk, end - held, held))
+                else:
+                    later.append((sec, key_text, counted, held, json.dumps(body(chunk)[end - held : end])))
+            self.waiting.removeKey((chunk,))
+        self._wait(bounds, later)
+        due.sort(key=itemgetter(0, 1))
+        return due, body
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         need, back, pause, sequence = self.limits[int(key[0])]
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting = [(int(s[0]), int(v[0]), int(v[1])) for s, v in self.waiting.iterator()]
-        due = sorted(w for w in waiting if w[0] * 1000 <= passed)
         bounds = self._bounds()
         bounds[5] = None  # it has just expired
-        quiet_until = bounds[4]
-        window = RunningWindow(self.window, *bounds[:4])
+        known = self.keys.getValue((0,))
+        totals, quiet_until = json.loads(known[0]) if known else ({}, {})
+        window = RunningWindow(self.window, *bounds[:3], totals)
+        due, body = self._due(bounds, passed)
         fired = []
-        for sec, counted, chunks in due:
+        for (sec, key_text), parts in groupby(due, key=itemgetter(0, 1)):
+            parts = list(parts)
+            counted = sum(p[2] for p in parts)
             window.forget(sec - back)
-            if window.total + counted >= need and (counted or sequence) and (quiet_until is None or sec >= quiet_until):
-                rows = [r for chunk in range(chunks) for r in json.loads(self.rows.getValue((sec, chunk))[0])]
+            total = totals.get(key_text, 0)
+            if total + counted >= need and (counted or sequence) and sec >= quiet_until.get(key_text, sec):
+                rows = [r for *_, chunk, at, held in parts for r in body(chunk)[at : at + held]]
                 so_far = 0
                 for _, _, role, payload in _in_order(rows, need, sequence):
                     so_far += role == COUNTED
-                    if role == (FOLLOW_UP if sequence else COUNTED) and window.total + so_far >= need:
-                        fired.append((int(key[0]), key[1], window.total + so_far, *payload))
-                        quiet_until = sec + pause
+                    if role == (FOLLOW_UP if sequence else COUNTED) and total + so_far >= need:
+                        fired.append((int(key[0]), key_text, total + so_far, *payload))
+                        quiet_until[key_text] = sec + pause
                         break
             if counted:
-                window.add(sec, counted)
-            self.waiting.removeKey((sec,))
-            for chunk in range(chunks):
-                self.rows.removeKey((sec, chunk))
+                window.add(sec, counted, key_text)
+        for chunk in {p[3] for p in due}:
+            self.rows.removeKey((chunk,))
         # Only what a later row can still see stays.
         window.forget(passed // 1000 - back)
-        if quiet_until is not None and quiet_until * 1000 <= passed:
-            quiet_until = None
+        quiet_until = {k: until for k, until in quiet_until.items() if until * 1000 > passed}
         newest = window.newest_second()
-        wake = min((w[0] for w in waiting if w[0] * 1000 > passed), default=None)
+        wake = min((first for _, first, _ in bounds[4]), default=None)
         if wake is None and newest is not None:
             wake = newest + back + 1
         if wake is None:
-            wake = quiet_until
+            wake = max(quiet_until.values(), default=None)
         if newest is None:
             self.window.clear()
-            window.oldest = window.start = window.newest = window.total = 0
+            window.oldest = window.start = window.newest = 0
         else:
             window.write()
+        if totals or quiet_until:
+            self.keys.updateValue((0,), (json.dumps([totals, quiet_until]),))
+        elif known:
+            self.keys.removeKey((0,))
         if wake is None:
             self.bounds.clear()
         else:
-            self._keep([window.oldest, window.start, window.newest, window.total, quiet_until, None], wake * 1000)
+            self._keep([window.oldest, window.start, window.newest, *bounds[3:5], None], wake * 1000)
         yield pd.DataFrame(fired, columns=[c.split()[0] for c in OUTPUT.split(", ")]) if fired else pd.DataFrame()
 
     def close(self) -> None:
@@ -230,7 +269,8 @@ def windowed_stream(records: DataFrame, rules: Sequence[Rule], lateness: str, mi
         .withWatermark("event_time", lateness)
     marks = mark_rows(timed, rules, active, record_columns(records)).withColumn("key_text", F.to_json("key"))
     folded = marks.select("rule_seq", "key_text", "sec", "role", *PAYLOAD).mapInPandas(fold_rows(limits), FOLDED)
-    fired = folded.groupBy("rule_seq", "key_text").transformWithStateInPandas(SlidingCount(limits), OUTPUT, "append", "eventtime")
+    bucket = F.pmod(F.xxhash64("key_text"), F.lit(BUCKETS)).alias("bucket")
+    fired = folded.select("*", bucket).groupBy("rule_seq", "bucket").transformWithStateInPandas(SlidingCount(limits), OUTPUT, "append", "eventtime")
     keyed = fired.withColumn("key", F.from_json("key_text", "array<string>")).drop("key_text")
     return _keyed_findings(keyed, rules, WINDOW_PHASE)
 
