@@ -271,6 +271,18 @@ def test_arriving_files_are_parsed_once(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "top2")).collect())) == sorted(map(tuple, whole.collect()))
 
 
+def test_a_backlog_comes_in_few_batches(spark, tmp_path):
+    """Many small files that wait are not one round of jobs for every few of them; each line still comes once."""
+    folder, target = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    for k in range(30):
+        (folder / f"s{k}.log").write_text(log_text(3 * k, 3))
+    ingest_logs(spark, str(folder), str(target), files_per_batch=1).trigger(availableNow=True).start().awaitTermination()
+    found = sorted((r.log_file.rsplit("/", 1)[-1], r.line_number) for r in ingested(spark, str(target)).collect())
+    assert found == sorted((f"s{k}.log", n) for k in range(30) for n in (2, 3, 4))
+    assert ingested(spark, str(target), REJECTS).count() == 30 and ingested(spark, str(target)).select("batch").distinct().count() == 4
+
+
 def test_running_counts_of_findings(spark, three_files, tmp_path):
     """Counts of line and keyed findings behind a stateful operator, in complete mode, against the batch."""
     batch, folder = three_files

@@ -1,7 +1,8 @@
 """Raw log files that arrive in a folder, parsed once each.
 
 A file source lists what arrived (names only, contents are not read by it); every micro-batch hands its files, at most
-`files_per_batch`, to the batch readers, so a large file is still split over many tasks, header changes and rejects included. A
+`files_per_batch`, to the batch readers, so a large file is still split over many tasks, header changes and rejects included. Every
+batch costs some jobs, however little it holds, so files that are there at the start come in at most BACKLOG_BATCHES batches. A
 batch writes to folders of its own number. After a failure the engine repeats the last batch with the same files: folders that
 are complete are left as they are, others are written anew, so no row comes twice and streams over the records see each file once.
 
@@ -18,10 +19,12 @@ from pyspark.sql.types import StructType
 
 from wardlog.operators.normalize import normalize
 from wardlog.sources.inputs import read_logs
-from wardlog.sources.lines import ROW_COLUMNS
+from wardlog.sources.lines import ROW_COLUMNS, FileRange, listed_files
 
 FILE_COLUMNS = "path string, modificationTime timestamp, length bigint, content binary"
 RECORDS, REJECTS = "records", "rejects"
+#: Load only: batches that the files of a folder come in when the stream starts, if `files_per_batch` would give more.
+BACKLOG_BATCHES = 4
 
 
 def arriving_files(spark: SparkSession, folder: str, name_glob: str = "*.{log,csv}", files_per_batch: int = 1000) -> DataFrame:
@@ -57,7 +60,8 @@ def ingest_logs(spark: SparkSession, folder: str, target: str, name_glob: str =
                 files_per_batch: int = 1000) -> DataStreamWriter:
     """Writer of a stream that parses every arriving file to `target`/records and `target`/rejects; the caller chooses the
     trigger and starts it. Its progress is kept below `target` as well, so starting it again goes on where it stopped."""
-    files = arriving_files(spark, folder, name_glob, files_per_batch)
+    there = listed_files(spark, FileRange((folder,), name_glob)).count()
+    files = arriving_files(spark, folder, name_glob, max(files_per_batch, -(-there // BACKLOG_BATCHES)))
     return files.writeStream.option("checkpointLocation", f"{target}/progress").foreachBatch(_parse_into(target, zone))
 
 
