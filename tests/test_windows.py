@@ -4,6 +4,7 @@ import pytest
 from keyed_model import run
 from pyspark.sql import functions as F
 
+from wardlog.lineage import settle
 from wardlog.operators import windows
 from wardlog.operators.rules import rule_from
 from wardlog.operators.windows import detect_keyed
@@ -186,3 +187,17 @@ def test_cool_down_over_slots(spark, key_seconds):
     assert sorted(got) == sorted(expected)
     none = windows.firing_seconds(reaching.where("sec > 99999"), key_seconds)
     assert none.count() == 0
+
+
+def test_tables_that_grow_with_the_records_do_not_go_through_the_driver(spark):
+    """Keys of 20 MB of text: not broadcast, and not a hash table that has to fit a task."""
+    def keys(rows):
+        return spark.range(rows).select((F.col("id") % 2).cast("int").alias("rule_seq"), F.array(F.concat(F.lit("10.0.0."), "id"), F.lit("/some/path")).alias("key"))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = keys(1000).join(windows._sized(settle(keys(350_000))), windows.GROUP)
+        plan = joined._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan and "ShuffledHash" not in plan and joined.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -30,12 +30,16 @@ def settle(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def sized(settled: DataFrame) -> DataFrame:
-    """Mark a settled frame for broadcast if it is small, else for a shuffled hash join."""
+def sized(settled: DataFrame, most: int | None = None) -> DataFrame:
+    """Mark a settled frame for broadcast if it is small, else for a shuffled hash join.
+
+    With `most`, for frames that grow with the input: broadcast only up to so many bytes, and joins of larger ones are left to
+    be sorted, which spills where a hash table would have to fit a task.
+    """
     measured = settled.agg(F.sum(F.length(F.to_json(F.struct(*settled.columns))))).first()[0] or 0
-    if measured <= BROADCAST_BYTES:
+    if measured <= (BROADCAST_BYTES if most is None else min(most, BROADCAST_BYTES)):
         return F.broadcast(settled)
-    return settled.hint("shuffle_hash")
+    return settled.hint("shuffle_hash") if most is None else settled
 
 
 def spread(frame: DataFrame) -> DataFrame:

@@ -32,11 +32,18 @@ SLOT_SECONDS = 6 * 3600  # least length of a time slot
 MAX_COMMON_WINDOW = 10**12  # bound on the common multiple of windows handled in one range window
 # Load only: a second with more rows is searched by blocks of so many lines; a key with more reaching seconds by time slots.
 BLOCK_LINES, KEY_SECONDS = 4096, 100_000
+# Load only: seconds and keys grow with the records, and a query joins several such tables; the driver and every executor hold
+# some times as much for each one that is broadcast.
+SENT_BYTES = 16 << 20
 
 GROUP = ["rule_seq", "key"]
 SECOND = [*GROUP, "sec"]
 
 
+def _sized(settled: DataFrame) -> DataFrame:
+    return sized(settled, SENT_BYTES)
+
+
 def _role(rule: Rule, probe) -> Column:
     counted = selection_holds(rule.grouping.where, probe)
     if rule.grouping.followed_by is None:
@@ -129,7 +136,7 @@ def _firing_blocks(positions: DataFrame, crowded: DataFrame, block_lines: int) -
 
     Blocks are counted by hash aggregation; only their counts, a row a block, are ordered within a second.
     """
-    per_block = (positions.join(sized(crowded), SECOND)
+    per_block = (positions.join(_sized(crowded), SECOND)
                  .groupBy(*SECOND, "log_file", F.floor(F.col("line_number") / block_lines).alias("block"))
                  .agg(F.count(F.when(F.col("role") == COUNTED, 1)).alias("n"), F.count(F.when(F.col("role") == FOLLOW_UP, 1)).alias("follow_ups"),
                       *[F.first(c).alias(c) for c in ("prior", "need", "sequence")]))
@@ -159,13 +166,13 @@ def first_firing(marks: Callable[[Sequence[Column]], DataFrame], seconds: DataFr
                 .withColumn("event_count", F.col("prior") + F.col("so_far"))
                 .drop("nth", "so_far", "prior", "need", "sequence"))
 
-    usual = first_of(marks(carry).join(sized(seconds.where(F.col("rows_here") <= block_lines).select(*wanted)), SECOND), SECOND, F.lit(0))
+    usual = first_of(marks(carry).join(_sized(seconds.where(F.col("rows_here") <= block_lines).select(*wanted)), SECOND), SECOND, F.lit(0))
     crowded = seconds.where(F.col("rows_here") > block_lines).select(*wanted)
     if crowded.isEmpty():
         return usual
     blocks = settle(_firing_blocks(marks([F.col("log_file"), F.col("line_number")]), crowded, block_lines))
     block = F.floor(F.col("line_number") / block_lines)
-    found = first_of(marks(carry).withColumn("block", block).join(sized(blocks), [*SECOND, "log_file", "block"]), [*SECOND, "log_file", "block"], F.col("before"))
+    found = first_of(marks(carry).withColumn("block", block).join(_sized(blocks), [*SECOND, "log_file", "block"]), [*SECOND, "log_file", "block"], F.col("before"))
     two = Window.partitionBy(*SECOND).orderBy("log_file", "line_number")  # a row of each of at most two blocks
     return usual.unionByName(found.withColumn("nth", F.row_number().over(two)).where("nth = 1").drop("nth", "block", "before"))
 
@@ -287,13 +294,13 @@ def firing_seconds(reaching: DataFrame, key_seconds: int) -> DataFrame:
 
     if busy.isEmpty():
         return in_slots(reaching.withColumn("slot_name", key_name)).mapInPandas(_fill_keys(columns), shape)
-    usual = in_slots(reaching.join(sized(busy), GROUP, "left_anti").withColumn("slot_name", key_name)).mapInPandas(_fill_keys(columns), shape)
-    named = settle(reaching.join(sized(busy), GROUP, "left_semi").withColumn("slot_name", F.to_json(F.struct(*GROUP, "home"))))
+    usual = in_slots(reaching.join(_sized(busy), GROUP, "left_anti").withColumn("slot_name", key_name)).mapInPandas(_fill_keys(columns), shape)
+    named = settle(reaching.join(_sized(busy), GROUP, "left_semi").withColumn("slot_name", F.to_json(F.struct(*GROUP, "home"))))
     outcomes = in_slots(named.select(*SECOND, "home", "slot", "pause", "slot_name")).mapInPandas(
         _slot_outcomes, "rule_seq int, key array<string>, home bigint, pause bigint, slot_name string, "
                         "firsts array<bigint>, lasts array<bigint>")
     entries = outcomes.repartition(*GROUP).sortWithinPartitions(*GROUP, "home").mapInPandas(_chain_slots, "slot_name string, entry bigint")
-    filled = in_slots(named.join(sized(settle(entries)), "slot_name")).mapInPandas(_fill_slots(columns), shape)
+    filled = in_slots(named.join(_sized(settle(entries)), "slot_name")).mapInPandas(_fill_slots(columns), shape)
     return usual.unionByName(filled)
 
 
@@ -322,7 +329,7 @@ def rare(records: DataFrame, rules: Sequence[Rule], active: Sequence[Rule]) -> D
         [{"rule_seq": rules.index(r), "at_most": r.grouping.at_most} for r in active],
         schema=pa.schema([("rule_seq", pa.int32()), ("at_most", pa.int64())])))
     counted = mark_rows(records, rules, active, []).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("event_count"))
-    few = sized(settle(counted.join(F.broadcast(bounds), "rule_seq").where("event_count <= at_most").drop("at_most")))
+    few = _sized(settle(counted.join(F.broadcast(bounds), "rule_seq").where("event_count <= at_most").drop("at_most")))
     in_key = Window.partitionBy(*GROUP).orderBy("log_file", "line_number")
     first = (mark_rows(records, rules, active, record_columns(records)).join(few, GROUP)
              .withColumn("nth", F.row_number().over(in_key)).where("nth = 1"))
