@@ -1,8 +1,10 @@
 """BPE and unigram counts against the public libraries."""
 
 import random
+import tracemalloc
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from llm_tables import ODD, empty_frame, frame, odd_frame, prose
@@ -60,6 +62,31 @@ def test_encode_documents(spark, ranks):
     assert bpe.encode_documents(empty_frame(spark), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_what_a_worker_keeps_is_bounded(monkeypatch):
+    """The memo holds no more words than it may after a piece, not only before the next one."""
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 100)
+    tokenizer = bpe.Tokenizer({bytes([b]): b for b in range(256)}, public_tokenizers.PATTERN)
+    for first, kept in ((0, 60), (60, 0), (120, 60)):  # the second brings it over 100
+        text = " ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(first, first + 60))
+        assert tokenizer.decode(tokenizer.encode([text])[0]) == text.encode()
+        assert len(tokenizer.numbers) == len(tokenizer.known) == kept
+
+
+def test_memory_does_not_grow_with_the_batch():
+    """A batch of 12 MB of words that are all different takes about the memory of one of 4 MB beyond its own rows."""
+    rng, peaks = random.Random(8), []
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrst", k=31)) for _ in range(1000)) for _ in range(375)]
+    for rows in (125, 375):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts[:rows])], names=["text"])
+        tokenizer = bpe.Tokenizer({bytes([b]): b for b in range(256)} | {b"ab": 256, b"cd": 257}, public_tokenizers.PATTERN)
+        tracemalloc.start()
+        for piece in bpe.pieces(iter([batch]), 0):
+            tokenizer.encode(piece.column(0).to_pylist())
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.7 * peaks[0]
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 

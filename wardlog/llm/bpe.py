@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 
 from wardlog.llm.common import rows_out
 
-#: Words kept in the memo of a worker; beyond it the memo starts anew (results do not depend on it).
-MEMO_WORDS = 500_000
+#: Words that stay in the memo of a worker after a piece; beyond it the memo starts anew (results do not depend on it).
+MEMO_WORDS = 250_000
 #: Longer pre-tokens are not kept in the memo.
 MEMO_CHARS = 64
-#: Load only: bytes of text whose words are replayed together, and the least number of words worth an array replay.
-PIECE_BYTES, MANY_WORDS = 16 << 20, 4000
+#: Load only: bytes of text whose words are replayed together, and the least number of words worth an array replay. A worker that has
+#: met a piece keeps about the memory that its arrays took, also while it serves other stages.
+PIECE_BYTES, MANY_WORDS = 4 << 20, 4000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -229,8 +230,6 @@ class Tokenizer:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers; empty for null and empty texts."""
-        if len(self.numbers) > MEMO_WORDS:
-            self.numbers, self.known = Numbers(), []
         numbers, known, met = self.numbers, self.known, len(self.known)
         # words as numbers: a text is held in four bytes a word
         cut = [array("I", map(numbers.__getitem__, self.pattern.findall(t))) if t else array("I") for t in texts]
@@ -246,6 +245,8 @@ class Tokenizer:
             for word, ids in kept:
                 numbers[word] = len(numbers)
                 known.append(ids)
+        if len(numbers) > MEMO_WORDS:
+            self.numbers, self.known = Numbers(), []
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -290,6 +291,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
         for piece in pieces(batches, 1):
             ids = tokenizer.encode(piece.column(1).to_pylist())
             yield rows_out(arrow, [piece.column(0).to_pylist(), ids, [tokenizer.decode(i) for i in ids]])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(
         run, f"`{id_col}` {kind.simpleString()}, ids binary, decoded binary")
