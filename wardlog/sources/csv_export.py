@@ -9,6 +9,7 @@ each line is known without reading a file in one task, and a stray quote inside
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 import pyarrow as pa
@@ -35,8 +36,12 @@ HEADER_SPELLINGS = {
     "referrer": "cs(Referer)",
 }
 OTHER_W3C_NAMES = ("s-computername", "s-port", "cs-version")
-# Ranges of joined lines are looked up by blocks of this many lines.
-LINE_BLOCK = 4096
+# Ranges of joined lines are looked up by blocks of this many lines, whose marks are words of so many bits.
+LINE_BLOCK, WORD = 4096, 64
+# Load only: tables of ranges grow with the records over several lines and are sent to every task up to so many bytes of text; beyond
+# that the lines inside ranges are sorted to them. Marks take about 1.5 KB of text a block of lines; beyond their bound all lines of
+# files with such records are sorted to them.
+RANGE_BYTES, MARK_BYTES = 16 << 20, 64 << 20
 
 _CELL = r',("[^"]*+(?:""[^"]*+)*+"[^,]*|"[^"]*+(?:""[^"]*+)*+\z|[^,]*)'
 _BLANK_LINE = r'^(\s*|"\s*")(,(\s*|"\s*"))*\z'
@@ -136,24 +141,47 @@ def _ranges(lines: DataFrame) -> DataFrame:
         .select("file_path", "first_line", F.when(F.col("ends") == 2, F.col("last_line")).otherwise(F.col("file_lines")).alias("last_line")))
 
 
-def _placed(lines: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Lines with the range they belong to, if any."""
-    block = F.floor(F.col("line_number") / LINE_BLOCK)
-    spans = ranges.select(
+def _marks(spans: DataFrame) -> DataFrame:
+    """For each block of lines that ranges touch, a bit for every line: whether it lies in one."""
+    start = F.col("block") * LINE_BLOCK
+    clipped = spans.select("in_file", "block", F.greatest(F.col("first_line") - start, F.lit(0)).cast("int").alias("low"),
+                           F.least(F.col("last_line") - start, F.lit(LINE_BLOCK - 1)).cast("int").alias("high"))
+    words = clipped.select("*", F.explode(F.expr(f"sequence(int(low div {WORD}), int(high div {WORD}))")).alias("word")).select(
+        "in_file", "block", "word", F.greatest(F.col("low") - F.col("word") * WORD, F.lit(0)).alias("low"),
+        F.least(F.col("high") - F.col("word") * WORD, F.lit(WORD - 1)).alias("high"))
+    ones = F.expr(f"shiftleft(shiftrightunsigned(-1L, {WORD - 1} - high + low), low)")
+    by_word = words.groupBy("in_file", "block", "word").agg(F.bit_or(ones).alias("bits"))
+    by_block = by_word.groupBy("in_file", "block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("given"))
+    return by_block.select("in_file", "block", F.transform(
+        F.sequence(F.lit(0), F.lit(LINE_BLOCK // WORD - 1)), lambda w: F.coalesce(F.try_element_at("given", w), F.lit(0).cast("bigint"))).alias("marks"))
+
+
+def _placed(lines: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines outside all ranges, and those inside with the range they belong to.
+
+    Most lines need only be told that they are outside, which takes a bit for each; the ranges meet the few lines that are inside.
+    """
+    line = F.col("line_number")
+    block, place = F.floor(line / LINE_BLOCK), (line % LINE_BLOCK).cast("int")
+    spans = settle(ranges.select(
         F.col("file_path").alias("in_file"), "first_line", "last_line",
-        F.explode(F.sequence(F.floor(F.col("first_line") / LINE_BLOCK), F.floor(F.col("last_line") / LINE_BLOCK))).alias("block"))
-    return lines.join(sized(settle(spans)), (F.col("file_path") == F.col("in_file")) & (block == F.col("block"))
-                      & F.col("line_number").between(F.col("first_line"), F.col("last_line")), "left").drop("in_file", "block")
+        F.explode(F.sequence(F.floor(F.col("first_line") / LINE_BLOCK), F.floor(F.col("last_line") / LINE_BLOCK))).alias("block")))
+    here = (F.col("file_path") == F.col("in_file")) & (block == F.col("block"))
+    bit = F.getbit(F.get("marks", F.floor(place / WORD).cast("int")), place % WORD)
+    told = (lines.join(sized(settle(_marks(spans)), MARK_BYTES), here, "left")
+            .withColumn("inside", F.coalesce(bit == 1, F.lit(False))).drop("in_file", "block", "marks"))
+    inside = told.where("inside").join(sized(spans, RANGE_BYTES), here & line.between(F.col("first_line"), F.col("last_line")))
+    return told.where("not inside").drop("inside"), inside.drop("inside", "in_file", "block")
 
 
 RANGE = ["file_path", "first_line", "last_line"]
 
 
-def _pieces(placed: DataFrame) -> DataFrame:
+def _pieces(inside: DataFrame) -> DataFrame:
     """The lines inside ranges, kept, each read as a record of its own: its cells, and the first of them."""
     alone = F.when(F.col("line_number") == F.col("first_line"), F.col("value")).otherwise(F.concat(F.lit('"'), "value"))
     cells = F.col("cells")
-    return settle(placed.where(F.col("first_line").isNotNull()).select(*RANGE, "line_number", "value", cells_of(alone).alias("cells"))
+    return settle(inside.select(*RANGE, "line_number", "value", cells_of(alone).alias("cells"))
                   .select(*RANGE, "line_number", "value", F.size(cells).alias("cells_here"),
                           F.exists(cells, lambda c: ~c.rlike(r"^\s*\z")).alias("has_text"), F.regexp_replace(F.get(cells, F.lit(0)), r"^\s+", "").alias("lead")))
 
@@ -168,12 +196,12 @@ def _range_facts(pieces: DataFrame) -> DataFrame:
 
 def _whole(pieces: DataFrame, ranges: DataFrame) -> DataFrame:
     """The joined text of some ranges: file_path, first_line, last_line, value."""
-    return (pieces.join(sized(settle(ranges.select(*RANGE))), RANGE).groupBy(*RANGE)
+    return (pieces.join(sized(settle(ranges.select(*RANGE)), RANGE_BYTES), RANGE).groupBy(*RANGE)
             .agg(F.array_sort(F.collect_list(F.struct("line_number", "value"))).alias("parts"))
             .select(*RANGE, F.array_join("parts.value", "\n").alias("value")))
 
 
-def _joined_headers(files: DataFrame, placed: DataFrame, pieces: DataFrame, facts: DataFrame) -> DataFrame:
+def _joined_headers(files: DataFrame, outside: DataFrame, pieces: DataFrame, facts: DataFrame) -> DataFrame:
     """file_path, header_line, header_text of files with ranges. ``files`` has the first line of each that looks like a header.
 
     That line is the header unless it lies in a range: then the range is the header, or, if that is a comment or blank, the first
@@ -186,7 +214,7 @@ def _joined_headers(files: DataFrame, placed: DataFrame, pieces: DataFrame, fact
     spanning = inside.where("named and starts")
     unknown = inside.where("not (named and starts)").select("file_path", F.col("last_line").alias("after"))
     if not unknown.isEmpty():
-        behind = placed.join(sized(unknown), "file_path").where(F.col("first_line").isNull() & (F.col("line_number") > F.col("after")) & _heads(F.col("value")))
+        behind = outside.join(sized(unknown), "file_path").where((F.col("line_number") > F.col("after")) & _heads(F.col("value")))
         single = behind.groupBy("file_path").agg(F.min(F.struct("line_number", "value")).alias("line")).select(
             "file_path", F.col("line.line_number").alias("starts_at"), F.col("line.line_number").alias("header_line"), F.col("line.value").alias("header_text"))
         wider = facts.where(named).join(sized(unknown), "file_path").where(F.col("first_line") > F.col("after")).groupBy("file_path").agg(
@@ -212,8 +240,9 @@ def _empty_files(spark: SparkSession, source: FileRange) -> DataFrame:
 
 def read_csv(spark: SparkSession, paths: Sequence[str], name_glob: str | None = None) -> LogSource:
     """Rows of CSV exports, see `_read_range`."""
-    source = reduce(LogSource.union, [_read_range(spark, files) for files in file_ranges(spark, paths, name_glob)])
-    return LogSource(source.lines, source.notices.unionByName(_empty_files(spark, FileRange(tuple(paths), name_glob))))
+    ranges = file_ranges(spark, paths, name_glob)
+    source = reduce(LogSource.union, [_read_range(spark, files) for files in ranges])
+    return LogSource(source.lines, source.notices.unionByName(_empty_files(spark, replace(ranges[0], first=None, last=None))))
 
 
 def _read_range(spark: SparkSession, source: FileRange) -> LogSource:
@@ -236,12 +265,12 @@ def _read_range(spark: SparkSession, source: FileRange) -> LogSource:
         F.min("header").alias("header"), (F.sum("opens") > 0).alias("joins"), F.sum("lines").alias("file_lines"))
         .select("file_path", "joins", "file_lines", F.col("header.at").alias("header_line"), F.col("header.value").alias("header_text")))
     numbered_lines = numbered(lines, settle(splits.drop("header", "opens").join(files.select("file_path", "joins", "file_lines"), "file_path")))
-    placed = pieces = facts = None
+    outside = pieces = facts = None
     if not files.where("joins").isEmpty():
-        placed = _placed(numbered_lines.where("joins"), _ranges(numbered_lines.where("joins")))
-        pieces = _pieces(placed)
+        outside, inside = _placed(numbered_lines.where("joins"), _ranges(numbered_lines.where("joins")))
+        pieces = _pieces(inside)
         facts = _range_facts(pieces)
-        headers = _joined_headers(files.where("joins").select("file_path", "header_line", "header_text"), placed, pieces, facts)
+        headers = _joined_headers(files.where("joins").select("file_path", "header_line", "header_text"), outside, pieces, facts)
         files = files.where("not joins").unionByName(
             files.where("joins").drop("header_line", "header_text").join(headers, "file_path", "left"))
     files = settle(files.withColumn("all_names", F.transform(cells_of(F.col("header_text")), canonical_name))
@@ -250,10 +279,10 @@ def _read_range(spark: SparkSession, source: FileRange) -> LogSource:
                    .select("file_path", "header_line", "all_names", "names", "positions"))
     records = numbered_lines.where("not joins").select("file_path", "line_number", "value", cell_count(value).alias("given"))
     if facts is not None:
-        alone = placed.where(F.col("first_line").isNull()).select("file_path", "line_number", "value", cell_count(value).alias("given"))
+        alone = outside.select("file_path", "line_number", "value", cell_count(value).alias("given"))
         fits = F.col("given") == F.size("all_names")
         judged = settle(facts.join(files.select("file_path", "all_names"), "file_path").select(*RANGE, "given", "has_text", F.coalesce(fits, F.lit(False)).alias("fits")))
-        whole = _whole(pieces, judged.where("fits")).join(sized(judged.select(*RANGE, "given")), RANGE)
+        whole = _whole(pieces, judged.where("fits")).join(sized(judged.select(*RANGE, "given"), RANGE_BYTES), RANGE)
         refused = judged.where("has_text and not fits").withColumn("value", F.lit(None).cast("string"))
         for joined in (whole, refused):
             alone = alone.unionByName(joined.select("file_path", F.col("last_line").alias("line_number"), "value", "given"))

@@ -9,7 +9,7 @@ agree; a line that finds no fitting split fails the job instead of getting a wro
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from wardlog.lineage import settle
 
 SPLIT = ["file_path", "split_start"]
 SPLITS_PER_RANGE = 200_000  # a few hundred bytes each
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 ROW_COLUMNS = "log_file string, line_number bigint, raw_line string, fields map<string,string>"
 LINE_COLUMNS = f"{ROW_COLUMNS}, reason string"
 REJECT_COLUMNS = "log_file string, line_number bigint, reason string"
@@ -62,6 +63,9 @@ class LogSource:
 def from_files(spark: SparkSession, file_format: str, paths: Sequence[str], name_glob: str | None) -> DataFrame:
     """A file source over files, or over folders searched recursively for names like ``name_glob``. A file that fails while it
     is read ends there; `unreadable` tells which."""
+    # Spark lists many paths in a job with a task for each, and the driver keeps a record of every task.
+    if spark.conf.get(LISTING_TASKS, None) is None:
+        spark.conf.set(LISTING_TASKS, str(4 * spark.sparkContext.defaultParallelism))
     reader = spark.read.format(file_format).option("ignoreCorruptFiles", "true")
     if name_glob:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", name_glob)
@@ -70,16 +74,20 @@ def from_files(spark: SparkSession, file_format: str, paths: Sequence[str], name
 
 @dataclass(frozen=True)
 class FileRange:
-    """Files of an input, or those of them whose path lies between two others."""
+    """Files of an input, or those of them whose path lies between two others. An input is listed once for each format: the
+    driver holds every list of files it has made, some KB a file."""
 
     paths: tuple[str, ...]
     name_glob: str | None = None
     first: str | None = None
     last: str | None = None
+    sources: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
 
     def load(self, spark: SparkSession, file_format: str) -> DataFrame:
         """The files as a source; Spark leaves the others out when it plans the scan."""
-        frame = from_files(spark, file_format, self.paths, self.name_glob)
+        if file_format not in self.sources:
+            self.sources[file_format] = from_files(spark, file_format, self.paths, self.name_glob)
+        frame = self.sources[file_format]
         return frame if self.first is None else frame.where(F.col("_metadata.file_path").between(self.first, self.last))
 
 
@@ -97,7 +105,7 @@ def file_ranges(spark: SparkSession, paths: Sequence[str], name_glob: str | None
         return [whole]
     ends = (listed.repartitionByRange(-(-2 * total // SPLITS_PER_RANGE), "file_path").groupBy(F.spark_partition_id())
             .agg(F.min("file_path").alias("first"), F.max("file_path").alias("last")).orderBy("first"))
-    return [FileRange(whole.paths, name_glob, r["first"], r["last"]) for r in ends.collect()]
+    return [replace(whole, first=r["first"], last=r["last"]) for r in ends.collect()]
 
 
 def text_lines(spark: SparkSession, files: FileRange) -> DataFrame:
